@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from docloom.llm import quality_rules, url_filter
+from docloom.llm import line_dedup, pieces, pii, quality_rules, secrets, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLE_SQL = {
+    "op2_secret_scan": secrets.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }
