@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import line_dedup, pieces, pii, quality_rules, secrets, url_filter
+from docloom.llm import decontamination, line_dedup, pieces, pii, quality_classifier, quality_rules, secrets, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pieces": pieces.op10_pieces,
 }
@@ -16,5 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_secret_scan": secrets.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
