@@ -260,8 +260,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     work = sized.agg(F.sum("n_b").alias("w")).first().w or 0
     tasks = int(max(1, work // TASK_SHINGLES)) * FRAGMENTS
     sized = sized.withColumn("task", F.pmod(F.xxhash64("a", "b"), F.lit(tasks)))
-    left = sized.select("a", "b", "task").join(segments, F.col("b") == F.col("set_id")).select("task", "fragment", "a", "b", "hashes")
-    right = sized.select("a", "task").distinct().join(segments, F.col("a") == F.col("set_id")).select("task", "fragment", "a", "hashes")
+    anew = lambda df, **names: df.select(*[F.col(c).alias(n) for n, c in names.items()])  # noqa: E731  columns of their own
+    left = anew(sized, task="task", a="a", b="b").join(anew(segments, b="set_id", fragment="fragment", hashes="hashes"), "b")
+    right = anew(sized, task="task", a="a").distinct().join(anew(segments, a="set_id", fragment="fragment", hashes="hashes"), "a")
+    left, right = left.select("task", "fragment", "a", "b", "hashes"), right.select("task", "fragment", "a", "hashes")
     # fragments are counted apart, then summed
     partial = left.groupBy("task", "fragment").cogroup(right.groupBy("task", "fragment")).applyInArrow(_overlaps, "a long, b long, common long")
     found = partial.groupBy("a", "b").agg(F.sum("common").alias("common")).join(sized.select("a", "b", "n_a", "n_b"), ["a", "b"])

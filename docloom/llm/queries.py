@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, line_dedup, pieces, pii, quality_classifier, quality_rules, secrets, url_filter
+from docloom.llm import decontamination, jaccard_join, line_dedup, pieces, pii, quality_classifier, quality_rules, secrets, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_secret_scan": secrets.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
