@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.llm.common import table, written
 
@@ -166,34 +167,46 @@ def _rebuilt(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, sha, kept = [], [], [], []
-            for text, gone in zip(batch.column(1), batch.column(2)):
+            for text, gone in zip(batch.column("text"), batch.column("gone")):
                 text, gone = text.as_py() or "", set(gone.as_py() or ())
                 lines = text.split("\n")
                 new = "\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))
-                sha.append(hashlib.sha256(new.encode()).hexdigest())
                 if full:
                     kept.append(new)
-            columns = {"doc_id": batch.column(0), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            if full:
-                columns["kept"] = pa.array(kept, pa.string())
+                else:
+                    sha.append(hashlib.sha256(new.encode()).hexdigest())
+            columns = {"doc_id": batch.column("doc_id"), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            columns |= {"kept": pa.array(kept, pa.string()), "carried": batch.column("carried")} if full else {"kept_sha256": pa.array(sha, pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def line_dedup(documents: DataFrame, full: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, kept_sha256; full=True adds kept, the text that stays.
+def _lines_left(documents: DataFrame, full: bool, id_col: str, text_col: str) -> DataFrame:
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("carried")] * full)
+    gone = dropped_lines(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
+    joined = docs.join(gone, "doc_id", "left")
+    made = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long")
+    made = made.add("kept", "string").add("carried", docs.schema["carried"].dataType) if full else made.add("kept_sha256", "string")
+    return joined.mapInArrow(_rebuilt(full), made)
+
+
+def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, kept_sha256.
 
     Keys of at least MIN_KEY code points in at least two documents lose all their lines but in the smallest doc_id that
     holds them; there all stay. Null and empty texts are one empty line. A document of which every line goes keeps the
     empty text. Ids are to be distinct and not null; extra columns aren't carried; an empty table gives an empty result.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = dropped_lines(docs).groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
-    joined = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_rebuilt(full), "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if full else ""))
+    return _lines_left(documents, False, id_col, text_col)
+
+
+def without_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, in their order, the text being what line_dedup leaves (null: empty)."""
+    out = _lines_left(documents, True, id_col, text_col)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in documents.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, jaccard_join, line_dedup, pieces, pii, quality_classifier, quality_rules, secrets, url_filter
+from docloom.llm import decontamination, jaccard_join, line_dedup, pieces, pii, quality_classifier, quality_rules, secrets, substring_dedup, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_pieces": pieces.op10_pieces,
 }
