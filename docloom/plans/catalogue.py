@@ -1,6 +1,492 @@
-"""Every query of the engine's own operators, with its SQL where SQL can express it."""
+"""Every query of the engine's own operators, with its SQL where SQL can express it.
+
+A query takes (spark, sf_dir) and runs over its whole tables. What a fold over a document or a page decides step by step
+has no SQL here; the tests hold those against worked examples.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from docloom.functions import fuzzy as Z
+from docloom.functions import geometry as G
+from docloom.functions import text as T
+from docloom.operators import calls as C
+from docloom.operators import chunks as K
+from docloom.operators import code as D
+from docloom.operators import headers as H
+from docloom.operators import layout as L
+from docloom.operators import outline as O
+from docloom.plans import derived as I
+from docloom.sources import files, markdown
+from docloom.streaming import rate as R
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Markdown lines and headings
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, line from l")
+def md_lines(spark, d):
+    return I.md_lines(spark, d)
+
+
+_HEAD = r"regexp_matches(line, '^#{1,6} .+$')"
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, line, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) as grade from l where {_HEAD} and trim(substr(line, instr(line, ' '))) <> ''")
+def md_headers(spark, d):
+    rows = I.md_lines(spark, d).withColumnRenamed("i", "line_no")
+    return markdown.headings(rows).withColumnRenamed("line_no", "i").withColumn("grade", F.col("grade").cast("long"))
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, case when {_HEAD} then length(regexp_extract(line, '^(#{{1,6}}) ', 1)) else -1 end as grade from l")
+def md_grade(spark, d):
+    return I.md_lines(spark, d).select("doc_id", "i", T.heading_grade(F.col("line")).cast("long").alias("grade"))
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, case when {_HEAD} then regexp_replace(line, '^#{{1,6}} ', '') else line end as bare from l")
+def md_strip_heading(spark, d):
+    return I.md_lines(spark, d).select("doc_id", "i", T.strip_heading(F.col("line")).alias("bare"))
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, trim(line) || '  ' || chr(10) as heading from l where {_HEAD}")
+def normalised_headings(spark, d):
+    rows = I.md_lines(spark, d).withColumn("heading", T.normalised_heading(F.col("line")))
+    return rows.filter("heading is not null").select("doc_id", "i", "heading")
+
+
+@_query(f"with {I.MD_TEXT} select doc_id, text from t")
+def md_rebuilt(spark, d):
+    return I.md_text(spark, d)
+
+
+@_query(f"""with {I.MD_LINES} select doc_id, i, '|@' || (i % 6 + 1) || '@|' || regexp_replace(bare, '[ \\t]+', ' ', 'g') as encoded,
+  repeat('#', cast(i % 6 + 1 as int)) || ' ' || regexp_replace(bare, '[ \\t]+', ' ', 'g') as decoded
+  from (select doc_id, i, regexp_replace(line, '^#{{1,6}} ', '') as bare from l where {_HEAD})""")
+def title_encode_decode(spark, d):
+    rows = I.md_lines(spark, d).filter(T.is_heading(F.col("line")))
+    rows = rows.withColumn("encoded", T.encode_title(T.strip_heading(F.col("line")), F.col("i") % 6 + 1))
+    return rows.select("doc_id", "i", "encoded", T.decode_title(F.concat(F.lit("# "), "encoded")).alias("decoded"))
+
+
+@_query(f"""with {I.MD_LINES}, c as (select doc_id, i, repeat(' ', cast(i % 3 as int)) || line as v, length(line) as n, length(regexp_extract(line, '^#*')) as k from l)
+  select doc_id, i, case when (case when k < n then k else k - 1 end) > 0 then '//' || substr(v, (case when k < n then k else k - 1 end) + 1) else v end as marked from c""")
+def comment_mark(spark, d):
+    rows = I.md_lines(spark, d).withColumn("v", F.concat(F.repeat(F.lit(" "), (F.col("i") % 3).cast("int")), "line"))
+    return rows.select("doc_id", "i", T.comment_mark(F.col("v")).alias("marked"))
+
+
+# Code and links
+
+
+@_query(f"""with {I.MD_LINES}, a as (select *, line = '```' as bare, starts_with(line, '```') and line <> '```' as named from l),
+  c as (select *, sum(case when bare then 1 else 0 end) over w as tog from a window w as (partition by doc_id order by i)),
+  e as (select *, max(case when named then i end) over w as ll, max(case when named then tog end) over w as tl from c window w as (partition by doc_id order by i))
+  select doc_id, i, cast((case when ll is null then 0 else 1 end + tog - coalesce(tl, 0)) % 2 as int) as in_code from e""")
+def fence_state(spark, d):
+    rows = I.md_lines(spark, d).withColumnRenamed("i", "line_no")
+    return D.fence_state(rows).select("doc_id", F.col("line_no").alias("i"), "in_code")
+
+
+@_query(f"""with {I.MD_LINES}, a as (select *, case when line = '```python' then 1 when line = '```' then 0 end as m from l)
+  select doc_id, i, cast(coalesce(last_value(m ignore nulls) over (partition by doc_id order by i rows unbounded preceding), 0) as int) as in_code from a""")
+def fence_state_listed(spark, d):
+    rows = I.md_lines(spark, d).withColumnRenamed("i", "line_no")
+    return D.fence_state(rows, ("python", "cpp")).select("doc_id", F.col("line_no").alias("i"), "in_code")
+
+
+_RUN = "coalesce(list_max(list_transform(string_split(line, '`')[2:-2], lambda x: length(x))), 0)"
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, {_RUN} as longest, case when {_RUN} > 8 then replace(line, '`', '') else line end as clean from l")
+def inline_code_clean(spark, d):
+    rows = I.md_lines(spark, d)
+    return rows.select("doc_id", "i", T.longest_inline(F.col("line")).cast("long").alias("longest"), T.clean_inline(F.col("line"), 8).alias("clean"))
+
+
+_LINK = r"!\[\]\(images/\w+.jpg\)"
+
+
+@_query(f"""with {I.MD_TEXT}, v as (select doc_id, text, case when doc_id % 5 = 4 then '' else replace(replace(text, 'e', 'E'), 'imagEs/h', 'images/x') end as said from t),
+  w as (select *, regexp_extract_all(text, '{_LINK}') as a, string_split_regex(said, '{_LINK}') as p, said as s from v)
+  select doc_id, len(a) as n_links, case when len(p) - 1 = len(a) then array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || coalesce(a[k], '')), '') else s end as fixed from w""")
+def image_link_repair(spark, d):
+    said = F.when(F.col("doc_id") % 5 == 4, "").otherwise(F.replace(F.replace("text", F.lit("e"), F.lit("E")), F.lit("imagEs/h"), F.lit("images/x")))
+    rows = I.md_text(spark, d).withColumn("said", said)
+    return rows.select("doc_id", F.size(D.image_links(F.col("text"))).cast("long").alias("n_links"), D.repair_image_links(F.col("text"), F.col("said")).alias("fixed"))
+
+
+@_query()
+def code_wrap(spark, d):
+    rows = I.md_lines(spark, d).select("doc_id", F.col("i").alias("line_no"), F.concat("line", F.lit("\n")).alias("line"))
+    return D.format_code(rows)
+
+
+# Text repairs
+
+
+@_query(f"""with {I.MD_LINES} select doc_id, i, repeat(' ', cast(i % 3 as int)) || replace(trim(line), 'e', 'E') || (case when trim(line) = '' then '' else repeat(' ', cast(i % 2 as int)) end) as kept
+  from l where line <> ''""")
+def keep_edge_whitespace(spark, d):
+    source = F.concat(F.repeat(F.lit(" "), (F.col("i") % 3).cast("int")), F.trim("line"), F.repeat(F.lit(" "), (F.col("i") % 2).cast("int")))
+    rows = I.md_lines(spark, d).filter("line <> '' and trim(line) <> ''")
+    return rows.select("doc_id", "i", T.keep_edges(source, F.concat(F.lit("  "), F.replace("line", F.lit("e"), F.lit("E")), F.lit(" "))).alias("kept"))
+
+
+@_query(f"""with {I.MD_LINES}, v as (select doc_id, i, replace(replace(replace(line, 'fi', 'ﬁ'), 'st', 'ﬆ'), 'x', chr(65533)) as v from l)
+  select doc_id, i, replace(replace(replace(v, 'ﬁ', 'fi'), 'ﬆ', 'st'), chr(65533), ' ') as clean from v""")
+def ligature_clean(spark, d):
+    rows = I.md_lines(spark, d).withColumn("v", F.replace(F.replace(F.replace("line", F.lit("fi"), F.lit("ﬁ")), F.lit("st"), F.lit("ﬆ")), F.lit("x"), F.lit("�")))
+    return rows.select("doc_id", "i", T.replacement_to_space(T.expand_ligatures(F.col("v"))).alias("clean"))
+
+
+@_query("""select doc_id, cast(quality as varchar) || case when toxic = 1 then '.包含代码' else '' end in ('1', '1.包含代码', '1包含代码') and doc_id % 3 <> 0 as has_code from labels""")
+def label_parse(spark, d):
+    rows = I.table(spark, d, "labels")
+    answer = F.concat(F.lit("<think>x</think> "), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(""), F.col("quality").cast("string"), F.when(F.col("toxic") == 1, " .包含代码").otherwise(""))
+    return rows.select("doc_id", T.is_yes(answer).alias("has_code"))
+
+
+# Fuzzy titles
+
+_PAIRS = f"""with {I.MD_LINES}, h as (select doc_id, i, regexp_replace(line, '^#+ ', '') as t from l where {_HEAD}),
+  p as (select doc_id, i, t as a, lag(t) over (partition by doc_id order by i) as b from h)"""
+
+
+def _title_pairs(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = I.md_lines(spark, d).filter(T.is_heading(F.col("line"))).select("doc_id", "i", F.regexp_replace("line", "^#+ ", "").alias("a"))
+    rows = rows.withColumn("b", F.lag("a").over(W.partitionBy("doc_id").orderBy("i"))).filter("b is not null")
+    return rows.filter(F.col("a").rlike("^[ -~]*$") & F.col("b").rlike("^[ -~]*$"))
+
+
+@_query(_PAIRS + """ select doc_id, i, levenshtein(lower(a), lower(b)) as dist, least(10, cast(floor(length(trim(b)) * 0.3) as int)) as most,
+  trim(a) <> '' and (lower(trim(a)) = lower(trim(b)) or levenshtein(lower(trim(a)), lower(trim(b))) <= least(10, cast(floor(length(trim(b)) * 0.3) as int))) as same
+  from p where b is not null and regexp_matches(a, '^[ -~]*$') and regexp_matches(b, '^[ -~]*$')""")
+def lev_match(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _title_pairs(spark, d).select("doc_id", "i", F.levenshtein(F.lower(a), F.lower(b)).cast("long").alias("dist"), Z.edit_limit(T.strip(b)).alias("most"), Z.titles_match(a, b).alias("same"))
+
+
+@_query(_PAIRS + """ select doc_id, i, starts_with(lower(b), lower(split_part(a, ' ', 1))) or (starts_with(lower(a), 'part') and starts_with(lower(b), 'part')) as may
+  from p where b is not null and regexp_matches(a, '^[ -~]*$') and regexp_matches(b, '^[ -~]*$')""")
+def prefix_match(spark, d):
+    return _title_pairs(spark, d).select("doc_id", "i", Z.may_start(F.split_part("a", F.lit(" "), F.lit(1)), F.col("b")).alias("may"))
+
+
+@_query()
+def edit_trace(spark, d):
+    b = I.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 3, 40).alias("b"))
+    return b.select("item_id", Z.edit_trace("a", "b").alias("trace"), Z.is_same_heading("a", "b").alias("same"))
+
+
+# Outlines
+
+
+@_query(f"""with {I.OUTLINE} select doc_id, seq, title, cast(page - 1 + 1 as int) as page, case when isnan(x) then 0 else x end as x, case when isnan(y) then 0 else y end as y,
+  cast(grade - min(grade) over (partition by doc_id order by seq rows unbounded preceding) + 1 as int) as grade from o where page + 1 between 2 and 4""")
+def outline_rebase(spark, d):
+    out = O.sliced(I.outline(spark, d), 2, 4)
+    return out.withColumn("page", F.col("page").cast("int")).withColumn("grade", F.col("grade").cast("int"))
+
+
+@_query(f"""with {I.OUTLINE}, v as (select *, case when isnan(y) then null else cast(floor(y) as bigint) end as iy from o),
+  w as (select *, count(*) over u as n, list_unique(list(case when isnan(y) then -1 else iy end) over u) as ny from v window u as (partition by doc_id, page order by seq rows unbounded preceding)),
+  a as (select doc_id, bool_or(isnan(y)) as nan_y, bool_or(n >= 3 * ny) as piled, bool_and(y = 0) as zero, count(distinct page) as pages, count(distinct y) as ys,
+    bool_or(isnan(x)) as nan_x, count(distinct case when isnan(x) then null else floor(x) end) as xs from w group by doc_id)
+  select doc_id, case when nan_y or piled or zero or (pages >= 5 and ys = 1) then 'edit_dist' else 'distance' end as match_type,
+    case when nan_x or xs = 1 then 'dist_y' else 'dist_xy' end as dist_type from a""")
+def outline_stats(spark, d):
+    return O.placement(I.outline(spark, d))
+
+
+@_query()
+def outline_scan(spark, d):
+    # each page's <h1> under the page before it, three to a parent
+    p = I.table(spark, d, "pages").select(F.floor(F.col("page_id") / 9).alias("doc_id"), (F.col("page_id") % 9).alias("id"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"))
+    down = F.when(F.col("id") % 3 == 0, F.col("id") + 1)
+    nxt = F.when((F.col("id") % 3 == 0) & (F.col("id") < 6), F.col("id") + 3).when(F.col("id") % 3 == 1, F.col("id") + 1)
+    whole = p.groupBy("doc_id").agg(F.count("*").alias("n_pages")).filter("n_pages = 9")
+    nodes = p.join(whole, "doc_id").withColumn("down", down).withColumn("next", nxt).withColumn("is_root", F.col("id") == 0)
+    return O.scan(nodes.withColumn("internal", F.lit(True)).withColumn("page", F.col("id").cast("int")).withColumn("x", F.lit(0.0)).withColumn("y", F.col("id") * 10.0))
+
+
+@_query(f"""with {I.MD_LINES}, n as (select doc_id, (max(i) - 1) // 20 + 1 as n_pages from l group by doc_id), p as (select doc_id, n_pages, unnest(range(0, n_pages)) as page_id from n)
+  select doc_id, page_id, not (page_id between 1 and least(3, n_pages - 1)) as need_drop, case when page_id between 1 and least(3, n_pages - 1) then '' else 'skip page' end as reason from p""")
+def page_range_stub(spark, d):
+    n = I.md_lines(spark, d).groupBy("doc_id").agg((F.floor((F.max("i") - 1) / 20) + 1).alias("n_pages"))
+    pages = n.select("doc_id", "n_pages", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pages") - 1)).alias("page_id"))
+    return files.with_stubs(pages, 2, 4).select("doc_id", "page_id", "need_drop", F.array_join("drop_reason", ",").alias("reason"))
+
+
+# Layout
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i from l where not (abs(degrees(atan2(i % 5 / 4.0, 1.0 - i % 7 / 7.0))) > 2 and abs(degrees(atan2(i % 5 / 4.0, 1.0 - i % 7 / 7.0))) < 88)")
+def tilt_filter(spark, d):
+    return I.md_lines(spark, d).filter(~G.is_tilted(F.lit(1.0) - F.col("i") % 7 / 7.0, F.col("i") % 5 / 4.0)).select("doc_id", "i")
+
+
+def _tall(s):
+    """Every eleventh span turned upright."""
+    b = F.col("bbox")
+    turned = G.box(b["x0"], b["y0"], b["x0"] + 12, b["y0"] + G.width(b))
+    return s.withColumn("bbox", F.when(F.col("span_no") % 11 == 1, turned).otherwise(b))
+
+
+@_query(f"""with {I.SPANS}, v as (select doc_id, page_id, span_no, x0, y0, case when span_no % 11 = 1 then x0 + 12 else x1 end as x1, case when span_no % 11 = 1 then y0 + (x1 - x0) else y1 end as y1 from s),
+  m as (select doc_id, page_id, median(y1 - y0) as mh from v group by all)
+  select v.doc_id, v.page_id, v.span_no from v join m using (doc_id, page_id) where y1 - y0 > mh * 3 and y1 - y0 > (x1 - x0) * 3""")
+def vertical_span(spark, d):
+    return L.vertical_spans(_tall(I.spans(spark, d))).select("doc_id", "page_id", "span_no")
+
+
+@_query(f"with {I.SPANS} select doc_id, page_id, span_no from s where length(content) * (y1 - y0) < (x1 - x0) * 0.5")
+def near_empty(spark, d):
+    return L.needs_reading(I.spans(spark, d)).select("doc_id", "page_id", "span_no")
+
+
+_OVER = "(case when (s.x1 - s.x0) * (s.y1 - s.y0) > 0 then greatest(0, least(s.x1, b.x1) - greatest(s.x0, b.x0)) * greatest(0, least(s.y1, b.y1) - greatest(s.y0, b.y0)) / ((s.x1 - s.x0) * (s.y1 - s.y0)) else 0 end)"
+
+
+@_query(f"""with {I.SPANS} select s.doc_id, s.page_id, s.span_no from s where exists (select 1 from b where b.doc_id = s.doc_id and b.page_id = s.page_id and
+  ((b.type = 'discarded' and {_OVER} > 0.4) or ({_OVER} > 0.5 and
+    case when b.type = 'image_body' then 'image' when b.type = 'table_body' then 'table' else 'other' end = case when s.type in ('image', 'table') then s.type else 'other' end)))""")
+def span_block_semijoin(spark, d):
+    return L.spans_in_blocks(I.spans(spark, d), I.blocks(spark, d)).select("doc_id", "page_id", "span_no")
+
+
+@_query(f"""with {I.SPANS}, f as (select s.doc_id, s.page_id, s.span_no, min(b.block_no) as block_no from s join b on b.doc_id = s.doc_id and b.page_id = s.page_id
+    where {_OVER} > 0.5 and ((s.type = 'text' and b.type in ('text', 'title', 'discarded')) or (s.type = 'image' and b.type = 'image_body')) group by all)
+  select s.doc_id, s.page_id, s.span_no, f.block_no from s left join f using (doc_id, page_id, span_no)""")
+def span_first_block(spark, d):
+    return L.first_block(I.spans(spark, d), I.blocks(spark, d), 0.5, True).select("doc_id", "page_id", "span_no", "block_no")
+
+
+@_query(f"with {I.GLYPHS} select doc_id, page_id, char_no, span_no from p")
+def glyph_first_match(spark, d):
+    return L.glyphs_in_spans(I.glyphs(spark, d), I.glyph_spans(spark, d)).select("doc_id", "page_id", "char_no", "span_no")
+
+
+@_query(f"""with {I.GLYPHS}, n as (select *, lead(x0) over w as nx, lead(c) over w as nc from p window w as (partition by doc_id, page_id, span_no order by x0, char_no))
+  select doc_id, page_id, span_no, string_agg(c || case when nx - (x0 + 5) > 1.25 and c <> ' ' and nc <> ' ' then ' ' else '' end, '' order by x0, char_no) as content from n group by all""")
+def span_text(spark, d):
+    return L.span_text(L.glyphs_in_spans(I.glyphs(spark, d), I.glyph_spans(spark, d)))
+
+
+_NEAR = """, n as (select o.doc_id, o.page as page_id, o.seq, min((abs(o.y - b.y0), b.block_no)) as best from o join b on b.doc_id = o.doc_id and b.page_id = o.page where not isnan(o.y) group by all)"""
+
+
+@_query(f"with {I.OUTLINE}{_NEAR} select o.doc_id, cast(o.page as bigint) as page_id, o.seq, best[2] as block_no, best[1] as dist from o left join n on n.doc_id = o.doc_id and n.page_id = o.page and n.seq = o.seq")
+def nearest_block(spark, d):
+    marks = I.outline(spark, d).withColumn("page_id", F.col("page").cast("long"))
+    return L.nearest_block(marks, I.blocks(spark, d)).select("doc_id", "page_id", "seq", "block_no", "dist")
+
+
+@_query(f"""with {I.BLOCKS}, n as (select b.doc_id, b.page_id, b.block_no, min((c.y0 - b.y1, c.block_no)) as best from b join b c on c.doc_id = b.doc_id and c.page_id = b.page_id
+    and c.block_no <> b.block_no and c.y0 >= b.y1 group by all)
+  select b.doc_id, b.page_id, b.block_no, best[2] as below_no, best[1] as below_dist from b left join n using (doc_id, page_id, block_no)""")
+def nearest_below(spark, d):
+    return L.nearest_below(I.blocks(spark, d)).select("doc_id", "page_id", "block_no", "below_no", "below_dist")
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, coalesce(median(cast(trunc(y1 - y0 + block_no % 5 / 2.0) as int)), 10) as line_h from b group by all")
+def median_line_height(spark, d):
+    b = F.col("bbox")
+    rows = I.blocks(spark, d).withColumn("bbox", G.box(b["x0"], b["y0"], b["x1"], b["y1"] + F.col("block_no") % 5 / 2.0))
+    return L.line_height(rows)
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no // 4 as block_no, median(block_no % 17) as idx from b group by all")
+def block_index(spark, d):
+    rows = I.blocks(spark, d).select("doc_id", "page_id", F.floor(F.col("block_no") / 4).alias("block_no"), (F.col("block_no") % 17).alias("position"))
+    return L.block_index(rows)
+
+
+@_query(f"""with {I.BLOCKS}, v as (select doc_id, page_id, block_no // 4 as g, block_no as line_no, block_no % 17 as position from b), k as (select doc_id, page_id, g, median(position) as idx from v group by all)
+  select v.doc_id, v.page_id, g as block_no, line_no, row_number() over (partition by v.doc_id, v.page_id order by idx, g, line_no) as line_index from v join k using (doc_id, page_id, g)""")
+def line_number(spark, d):
+    rows = I.blocks(spark, d).select("doc_id", "page_id", F.floor(F.col("block_no") / 4).alias("block_no"), F.col("block_no").alias("line_no"), (F.col("block_no") % 17).alias("position"))
+    return L.numbered_lines(rows, L.block_index(rows)).select("doc_id", "page_id", "block_no", "line_no", F.col("line_index").cast("long").alias("line_index"))
+
+
+@_query(f"""with {I.BLOCKS}, v as (select doc_id, page_id, block_no // 3 as group_id, block_no, case when block_no % 3 = 1 then 'body' else 'caption' end as role, x1, block_no % 17 as idx from b)
+  select doc_id, page_id, group_id, median(idx) as idx, (min((block_no, x1)) filter (role = 'body'))[2] as body_x1, string_agg(role || block_no, ',' order by block_no) as blocks from v group by all""")
+def group_nest(spark, d):
+    role = F.when(F.col("block_no") % 3 == 1, "body").otherwise("caption")
+    parts = I.blocks(spark, d).select("doc_id", "page_id", F.floor(F.col("block_no") / 3).alias("group_id"), "block_no", role.alias("role"), "bbox", (F.col("block_no") % 17).alias("idx"))
+    shown = F.array_join(F.transform("blocks", lambda x: F.concat(x["role"], x["block_no"].cast("string"))), ",")
+    return L.nested_groups(parts).select("doc_id", "page_id", "group_id", "idx", F.col("bbox.x1").alias("body_x1"), shown.alias("blocks"))
+
+
+@_query(f"""with {I.BLOCKS}, v as (select doc_id, block_no, x1 - x0 as w, 10.0 + block_no % 60 * 10 as h from b),
+  k as (select *, case when 20 >= h then 1 when h > 200 and w > 150 and w < 300 then cast(floor(h / 10) as int) + 1 when w > 240 then 3 when w > 150 then cast(floor(h / 10) as int) + 1 when h / w > 1.2 then 1 else 2 end as n,
+    case when 20 >= h then h when h > 200 and w > 150 and w < 300 then 10 when w > 240 then h / 3 when w > 150 then 10 when h / w > 1.2 then h else h / 2 end as step from v where w > 0)
+  select doc_id, block_no, cast(n as int) as n_lines, round(step, 6) as step from k""")
+def synthetic_lines(spark, d):
+    b = F.col("bbox")
+    rows = I.blocks(spark, d).filter(G.width(b) > 0)
+    tall = G.box(F.lit(0.0), F.lit(0.0), G.width(b), 10.0 + F.col("block_no") % 60 * 10)
+    rows = rows.withColumn("lines", G.synthetic_lines(tall, F.lit(10.0), F.lit(600.0), F.lit(800.0)))
+    return rows.select("doc_id", "block_no", F.size("lines").alias("n_lines"), F.round(G.height(F.col("lines")[0]), 6).alias("step"))
+
+
+def _even(v: str, size: str) -> str:
+    s = f"(greatest(0, least({v}, {size})) * 1000 / {size})"
+    return f"(case when {s} - floor({s}) = 0.5 then 2 * round({s} / 2) else round({s}) end)"
+
+
+@_query(f"with {I.BLOCKS} select doc_id, block_no, {_even('x0', '640.0')} as x0, {_even('y0', '400.0')} as y0, {_even('x1', '640.0')} as x1, {_even('y1', '400.0')} as y1 from b")
+def coord_scale(spark, d):
+    return I.blocks(spark, d).select("doc_id", "block_no", G.scaled(F.col("bbox"), F.lit(640.0), F.lit(400.0)).alias("b")).select("doc_id", "block_no", "b.*")
+
+
+@_query(f"""with {I.OUTLINE}, p as (select distinct doc_id, page as page_id from o where page % 2 = 0)
+  select b.doc_id, b.page_id, block_no, case when type = 'title' and p.doc_id is null then 'text' else type end as type from b left join p on p.doc_id = b.doc_id and p.page_id = b.page_id""")
+def title_demote(spark, d):
+    return L.demoted_titles(I.blocks(spark, d), I.outline(spark, d).filter("page % 2 = 0")).select("doc_id", "page_id", "block_no", "type")
+
+
+@_query(f"""with {I.BLOCKS}, k as (select doc_id, page_id, block_no, type from b where type <> 'discarded'), u as (select doc_id, page_id, block_no from b where type = 'discarded' and block_no % 2 = 0),
+  m as (select doc_id, page_id, max(block_no) as last from k group by all)
+  select * from k union all select u.doc_id, u.page_id, coalesce(last, -1) + row_number() over (partition by u.doc_id, u.page_id order by block_no), 'title' from u left join m using (doc_id, page_id)""")
+def title_promote(spark, d):
+    rows = I.blocks(spark, d).select("doc_id", "page_id", "block_no", "type")
+    gone = rows.filter("type = 'discarded'").withColumn("type", F.when(F.col("block_no") % 2 == 0, "title").otherwise("discarded"))
+    return L.promoted(rows.filter("type <> 'discarded'"), gone)
+
+
+@_query(f"""with {I.BLOCKS}, e as (select doc_id, page_id, block_no, cast(13 + block_no % 3 as int) as category_id, x0, y0, x1, y1 from b), f as (select * from b where block_no % 4 = 0)
+  select doc_id, page_id, block_no, category_id from e where not (category_id in (13, 14) and exists (select 1 from f where f.doc_id = e.doc_id and f.page_id = e.page_id and f.x0 = e.x0 and f.y0 = e.y0 and f.x1 = e.x1 and f.y1 = e.y1))""")
+def formula_antijoin(spark, d):
+    b = F.col("bbox")
+    poly = F.array(b["x0"], b["y0"], b["x1"], b["y0"], b["x1"], b["y1"], b["x0"], b["y1"])
+    rows = I.blocks(spark, d).select("doc_id", "page_id", "block_no", (F.col("block_no") % 3 + 13).cast("int").alias("category_id"), poly.alias("poly"))
+    return L.without_code_formulas(rows, I.blocks(spark, d).filter("block_no % 4 = 0").select("doc_id", "page_id", poly.alias("poly"))).drop("poly")
+
+
+@_query()
+def title_row_merge(spark, d):
+    b = F.col("bbox")
+    pairs = I.blocks(spark, d).filter("type = 'title'")
+    left = pairs.withColumn("bbox", G.box(b["x0"], b["y0"], b["x0"] + 50, b["y1"])).withColumn("block_no", F.col("block_no") * 2)
+    right = pairs.withColumn("bbox", G.box(b["x0"] + 60, b["y0"], b["x0"] + 110, b["y1"])).withColumn("block_no", F.col("block_no") * 2 + 1)
+    return L.merged_title_rows(left.unionByName(right))
+
+
+@_query()
+def reading_order(spark, d):
+    return L.reading_order(I.blocks(spark, d))
+
+
+@_query()
+def bookmark_match(spark, d):
+    marks = I.outline(spark, d)
+    return O.named_blocks(I.blocks(spark, d), marks, O.placement(marks))
+
+
+# Headings corrected by a model
+
+
+def _headings(spark, d):
+    return markdown.headings(I.md_lines(spark, d).withColumnRenamed("i", "line_no")).select("doc_id", "line_no", "line")
+
+
+def _answers(spark, d):
+    """The headings on other levels, some missing."""
+    rows = _headings(spark, d).filter("line_no % 5 <> 3")
+    level = F.repeat(F.lit("#"), (F.col("line_no") % 3 + 1).cast("int"))
+    return rows.withColumn("line", F.concat(level, F.lit(" "), T.strip_heading(F.col("line"))))
+
+
+@_query()
+def header_merge(spark, d):
+    return H.corrected_headings(_headings(spark, d), _answers(spark, d))
+
+
+@_query()
+def header_merge_easy(spark, d):
+    return H.corrected_headings(_headings(spark, d), _answers(spark, d), easy=True)
+
+
+@_query()
+def grade_jump_drop(spark, d):
+    return H.folded(_answers(spark, d), lambda lines: H.without_jumps(lines)[0])
+
+
+@_query()
+def header_history(spark, d):
+    return H.folded(_answers(spark, d), lambda lines: H.remembered(lines, []))
+
+
+# Model calls
+
+
+@_query(f"""with {I.CALLS}, {I.MEMO}, b as (select agent, prompt, (max((seq, response)))[2] as response from m group by all)
+  select k.doc_id, k.chunk_no, k.agent, k.prompt, b.response, b.prompt is not null as hit from k left join b using (agent, prompt)""")
+def cache_lookup(spark, d):
+    return C.with_memo(I.calls(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt", "response", "hit")
+
+
+@_query(f"with {I.MEMO} select agent, prompt, (max((seq, response)))[2] as response, max(seq) as seq from m group by agent, prompt")
+def cache_last_wins(spark, d):
+    return C.compacted(I.memo(spark, d))
+
+
+@_query(f"with {I.CALLS}, {I.MEMO} select doc_id, chunk_no, agent, prompt from k where not exists (select 1 from m where m.agent = k.agent and m.prompt = k.prompt)")
+def cache_misses(spark, d):
+    return C.misses(I.calls(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt")
+
+
+@_query(f"with {I.CALLS} select doc_id, chunk_no, 'g' || ((row_number() over (partition by doc_id order by chunk_no) - 1) % 3) as agent from k")
+def agent_round_robin(spark, d):
+    return C.dealt(I.calls(spark, d).drop("agent"), ("g0", "g1", "g2")).select("doc_id", "chunk_no", "agent")
+
+
+@_query()
+def translate_mock(spark, d):
+    return C.translated(I.table(spark, d, "documents").select("doc_id", "text"), agents=("a", "b"))
+
+
+@_query(f"with {I.REQUESTS} select agent, request_id, count(*) over w as n_window, cast(sum(tokens) over w as bigint) as tokens_window from q window w as (partition by agent order by us range between 60999999 preceding and current row)")
+def offered_load(spark, d):
+    return R.offered_load(I.requests(spark, d)).select("agent", "request_id", "n_window", "tokens_window")
+
+
+@_query()
+def rate_admission(spark, d):
+    return R.admissions(I.requests(spark, d), rpm=10, tpm=40_000)
+
+
+# Chunks
+
+
+@_query(f"""with {I.MD_LINES}, n as (select *, sum(case when i > 1 and regexp_matches(line, '^#{{1,6}} ') then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as k from l)
+  select doc_id, cast(k as bigint) as section_no, (case when k > 0 then chr(10) else '' end) || string_agg(line, chr(10) order by i) as section from n group by doc_id, k""")
+def chunk_stage1(spark, d):
+    rows = I.md_text(spark, d)
+    return rows.select("doc_id", F.posexplode(K.sections(F.col("text"))).alias("section_no", "section")).withColumn("section_no", F.col("section_no").cast("long"))
+
+
+@_query(r"select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n\f\v]')) as n_tokens from documents")
+def chunk_tokens(spark, d):
+    return I.table(spark, d, "documents").select("doc_id", T.approx_tokens(F.col("text")).cast("long").alias("n_tokens"))
+
+
+@_query()
+def chunk_pack(spark, d):
+    return K.chunk(I.md_text(spark, d), 200, 20)
