@@ -7,8 +7,8 @@ however long a text. The partitions bound their sketches' hashes; a text's shing
 before they meet any sketch. Texts and items that share a sketch value are candidates, which are verified by counting
 the item's shingles that the text contains, as strings.
 
-DataFrame expressions only. Sketches are broadcast while they are under MAX_BROADCAST rows; beyond that they are joined
-by shuffle. The texts of candidates are read again by their ids.
+DataFrame expressions only. Sketches, and candidates that choose the texts to be read again, are broadcast while they
+are under MAX_BROADCAST rows; beyond that they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ def contained_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     sketches = F.broadcast(sketches) if sum(r.n for r in bounds) <= MAX_BROADCAST else sketches
     candidates = met.join(sketches, "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("met"))
     candidates = written(candidates, "candidates")
-    again = docs.join(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("asked")), "doc_id")
+    asked = candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("asked"))
+    again = docs.join(F.broadcast(asked) if candidates.count() <= MAX_BROADCAST else asked, "doc_id")
     again = again.select("doc_id", "asked", words(F.col("text")).alias("words"))
     of_width = [F.named_struct(F.lit("width"), F.lit(w), F.lit("own"), F.array_distinct(_shingles("words", w))) for w in sorted({r.width for r in bounds})]
     again = again.select("doc_id", F.array(*of_width).alias("by_width"), F.explode("asked").alias("item_id"))

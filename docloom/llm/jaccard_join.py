@@ -30,14 +30,13 @@ from docloom.llm.common import table, written
 FRAGMENTS = 4
 #: Slices of texts that are counted together to find frequent shingles.
 BLOCK_SLICES = 8
-#: Shingles of over this share of all texts come last in the order.
-FREQUENT_SHARE = 0.001
+#: Shingles that so many texts of a block have come last in the order, the most frequent ones up to a bound.
+FREQUENT = 3
 MAX_FREQUENT = 1_000_000
 #: Sets of so many texts at most are chosen by broadcast, beyond that by shuffle.
 MAX_BROADCAST = 2_000_000
 #: Shingles of the pairs that meet in one verification task and fragment.
 TASK_SHINGLES = 2_000_000
-_SIGN = np.uint64(1 << 63)
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,11 +63,10 @@ def _describe(width: int):
     """kind 0: a = doc_id, b = set id, n = size; kind 1: a = a shingle of a block that is frequent there, n = its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[np.ndarray] = []
-        texts = 0
 
         def frequent() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = n >= max(3, int(1.5 * FREQUENT_SHARE * texts))
+            many = n >= FREQUENT
             return _rows(np.ones(many.sum(), np.int32), found[many].view(np.int64), np.zeros(many.sum(), np.int64), n[many])
 
         for batch in batches:
@@ -78,10 +76,9 @@ def _describe(width: int):
                 n_of[lo:hi] = np.diff(first)
                 set_of[lo:hi] = [_set_id(made[a:b]) for a, b in zip(first[:-1], first[1:])]
                 block.append(made)
-                texts += hi - lo
                 if len(block) >= BLOCK_SLICES:
                     yield frequent()
-                    block, texts = [], 0
+                    block = []
             yield _rows(np.zeros(len(ids), np.int32), ids.astype(np.int64), set_of, n_of)
         yield frequent()
 
@@ -229,44 +226,53 @@ def _segments(width: int):
     return run
 
 
-def _overlaps(key: tuple[pa.Scalar, ...], pairs: pa.Table, leaders: pa.Table) -> pa.Table:
-    """Partial overlaps of pairs (a, b, hashes of b) with leaders (a, hashes), all of one fragment."""
-    ids = leaders["a"].to_numpy()
+def _overlaps(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Partial overlaps of pairs (a, b), all of one task and fragment; sets: their ids and hashes, each once."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "common": pa.array([], pa.int64())})
+    if not len(pairs) or not len(sets):
+        return none
+    ids = sets["set_id"].to_numpy()
     order = np.argsort(ids)
-    parts = [np.frombuffer(x, np.uint64) for x in leaders["hashes"].to_pylist()]
-    salt = lambda i: V.mix(i.astype(np.uint64) + np.uint64(1))
-    known = np.sort(np.concatenate([p ^ s for p, s in zip(parts, salt(np.arange(len(parts))))])) if parts else np.zeros(0, np.uint64)
-    if not len(known) or not len(pairs):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "common": pa.array([], pa.int64())})
-    a = pairs["a"].to_numpy()
-    leader = order[np.searchsorted(ids, a, sorter=order)]
-    own = [np.frombuffer(x, np.uint64) for x in pairs["hashes"].to_pylist()]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    asked = np.concatenate(own) ^ np.repeat(salt(leader), size)
-    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    common = np.bincount(np.repeat(np.arange(len(own)), size), weights=known[at] == asked, minlength=len(own)).astype(np.int64)
-    return pa.table({"a": pa.array(a), "b": pairs["b"].combine_chunks(), "common": pa.array(common)})
+    parts = [np.frombuffer(x, np.uint64) for x in sets["hashes"].to_pylist()]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    a, b = (order[np.searchsorted(ids, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+    salt = V.mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(1))
+    leaders = np.unique(a)
+    known = np.sort(np.concatenate([parts[k] ^ salt[k] for k in leaders.tolist()]))
+    if not len(known):
+        return none
+    common = np.zeros(len(a), np.int64)
+    upto = np.cumsum(size[b])
+    lo = 0
+    while lo < len(a):  # stretches of pairs of bounded size
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TASK_SHINGLES, side="right")))
+        own = size[b[lo:hi]]
+        asked = np.concatenate([parts[k] for k in b[lo:hi].tolist()]) ^ np.repeat(salt[a[lo:hi]], own)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        common[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), own), weights=known[at] == asked, minlength=hi - lo)
+        lo = hi
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "common": pa.array(common)})
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of sets that are similar; pairs: written, distinct."""
+    """The pairs (a, b) of sets that are similar; pairs: written, distinct.
+
+    Pairs are dealt to a grid of tasks by both ends, so that a set goes to a task once, however many pairs it has there."""
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id"), "needed")
-    total = needed.agg(F.count("*").alias("n")).first()
+    total = needed.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     wanted = needed.select(F.col("doc_id").alias("wanted"))
     texts = docs.join(F.broadcast(wanted) if total.n <= MAX_BROADCAST else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
     segments = written(texts.mapInArrow(_segments(width), "set_id long, fragment int, hashes binary"), "segments")
-    sized = pairs.join(needed.select(F.col("set_id").alias("a"), F.col("n").alias("n_a")), "a").join(needed.select(F.col("set_id").alias("b"), F.col("n").alias("n_b")), "b")
-    sized = written(sized, "pairs")
-    work = sized.agg(F.sum("n_b").alias("w")).first().w or 0
-    tasks = int(max(1, work // TASK_SHINGLES)) * FRAGMENTS
-    sized = sized.withColumn("task", F.pmod(F.xxhash64("a", "b"), F.lit(tasks)))
-    anew = lambda df, **names: df.select(*[F.col(c).alias(n) for n, c in names.items()])  # noqa: E731  columns of their own
-    left = anew(sized, task="task", a="a", b="b").join(anew(segments, b="set_id", fragment="fragment", hashes="hashes"), "b")
-    right = anew(sized, task="task", a="a").distinct().join(anew(segments, a="set_id", fragment="fragment", hashes="hashes"), "a")
-    left, right = left.select("task", "fragment", "a", "b", "hashes"), right.select("task", "fragment", "a", "hashes")
+    side = int(max(1, -(-total.shingles // TASK_SHINGLES)))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    dealt = pairs.select("a", "b", (at("a") * side + at("b")).alias("task"))
+    sets = dealt.select(F.col("task").alias("task"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(segments, "set_id")
+    every = dealt.select("a", "b", "task", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     # fragments are counted apart, then summed
-    partial = left.groupBy("task", "fragment").cogroup(right.groupBy("task", "fragment")).applyInArrow(_overlaps, "a long, b long, common long")
-    found = partial.groupBy("a", "b").agg(F.sum("common").alias("common")).join(sized.select("a", "b", "n_a", "n_b"), ["a", "b"])
+    partial = every.groupBy("task", "fragment").cogroup(sets.groupBy("task", "fragment")).applyInArrow(_overlaps, "a long, b long, common long")
+    found = partial.groupBy("a", "b").agg(F.sum("common").alias("common")).filter("common > 0")
+    size = lambda c: needed.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"))
+    found = found.join(size("a"), "a").join(size("b"), "b")
     return written(found.filter(F.col("common") * share[1] >= (F.col("n_a") + F.col("n_b") - F.col("common")) * share[0]).select("a", "b"), "links")
 
 
@@ -306,9 +312,14 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
     info = written(docs.mapInArrow(_describe(width), "kind int, a long, b long, n long"), "sets")
     own = info.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n")
     classes = written(own.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    n_docs = own.count()
-    often = info.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3.0, FREQUENT_SHARE * n_docs))
-    often = often.orderBy(F.desc("n"), "a").limit(MAX_FREQUENT).select("a").toPandas()["a"].to_numpy(np.int64)
+    often = written(info.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "often")
+    least, held = 0, 0
+    for r in often.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():  # at most 10000 rows
+        if held + r.shingles > MAX_FREQUENT:
+            least = r.n + 1
+            break
+        held += r.shingles
+    often = often.filter(F.col("n") >= least).select("a").toPandas()["a"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     prefixes = docs.mapInArrow(_prefixes(width, share, frequent), "hash long, set_id long, n int, place int")
     met = prefixes.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_buckets(share), "kind int, a long, b long, n int, place int")

@@ -272,9 +272,9 @@ def span_block_semijoin(spark, d):
 
 @_query(f"""with {I.SPANS}, f as (select s.doc_id, s.page_id, s.span_no, min(b.block_no) as block_no from s join b on b.doc_id = s.doc_id and b.page_id = s.page_id
     where {_OVER} > 0.5 and ((s.type = 'text' and b.type in ('text', 'title', 'discarded')) or (s.type = 'image' and b.type = 'image_body')) group by all)
-  select s.doc_id, s.page_id, s.span_no, f.block_no from s left join f using (doc_id, page_id, span_no)""")
+  select s.doc_id, s.page_id, s.span_no, coalesce(f.block_no, -1) as block_no from s left join f using (doc_id, page_id, span_no)""")
 def span_first_block(spark, d):
-    return L.first_block(I.spans(spark, d), I.blocks(spark, d), 0.5, True).select("doc_id", "page_id", "span_no", "block_no")
+    return L.first_block(I.spans(spark, d), I.blocks(spark, d), 0.5, True).select("doc_id", "page_id", "span_no", "block_no").fillna(-1)
 
 
 @_query(f"with {I.GLYPHS} select doc_id, page_id, char_no, span_no from p")
@@ -291,17 +291,17 @@ def span_text(spark, d):
 _NEAR = """, n as (select o.doc_id, o.page as page_id, o.seq, min((abs(o.y - b.y0), b.block_no)) as best from o join b on b.doc_id = o.doc_id and b.page_id = o.page where not isnan(o.y) group by all)"""
 
 
-@_query(f"with {I.OUTLINE}{_NEAR} select o.doc_id, cast(o.page as bigint) as page_id, o.seq, best[2] as block_no, best[1] as dist from o left join n on n.doc_id = o.doc_id and n.page_id = o.page and n.seq = o.seq")
+@_query(f"with {I.OUTLINE}{_NEAR} select o.doc_id, cast(o.page as bigint) as page_id, o.seq, coalesce(best[2], -1) as block_no, coalesce(best[1], -1) as dist from o left join n on n.doc_id = o.doc_id and n.page_id = o.page and n.seq = o.seq")
 def nearest_block(spark, d):
     marks = I.outline(spark, d).withColumn("page_id", F.col("page").cast("long"))
-    return L.nearest_block(marks, I.blocks(spark, d)).select("doc_id", "page_id", "seq", "block_no", "dist")
+    return L.nearest_block(marks, I.blocks(spark, d)).select("doc_id", "page_id", "seq", "block_no", "dist").fillna(-1)
 
 
 @_query(f"""with {I.BLOCKS}, n as (select b.doc_id, b.page_id, b.block_no, min((c.y0 - b.y1, c.block_no)) as best from b join b c on c.doc_id = b.doc_id and c.page_id = b.page_id
     and c.block_no <> b.block_no and c.y0 >= b.y1 group by all)
-  select b.doc_id, b.page_id, b.block_no, best[2] as below_no, best[1] as below_dist from b left join n using (doc_id, page_id, block_no)""")
+  select b.doc_id, b.page_id, b.block_no, coalesce(best[2], -1) as below_no, coalesce(best[1], -1) as below_dist from b left join n using (doc_id, page_id, block_no)""")
 def nearest_below(spark, d):
-    return L.nearest_below(I.blocks(spark, d)).select("doc_id", "page_id", "block_no", "below_no", "below_dist")
+    return L.nearest_below(I.blocks(spark, d)).select("doc_id", "page_id", "block_no", "below_no", "below_dist").fillna(-1)
 
 
 @_query(f"with {I.BLOCKS} select doc_id, page_id, coalesce(median(cast(trunc(y1 - y0 + block_no % 5 / 2.0) as int)), 10) as line_h from b group by all")
