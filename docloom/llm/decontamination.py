@@ -64,10 +64,11 @@ def contained_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_item", "n_common")], F.lit(0.0).alias("containment"))
     sketches = known.select("item_id", F.explode("sketch").alias("hash"))
     by_words = docs.select("doc_id", words(F.col("text")).alias("words"))
-    hashes = F.flatten(F.array(*[
-        F.filter(F.transform(_shingles("words", w), lambda s: F.xxhash64(s)), lambda h, b=max(r.bound for r in bounds if r.width == w): h <= b)
-        for w in sorted({r.width for r in bounds})
-    ]))
+    def under_bound(w: int) -> Column:
+        bound = F.lit(max(r.bound for r in bounds if r.width == w))
+        return F.filter(F.transform(_shingles("words", w), lambda s: F.xxhash64(s)), lambda h: h <= bound)
+
+    hashes = F.flatten(F.array(*[under_bound(w) for w in sorted({r.width for r in bounds})]))
     met = by_words.select("doc_id", F.explode(hashes).alias("hash"))
     sketches = F.broadcast(sketches) if sum(r.n for r in bounds) <= MAX_BROADCAST else sketches
     candidates = met.join(sketches, "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("met"))

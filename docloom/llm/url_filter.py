@@ -46,6 +46,7 @@ BLOCKED_HOSTS = (
 
 @dataclass(frozen=True)
 class Level:
+    depth: int  # each level hashes in its own way, or wrong keys would stay wrong
     bits: int
     words: tuple[int, ...]
 
@@ -54,19 +55,19 @@ class Level:
         field = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded to one literal
         test = F.lit(True)
         for i in range(HASHES):
-            at = F.pmod(F.xxhash64(F.lit(i), key), F.lit(self.bits))
+            at = F.pmod(F.xxhash64(F.lit(self.depth * HASHES + i), key), F.lit(self.bits))
             test = test & (F.call_function("shiftright", F.get(field, (at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return test
 
 
-def _encoded(keys: DataFrame, n: int) -> Level:
+def _encoded(keys: DataFrame, n: int, depth: int) -> Level:
     bits = min(MAX_BITS, 64 * -(-max(64, n * BITS_PER_KEY) // 64))
-    spots = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), "key"), F.lit(bits)) for i in range(HASHES)])).alias("at"))
+    spots = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(depth * HASHES + i), "key"), F.lit(bits)) for i in range(HASHES)])).alias("at"))
     found = spots.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))).alias("v")).collect()
     words = [0] * (bits // 64)
     for r in found:  # at most bits / 64 rows
         words[r.word] = r.v
-    return Level(bits, tuple(words))
+    return Level(depth, bits, tuple(words))
 
 
 class Cascade:
@@ -84,7 +85,7 @@ class Cascade:
         keys = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
         universe = universe.filter("key is not null")
         # only listed keys that occur in the universe matter; the others are encoded at level 1 all the same
-        levels = [_encoded(keys, max(1, len(set(listed))))]
+        levels = [_encoded(keys, max(1, len(set(listed))), 0)]
         is_listed = F.col("key").isin(sorted(set(listed))) if len(set(listed)) <= 1000 else None
         if is_listed is None:
             universe = universe.join(keys.withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
@@ -96,7 +97,7 @@ class Cascade:
             n = wrong.count()
             if not n:
                 return cls(levels)
-            levels.append(_encoded(wrong, n))
+            levels.append(_encoded(wrong, n, len(levels)))
             # next: keys of the other side that this level holds wrongly
             wrong, against = against.filter(levels[-1].holds(F.col("key"))), wrong
         raise ValueError("the cascade doesn't end; give more bits a key")
