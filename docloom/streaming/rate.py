@@ -69,23 +69,19 @@ def admissions(requests: DataFrame, rpm: int = RPM, tpm: int = TPM, gap: int = G
 
 
 def admissions_stream(requests: DataFrame, rpm: int = RPM, tpm: int = TPM, gap: int = GAP) -> DataFrame:
-    """The same over a stream: the window's records are the agent's state and go when they have left it for good."""
+    """The same over a stream: the window's records, at most rpm of them, are the agent's state."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         times, sizes = state.get if state.exists else ([], [])
         window = Window(rpm, tpm, gap, list(zip(times, sizes)))
         rows = pd.concat(frames).sort_values(["us", "request_id"])
         yield rows.assign(admitted=[window.admit(u, n) for u, n in zip(rows["us"].tolist(), rows["tokens"].tolist())])
         state.update(([u for u, _ in window.records], [n for _, n in window.records]))
-        state.setTimeoutDuration((gap + 1) * 1000)
 
     flat = requests.select(*[F.col(c).cast("long").alias(c) for c in ("agent", "request_id", "us", "tokens")])
     return flat.groupBy("agent").applyInPandasWithState(
-        fold, "agent long, request_id long, us long, tokens long, admitted boolean", "times array<long>, sizes array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        fold, "agent long, request_id long, us long, tokens long, admitted boolean", "times array<long>, sizes array<long>", "append", GroupStateTimeout.NoTimeout
     )
 
 
