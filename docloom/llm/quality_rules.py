@@ -133,4 +133,49 @@ def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def _oracle() -> str:
+    def shares(column: str) -> str:
+        return f"list_transform({column}, lambda x: case when list_sum({column}) > 0 then x / list_sum({column}) else 0 end)"
+
+    def distance(p: str, q: str) -> str:
+        part = "(case when {0} > 0 then {0} * log2({0} / ((z[1] + z[2]) / 2)) else 0 end)"
+        return f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part.format('z[1]')} + {part.format('z[2]')})) / 2))"
+
+    common = " ".join(
+        f"when lang = '{lang}' then [" + ", ".join(f"cast(len(list_filter(w, lambda x: x = '{word}')) as double)" for word in words) + "]"
+        for lang, words in COMMON_WORDS.items()
+    )
+    n = len(COMMON_WORDS["en"]) + 1
+    mean = lambda c, k: "[" + ", ".join(f"avg({c}[{i}])" for i in range(1, k + 1)) + "]"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as lang from documents),
+a as (select *, list_filter(string_split_regex(t, '[{WS}]+'), lambda x: x <> '') as w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{WS}]')) as lines from d),
+g as (select doc_id, p, w[p : p + 2] as gram from (select doc_id, w, unnest(range(1, len(w) - 1)) as p from a where len(w) > 2)),
+h as (select doc_id, p, count(*) over (partition by doc_id, gram) as n from g),
+r as (select doc_id, count(distinct q) as n_repeat_words from (select doc_id, unnest([p, p + 1, p + 2]) as q from h where n > 1) group by doc_id),
+f as (
+  select a.doc_id, lang, len(w) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, length(t) as chars,
+    strlen(t) - length(t) as far, len(regexp_extract_all(t, '[A-Z]')) as capitals, len(regexp_extract_all(t, '[0-9]')) as digits,
+    case {common} end as own
+  from a left join r on a.doc_id = r.doc_id),
+e as (
+  select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed,
+    [cast(greatest(0, word_chars - n_symbols - capitals - digits) as double), capitals, digits, chars - word_chars, n_symbols, far] as classes,
+    list_append(own, greatest(0, n_words - list_sum(own))) as counts from f),
+s as (select *, {shares("classes")} as p, case when own is not null then {shares("counts")} end as q from e),
+m as (select lang, {mean("p", 6)} as ref_p, {mean("q", n)} as ref_q from s where not base_failed group by lang),
+j as (
+  select s.*, {distance("p", "ref_p")} as class_distance, case when q is not null then {distance("q", "ref_q")} end as word_distance, ref_p is not null as has
+  from s left join m on s.lang = m.lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (has and ((chars >= {MIN_CHARS} and class_distance > {MAX_CLASS_DISTANCE})
+    or coalesce(n_words >= {MIN_WORDS} and word_distance > {MAX_WORD_DISTANCE}, false))) as kept
+from j"""
+
+
+ORACLE = _oracle()

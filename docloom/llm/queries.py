@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_secret_scan": secrets.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
