@@ -7,8 +7,8 @@ ranges; a candidate pair's overlap is counted in each fragment apart, by other t
 Texts of equal sets are one node from the start, so exact copies make no pairs. In a prefix bucket each set is at first
 paired with one leader only, the set that has the bucket's shingle earliest; the verified links are closed to
 components. Then each bucket that still has several components gives its pairs between different components, less those
-that lengths or places in the order rule out. Pairs inside a component can't change it, so no component is lost, and a
-large group of near copies costs about one pair a copy.
+that lengths, places in the order or counts by range of the order rule out. Pairs inside a component can't change it,
+so no component is lost, and a large group of near copies costs about one pair a copy.
 
 Which shingles are put last is told by counts in blocks of texts; it only affects speed, as any common order is right.
 Nothing but that list, of at most MAX_FREQUENT hashes, is sent to the driver.
@@ -29,7 +29,9 @@ from docloom.llm.common import table, written
 
 FRAGMENTS = 4
 #: Slices of texts that are counted together to find frequent shingles.
-BLOCK_SLICES = 8
+BLOCK_SLICES = 24
+#: Ranges of the order in which a set's shingles are counted for its profile.
+PROFILE = 32
 #: Shingles that so many texts of a block have come last in the order, the most frequent ones up to a bound.
 FREQUENT = 3
 MAX_FREQUENT = 1_000_000
@@ -67,26 +69,36 @@ def _describe(width: int):
         def frequent() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             many = n >= FREQUENT
-            return _rows(np.ones(many.sum(), np.int32), found[many].view(np.int64), np.zeros(many.sum(), np.int64), n[many])
+            return _rows(np.ones(many.sum(), np.int32), found[many].view(np.int64), np.zeros(many.sum(), np.int64), n[many], [None] * int(many.sum()))
 
         for batch in batches:
             ids, n_of = batch.column(0).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.int64)
-            set_of = np.zeros(batch.num_rows, np.int64)
+            set_of, profiles = np.zeros(batch.num_rows, np.int64), []
             for lo, hi, made, first in _sets(batch.column(1), width):
+                profiles += _profiles(made, first)
                 n_of[lo:hi] = np.diff(first)
                 set_of[lo:hi] = [_set_id(made[a:b]) for a, b in zip(first[:-1], first[1:])]
                 block.append(made)
                 if len(block) >= BLOCK_SLICES:
                     yield frequent()
                     block = []
-            yield _rows(np.zeros(len(ids), np.int32), ids.astype(np.int64), set_of, n_of)
+            yield _rows(np.zeros(len(ids), np.int32), ids.astype(np.int64), set_of, n_of, profiles)
         yield frequent()
 
     return run
 
 
-def _rows(kind, a, b, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+def _rows(kind, a, b, n, profile) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "profile": pa.array(profile, pa.binary())})
+
+
+def _profiles(made: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many shingles each set has in each range of the order, one byte each; 255: as many or more."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    counts = np.bincount(row * PROFILE + (made >> np.uint64(59)).astype(np.int64), minlength=n * PROFILE)
+    flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return [flat[k * PROFILE : (k + 1) * PROFILE] for k in range(n)]
 
 
 def _prefixes(width: int, share: tuple[int, int], frequent):
@@ -177,7 +189,8 @@ def _buckets(share: tuple[int, int]):
 
 
 def _crossing(share: tuple[int, int]):
-    """a, b: possible pairs of each bucket between different components. Rows come by hash."""
+    """a, b: pairs of different components of a bucket whose sizes, places in the order and counts by range allow the
+    similarity. Rows come by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
             first = np.flatnonzero(np.concatenate([[True], g["hash"][1:] != g["hash"][:-1]]))
@@ -190,15 +203,20 @@ def _crossing(share: tuple[int, int]):
                 n, place, sets = g["n"][a:b].astype(np.int64), g["place"][a:b].astype(np.int64), g["set_id"][a:b]
                 order = np.argsort(n, kind="stable")
                 c, n, place, sets = c[order], n[order], place[order], sets[order]
+                profile = np.frombuffer(b"".join(g["profile"][a:b][order].tolist()), np.uint8).reshape(b - a, PROFILE)
+                full = (profile == 255).any(axis=1)  # too large to tell
                 # of a set's larger ones only those up to n / share can be similar
                 upto = np.searchsorted(n, n * share[1] // share[0], side="right")
-                for lo in range(0, b - a, 256):
-                    hi = min(b - a, lo + 256)
-                    cols = slice(lo, int(upto[hi - 1]))
-                    ok = (c[lo:hi, None] != c[None, cols]) & _possible(share, n[lo:hi, None], place[lo:hi, None], n[None, cols], place[None, cols])
-                    i, j = np.nonzero(ok)
-                    up = j > i
-                    i, j = lo + i[up], lo + j[up]
+                for lo in range(0, b - a, 64):
+                    hi = min(b - a, lo + 64)
+                    cols = np.arange(lo, int(upto[hi - 1]))
+                    i, j = np.nonzero((c[lo:hi, None] != c[None, cols]) & (cols[None, :] > np.arange(lo, hi)[:, None]) & (cols[None, :] < upto[lo:hi, None]))
+                    i, j = lo + i, cols[j]
+                    early = _possible(share, n[i], place[i], n[j], place[j])
+                    i, j = i[early], j[early]
+                    most = np.minimum(profile[i], profile[j]).sum(axis=1, dtype=np.int64)
+                    fits = full[i] | full[j] | (most * (share[0] + share[1]) >= share[0] * (n[i] + n[j]))
+                    i, j = i[fits], j[fits]
                     if len(i):
                         out.append(np.stack([np.minimum(sets[i], sets[j]), np.maximum(sets[i], sets[j])]))
             if out:
@@ -309,9 +327,10 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = written(docs.mapInArrow(_describe(width), "kind int, a long, b long, n long"), "sets")
-    own = info.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n")
-    classes = written(own.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
+    info = written(docs.mapInArrow(_describe(width), "kind int, a long, b long, n long, profile binary"), "sets")
+    own = info.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n", "profile")
+    described = written(own.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("profile").alias("profile")), "classes")
+    classes, own = described.select("set_id", "doc_id", "n"), own.drop("profile")
     often = written(info.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "often")
     least, held = 0, 0
     for r in often.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():  # at most 10000 rows
@@ -328,7 +347,8 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
     links = _verified(docs, classes, stars, width, share)
     nodes = components(links)
     members = met.filter("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("set_id"), "n", "place")
-    members = members.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").select("hash", "set_id", "n", "place", F.coalesce("component", "set_id").alias("component"))
+    members = members.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").join(described.select(F.col("set_id").alias("set_id"), F.col("profile").alias("profile")), "set_id")
+    members = members.select("hash", "set_id", "n", "place", F.coalesce("component", "set_id").alias("component"), "profile")
     crossing = members.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_crossing(share), "a long, b long").distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
