@@ -1,10 +1,11 @@
 """Secret scan with multipart credential linking.
 
 Base secrets are reported wherever they stand: assignments of long values, access identifiers, long hexadecimal runs.
-Weak parts (user names, short or oddly named secrets, endpoints) are ordinary text by themselves. They are reported only
-where complementary parts co-occur in a scope of SCOPE code points: an identifier beside a secret, a secret beside an
-identifier, an endpoint beside both. The interval join of the parts of a document is done by two ordered windows, which
-give each part the nearest part of each role before and after it; no pairs are made, however many parts a text has.
+Weak parts (user names, short secrets, oddly named ones of any length, endpoints) are ordinary text by themselves. They
+are reported only where complementary parts co-occur in a scope of SCOPE code points: an identifier beside a secret, a
+secret beside an identifier, an endpoint beside both. The interval join of the parts of a document is done by two ordered
+windows, which give each part the nearest part of each role before and after it; no pairs are made, however many parts a
+text has.
 
 A pattern's places follow from the lengths of what lies between its matches and of the matches themselves. Only texts
 that hold a pattern's necessary characters are searched for it, and only found parts are shuffled, never texts.
@@ -27,6 +28,8 @@ def _any_case(words: str) -> str:
 
 
 _ASSIGNED = r"""["']?\x20*[:=]\x20*["']?"""
+#: Keys under which long values are base secrets; PARTS' most length holds under these only.
+_BASE_KEYS = _any_case("password|passwd|secret|token|api_?key")
 #: (kind, role, pattern, group whose length counts, least length, most length); base kinds first, in the contract's order.
 PARTS = (
     ("assign", "secret", f"({_any_case('password|passwd|secret|token|api_?key')}){_ASSIGNED}([A-Za-z0-9+/_.=-]+)", 2, 12, None),
@@ -42,8 +45,9 @@ _NEEDS = {"assign": ("=", ":"), "access": ("AKIA",), "hex": (), "user": ("=", ":
 
 
 def _found(text: Column, k: int) -> Column:
-    """array<struct<kind, i, gap, len, size>>: all matches, failing ones too, with what lies before each."""
-    kind, _, pattern, group, least, _ = PARTS[k]
+    """array<struct<kind, i, gap, len, size, bound>>: all matches, failing ones too, with what lies before each; bound tells
+    whether the most length holds."""
+    kind, _, pattern, group, least, most = PARTS[k]
     may = F.lit(False)
     for s in _NEEDS[kind]:
         may = may | (F.instr(text, s) > 0)
@@ -54,8 +58,9 @@ def _found(text: Column, k: int) -> Column:
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
     rows = F.transform(
         F.arrays_zip(match.alias("m"), sized.alias("v"), F.split(text, pattern, -1).alias("p")),
-        lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("len"), F.length(x["v"]).alias("size")),
-    )
+        lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("len"), F.length(x["v"]).alias("size"),
+            (F.lit(False) if most is None else x["m"].rlike(f"^({_BASE_KEYS})")).alias("bound")),
+    )
     rows = F.filter(rows, lambda x: x["len"].isNotNull())  # after the last match there is one more piece
     return F.when(may, rows)
 
@@ -63,7 +68,7 @@ def _found(text: Column, k: int) -> Column:
 def secret_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kind (place in PARTS), start, end (code points, end exclusive), linked: one row for each part."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    empty = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,size:int>>")
+    empty = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,size:int,bound:boolean>>")
     every = F.concat(*[F.coalesce(_found(F.col("text"), k), empty) for k in range(len(PARTS))])
     rows = docs.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")
     upto = W.partitionBy("doc_id", "kind").orderBy("i")
@@ -72,7 +77,7 @@ def secret_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     role, passes = F.lit(None).cast("string"), F.lit(False)
     for k, (_, r, _, _, least, most) in enumerate(PARTS):
         role = F.when(F.col("kind") == k, r).otherwise(role)
-        passes = F.when(F.col("kind") == k, (F.col("size") >= least) & (F.lit(most is None) | (F.col("size") <= (most or 0)))).otherwise(passes)
+        passes = F.when(F.col("kind") == k, (F.col("size") >= least) & (~F.col("bound") | (F.col("size") <= (most or 0)))).otherwise(passes)
     rows = rows.filter(passes).withColumn("role", role)
     before = W.partitionBy("doc_id").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy("doc_id").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
