@@ -170,8 +170,8 @@ def _title_pairs(spark, d):
     from pyspark.sql import Window as W
 
     rows = I.md_lines(spark, d).filter(T.is_heading(F.col("line"))).select("doc_id", "i", F.regexp_replace("line", "^#+ ", "").alias("a"))
-    rows = rows.withColumn("b", F.lag("a").over(W.partitionBy("doc_id").orderBy("i"))).filter("b is not null")
-    return rows.filter(F.col("a").rlike("^[ -~]*$") & F.col("b").rlike("^[ -~]*$"))
+    rows = rows.withColumn("b", F.lag("a").over(W.partitionBy("doc_id").orderBy("i")))
+    return rows.filter("b is not null")
 
 
 @_query(_PAIRS + """ select doc_id, i, levenshtein(lower(a), lower(b)) as dist, least(10, cast(floor(length(trim(b)) * 0.3) as int)) as most,
