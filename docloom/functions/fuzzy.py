@@ -16,6 +16,8 @@ TITLE_STARTS = ("part", "chapter", "appendix")
 #: Marks that don't count as a difference, and how many others may differ.
 FREE_MARKS = ("$", " ", " ")
 ALLOWED = 3
+#: Rows of the table of distances that are kept for the steps back.
+BAND = 64
 
 
 def edit_limit(title: Column, most: int = EDIT_MAX, rate: float = EDIT_RATE) -> Column:
@@ -56,22 +58,49 @@ def _table(a: str, b: str) -> np.ndarray:
     return out
 
 
+def _below(row: np.ndarray, c: str, chars: np.ndarray) -> np.ndarray:
+    """The row of distances after one more character c; rows may be cut on the right."""
+    steps = np.arange(len(row))
+    out = np.empty(len(row), np.int64)
+    out[0] = row[0] + 1
+    out[1:] = np.minimum(row[1:] + 1, row[:-1] + (chars[: len(row) - 1] != ord(c)))
+    return np.minimum.accumulate(out - steps) + steps
+
+
 def edits(a: str, b: str) -> list[tuple[str, str]]:
     """How a becomes b, from the end: (character, SKIP, ADD, REPLACE or DEL). Equal characters are skipped; of equally
-    short ways, deletion comes before addition before replacement."""
-    d, i, j, out = _table(a, b), len(a), len(b), []
-    while i or j:
-        if not i:
-            step = "ADD"
-        elif not j:
-            step = "DEL"
-        elif a[i - 1] == b[j - 1]:
-            step = "SKIP"
-        else:
-            step = min(("DEL", d[i - 1, j]), ("ADD", d[i, j - 1]), ("REPLACE", d[i - 1, j - 1]), key=lambda x: x[1])[0]
-        out.append((a[i - 1] if step in ("SKIP", "DEL") else b[j - 1], step))
-        i, j = i - (step != "ADD"), j - (step != "DEL")
-    return out
+    short ways, deletion comes before addition before replacement.
+
+    At most BAND rows of distances and one for each halving of a down to BAND are held at a time."""
+    chars, out = np.array([ord(c) for c in b], np.int64), []
+
+    def back(lo: int, hi: int, top: np.ndarray, j: int) -> int:
+        """Steps from (hi, j) up to row lo, whose distances are top; the column reached."""
+        if hi - lo > BAND:
+            mid = (lo + hi) // 2
+            row = top
+            for c in a[lo:mid]:
+                row = _below(row, c, chars)
+            j = back(mid, hi, row, j)
+            return back(lo, mid, top[: j + 1], j)
+        d = [top]
+        for c in a[lo:hi]:
+            d.append(_below(d[-1], c, chars))
+        i = hi
+        while i > lo:
+            if not j:
+                step = "DEL"
+            elif a[i - 1] == b[j - 1]:
+                step = "SKIP"
+            else:
+                up, here = d[i - 1 - lo], d[i - lo]
+                step = min(("DEL", up[j]), ("ADD", here[j - 1]), ("REPLACE", up[j - 1]), key=lambda x: x[1])[0]
+            out.append((a[i - 1] if step in ("SKIP", "DEL") else b[j - 1], step))
+            i, j = i - (step != "ADD"), j - (step != "DEL")
+        return j
+
+    j = back(0, len(a), np.arange(len(b) + 1), len(b))
+    return out + [(c, "ADD") for c in reversed(b[:j])]
 
 
 def same_heading(source: str, other: str, allowed: int = ALLOWED, free: tuple[str, ...] = FREE_MARKS) -> bool:

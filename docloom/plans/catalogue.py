@@ -190,7 +190,7 @@ def prefix_match(spark, d):
 
 @_query()
 def edit_trace(spark, d):
-    b = I.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 3, 40).alias("b"))
+    b = I.table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.expr("substr(text, 3)").alias("b"))
     return b.select("item_id", Z.edit_trace("a", "b").alias("trace"), Z.is_same_heading("a", "b").alias("same"))
 
 

@@ -1,8 +1,12 @@
 """Whole results where a query once left something out."""
 
+import random
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import fuzzy as Z
 from docloom.functions import text as T
 from docloom.plans import catalogue
 from docloom.plans import derived as I
@@ -42,3 +46,34 @@ def test_all_title_prefixes(spark, titles):
     got = {(r.doc_id, r.i): r.may for r in catalogue.QUERIES["prefix_match"](spark, SF).collect()}
     starts = ("part", "chapter", "appendix")
     assert got == {k: b.lower().startswith(a.split(" ")[0].lower()) or any(a.split(" ")[0].lower().startswith(s) and b.lower().startswith(s) for s in starts) for k, (a, b) in titles.items()}
+
+
+def test_edits_in_bands(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        monkeypatch.setattr(Z, "BAND", 1000)
+        whole = Z.edits(a, b)
+        monkeypatch.setattr(Z, "BAND", rng.randint(1, 6))
+        assert Z.edits(a, b) == whole
+        assert sum(s != "SKIP" for _, s in whole) >= distance(a, b)
+        assert "".join(c for c, s in reversed(whole) if s in ("SKIP", "ADD", "REPLACE")) == b
+
+
+def test_edits_of_long_texts_in_little_memory():
+    a = "".join(random.Random(5).choice("abcdefgh") for _ in range(4000))
+    tracemalloc.start()
+    assert len(Z.edits(a, a[2:])) >= 4000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6  # the whole table takes 128 MB
+
+
+def test_whole_benchmark_texts_are_traced(spark):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = catalogue.QUERIES["edit_trace"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        steps = r.trace[::-1]
+        assert "".join(x.ch for x in steps if x.op != "DEL") == texts[r.item_id][2:]
+        assert sum(x.op != "ADD" for x in steps) == len(texts[r.item_id])
