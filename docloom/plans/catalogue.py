@@ -255,9 +255,16 @@ def vertical_span(spark, d):
     return L.vertical_spans(_tall(I.spans(spark, d))).select("doc_id", "page_id", "span_no")
 
 
+def _wide(s):
+    """Every seventh span ten times as wide."""
+    b = F.col("bbox")
+    wide = G.box(b["x0"], b["y0"], b["x0"] + G.width(b) * 10, b["y1"])
+    return s.withColumn("bbox", F.when(F.col("span_no") % 7 == 2, wide).otherwise(b))
+
+
 @_query(f"with {I.SPANS} select doc_id, page_id, span_no from s where length(content) * (y1 - y0) < (x1 - x0) * 0.5")
 def near_empty(spark, d):
-    return L.needs_reading(I.spans(spark, d)).select("doc_id", "page_id", "span_no")
+    return L.needs_reading(_wide(I.spans(spark, d))).select("doc_id", "page_id", "span_no")
 
 
 _OVER = "(case when (s.x1 - s.x0) * (s.y1 - s.y0) > 0 then greatest(0, least(s.x1, b.x1) - greatest(s.x0, b.x0)) * greatest(0, least(s.y1, b.y1) - greatest(s.y0, b.y0)) / ((s.x1 - s.x0) * (s.y1 - s.y0)) else 0 end)"
@@ -439,7 +446,7 @@ def header_history(spark, d):
 @_query(f"""with {I.CALLS}, {I.MEMO}, b as (select agent, prompt, (max((seq, response)))[2] as response from m group by all)
   select k.doc_id, k.chunk_no, k.agent, k.prompt, b.response, b.prompt is not null as hit from k left join b using (agent, prompt)""")
 def cache_lookup(spark, d):
-    return C.with_memo(I.calls(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt", "response", "hit")
+    return C.with_memo(I.asked(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt", "response", "hit")
 
 
 @_query(f"with {I.MEMO} select agent, prompt, (max((seq, response)))[2] as response, max(seq) as seq from m group by agent, prompt")
@@ -449,7 +456,7 @@ def cache_last_wins(spark, d):
 
 @_query(f"with {I.CALLS}, {I.MEMO} select doc_id, chunk_no, agent, prompt from k where not exists (select 1 from m where m.agent = k.agent and m.prompt = k.prompt)")
 def cache_misses(spark, d):
-    return C.misses(I.calls(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt")
+    return C.misses(I.asked(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt")
 
 
 @_query(f"with {I.CALLS} select doc_id, chunk_no, 'g' || ((row_number() over (partition by doc_id order by chunk_no) - 1) % 3) as agent from k")

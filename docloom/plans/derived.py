@@ -81,7 +81,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = F.col("block_no") % 4 * 3.0
     bbox = G.box(F.col("bbox.x0") + shift * 4, F.col("bbox.y0") + shift, F.col("bbox.x1") + shift, F.col("bbox.y1") + shift)
     kind = F.when(F.col("block_no") % 6 == 5, "image").when(F.col("block_no") % 6 == 4, "interline_equation").otherwise("text")
-    return b.select("doc_id", "page_id", F.col("block_no").alias("span_no"), kind.alias("type"), bbox.alias("bbox"), F.substring("content", 1, 40).alias("content"))
+    return b.select("doc_id", "page_id", F.col("block_no").alias("span_no"), kind.alias("type"), bbox.alias("bbox"), "content")
 
 
 SPANS = (
@@ -126,10 +126,10 @@ REQUESTS = "q as (select user_id % 4 as agent, event_id as request_id, epoch_us(
 
 
 def memo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agent, prompt, response, seq: what users say, shortened so that prompts recur, and what the assistant answers next."""
+    """agent, prompt, response, seq: what users say and what the assistant answers next."""
     c = table(spark, sf_dir, "conversations")
     nxt = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"]).select(F.concat(F.lit("a"), (F.col("conv_id") % 2).cast("string")).alias("agent"), F.substring("text", 1, 6).alias("prompt"), "response", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"]).select(F.concat(F.lit("a"), (F.col("conv_id") % 2).cast("string")).alias("agent"), F.col("text").alias("prompt"), "response", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
 
 
 MEMO = """
@@ -139,14 +139,21 @@ m as (
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agent, prompt, doc_id, chunk_no: the beginnings of all lines."""
+    """agent, prompt, doc_id, chunk_no: all lines."""
     lines = md_lines(spark, sf_dir)
-    return lines.select(F.concat(F.lit("a"), (F.col("doc_id") % 2).cast("string")).alias("agent"), F.substring("line", 1, 6).alias("prompt"), "doc_id", F.col("i").alias("chunk_no"))
+    return lines.select(F.concat(F.lit("a"), (F.col("doc_id") % 2).cast("string")).alias("agent"), F.col("line").alias("prompt"), "doc_id", F.col("i").alias("chunk_no"))
 
 
 CALLS = MD_LINES + ",\nk as (select 'a' || (doc_id % 2) as agent, substr(line, 1, 6) as prompt, doc_id, i as chunk_no from l)"
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agent, prompt, doc_id, chunk_no: what users say, asked again, in half of the conversations of the other agent."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    agent = F.concat(F.lit("a"), (F.floor(F.col("conv_id") / 2) % 2).cast("string"))
+    return c.select(agent.alias("agent"), F.col("text").alias("prompt"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"))
+
+
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_id, char_no, c, bbox: the characters of every benchmark item in lines of 30."""
     b = table(spark, sf_dir, "benchmark")

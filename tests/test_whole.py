@@ -1,6 +1,7 @@
 """Whole results where a query once left something out."""
 
 import random
+import re
 import tracemalloc
 
 import pytest
@@ -77,3 +78,29 @@ def test_whole_benchmark_texts_are_traced(spark):
         steps = r.trace[::-1]
         assert "".join(x.ch for x in steps if x.op != "DEL") == texts[r.item_id][2:]
         assert sum(x.op != "ADD" for x in steps) == len(texts[r.item_id])
+
+
+def test_near_empty_spans_by_whole_content(spark):
+    want = set()
+    for r in I.md_lines(spark, SF).collect():
+        n, shift = len(r.line), r.i % 4 * 3
+        width = (n * 6 - shift * 3) * (10 if r.i % 7 == 2 else 1)
+        if len(re.sub("^#+ ", "", r.line)) * 12 < width * 0.5:
+            want.add((r.doc_id, (r.i - 1) // 20, r.i))
+    got = {tuple(r) for r in catalogue.QUERIES["near_empty"](spark, SF).collect()}
+    assert got == want and 0 < len(got)
+
+
+def test_memo_by_whole_prompts(spark):
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    memo, users = {}, {k for k, r in turns.items() if r.role == "user"}
+    for c, t in sorted(users):
+        if (c, t + 1) in turns and turns[c, t + 1].role == "assistant":
+            memo[f"a{c % 2}", turns[c, t].text] = (turns[c, t + 1].text, c * 1000 + t)
+    got = {(r.agent, r.prompt): (r.response, r.seq) for r in catalogue.QUERIES["cache_last_wins"](spark, SF).collect()}
+    assert got == memo
+    calls = {(c, t): (f"a{c // 2 % 2}", turns[c, t].text) for c, t in users}
+    hits = {(r.doc_id, r.chunk_no): (r.agent, r.prompt, r.response, r.hit) for r in catalogue.QUERIES["cache_lookup"](spark, SF).collect()}
+    assert hits == {k: (*v, memo.get(v, (None,))[0], v in memo) for k, v in calls.items()}
+    missed = {(r.doc_id, r.chunk_no): (r.agent, r.prompt) for r in catalogue.QUERIES["cache_misses"](spark, SF).collect()}
+    assert missed == {k: v for k, v in calls.items() if v not in memo} and 0 < len(missed) < len(calls)
