@@ -30,8 +30,13 @@ PATTERNS = (
     ("phone", r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
 )
-ANY = "|".join(f"({p})" for _, p in PATTERNS)
+ANY = "|".join(f"({p})" for k, p in PATTERNS if k != "card")
 KINDS = [k for k, _ in PATTERNS]
+#: Maximal runs of 13 digits or more over single blanks and hyphens; the blocks of a run; what starts at each block and
+#: is long enough for a card.
+RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
+BLOCK = r"(?<=[ -])(?=[0-9])"
+AT_BLOCK = r"(?<![0-9])(?=[0-9])(?:(?=([0-9](?:[ -]?[0-9]){12,18}(?![0-9])))|)"
 #: 400 Gregorian years from FIRST_DAY on: 146097 = 189 * 773 days.
 FIRST_DAY, LAST_DAY = "1800-01-01", "2199-12-31"
 DAYS_A, DAYS_B = 189, 773
@@ -93,11 +98,49 @@ def _card(v: Column, key: str) -> Column:
             return _refill(v, F.concat(body, check.cast("string")))
 
         body = _permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, F.lit("card"))
-        return F.when(_luhn_sum(d) % 10 == 0, _let(body, closed))
+        return _let(body, closed)
 
     return _let(_digits(v), mapped)
 
 
+def _cards(run: Column, key: str) -> Column:
+    """struct<text, n>: a run of digit blocks with its n cards replaced.
+
+    A card is one block or several neighbouring ones with 13 to 19 digits and a right check digit; from the left, at each
+    block the longest."""
+    def longest(window: Column) -> Column:
+        """The longest card that the window starts with, or null. The window ends with a block."""
+        sizes = F.array(*[F.regexp_extract(window, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1)])
+        valid = F.filter(sizes, lambda c: F.when(c != "", _luhn_sum(_digits(c)) % 10 == 0).otherwise(False))
+        return F.when(window != "", F.get(valid, F.lit(0)))
+
+    at = F.transform(F.regexp_extract_all(run, F.lit(AT_BLOCK), F.lit(1)), longest)
+    blocks = F.arrays_zip(F.split(run, BLOCK, -1).alias("block"), at.alias("card"))  # a block with the mark after it
+    # left: characters of a card that are still to come; below 0 a mark follows the card
+    def step(s: Column, x: Column) -> Column:
+        def after(left: Column, out: Column, n: Column) -> Column:
+            rest = left - F.length(x["block"])
+            return F.struct(rest.alias("left"), F.concat(out, F.when(rest < 0, F.right(x["block"], F.lit(1))).otherwise("")).alias("text"), n.alias("n"))
+
+        begins = F.length(x["card"])
+        return F.when(s["left"] > 0, after(s["left"], s["text"], s["n"])).when(
+            x["card"].isNotNull(), after(begins, F.concat(s["text"], _card(x["card"], key)), s["n"] + 1)
+        ).otherwise(F.struct(F.lit(0).alias("left"), F.concat(s["text"], x["block"]).alias("text"), s["n"].alias("n")))
+
+    out = F.aggregate(blocks, F.struct(F.lit(0).alias("left"), F.lit("").alias("text"), F.lit(0).alias("n")), step)
+    return F.transform(F.array(out), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))[0]
+
+
+def _with_cards(piece: Column, key: str) -> Column:
+    """struct<text, n>: a piece of text with its n cards replaced."""
+    def of(runs: Column) -> Column:
+        both = F.zip_with(F.split(piece, RUN, -1), runs, lambda p, r: F.concat(p, F.coalesce(r["text"], F.lit(""))))
+        return F.struct(F.array_join(both, "").alias("text"), F.aggregate(runs, F.lit(0), lambda n, r: n + r["n"]).alias("n"))
+
+    runs = F.transform(F.regexp_extract_all(piece, F.lit(RUN), F.lit(0)), lambda r: _cards(r, key))
+    return F.when(piece.rlike(RUN), _let(runs, of)).otherwise(F.struct(piece.alias("text"), F.lit(0).alias("n")))
+
+
 def _phone(v: Column, key: str) -> Column:
     """The last ten digits; a country code stays."""
     def mapped(d: Column) -> Column:
@@ -156,27 +199,34 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), ascii_lower(v)), 256), 1, 16), F.lit("@example.invalid"))
 
 
-_MAPS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAPS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 def pseudonymise(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_found, n_email, n_ip, n_date, n_ssn, n_phone, n_card (long).
 
     Values that fail their validation (a card's check digit, a date's calendar, an address's bytes, a number's area)
-    stay as they are and aren't counted. Null texts stay null with counts of 0; empty ones stay empty; repeated rows are
+    stay as they are and aren't counted. Cards are looked for after all else, in the digit blocks that are left, so one
+    beside an expiry date or a code is found; where a longer grouping passes by chance, it is taken as the card.
+
+    Dates are year-month-day or day-month-year: a month-first one stays if its day is over 12. Telephone numbers have
+    the North American layout with a bracket, dot or hyphen after the area; others, such as '+1 555 123 4567', stay.
+
+    Null texts stay null with counts of 0; empty ones stay empty; repeated rows are
     treated alike; extra columns aren't carried; an empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     may = F.col("text").rlike("[0-9@]")
     found = F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     docs = docs.withColumn("found", found)
-    has = F.size("found") > 0
-    docs = docs.withColumn("pieces", F.when(has, F.split("text", ANY, -1)))
+    has = (F.size("found") > 0) | F.col("text").rlike(RUN)
+    docs = docs.withColumn("cut", F.when(has, F.transform(F.split("text", ANY, -1), lambda p: _with_cards(p, key))))
+    docs = docs.withColumn("pieces", F.transform("cut", lambda p: p["text"]))
 
     def kind_of(v: Column) -> Column:
         """The first kind whose whole pattern the value has; look-arounds hold at its ends."""
         out = F.lit(None).cast("string")
-        for kind, pattern in reversed(PATTERNS):
+        for kind, pattern in reversed(PATTERNS[:-1]):
             out = F.when(v.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
         return out
 
@@ -193,7 +243,9 @@ def pseudonymise(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", t
     # pieces and values alternate; there is one more piece
     both = F.flatten(F.zip_with("pieces", F.transform("new", lambda x: x["to"]), lambda p, m: F.array(p, F.coalesce(m, F.lit("")))))
     count = lambda k: F.coalesce(F.size(F.filter("new", lambda x: x["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}")
-    out = docs.select("doc_id", F.when(has, F.array_join(both, "")).otherwise(F.col("text")).alias("text"), *[F.when(has, count(k)).otherwise(F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS])
+    cards = F.coalesce(F.aggregate("cut", F.lit(0).cast("long"), lambda n, p: n + p["n"]), F.lit(0).cast("long"))
+    counts = [F.when(has, cards if k == "card" else count(k)).otherwise(F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS]
+    out = docs.select("doc_id", F.when(has, F.array_join(both, "")).otherwise(F.col("text")).alias("text"), *counts)
     total = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))
     return out.select("doc_id", "text", total.alias("n_found"), *[f"n_{k}" for k in KINDS])
 
