@@ -216,12 +216,16 @@ def outline_stats(spark, d):
 
 @_query()
 def outline_scan(spark, d):
-    # each page's <h1> under the page before it, three to a parent
-    p = I.table(spark, d, "pages").select(F.floor(F.col("page_id") / 9).alias("doc_id"), (F.col("page_id") % 9).alias("id"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"))
-    down = F.when(F.col("id") % 3 == 0, F.col("id") + 1)
-    nxt = F.when((F.col("id") % 3 == 0) & (F.col("id") < 6), F.col("id") + 3).when(F.col("id") % 3 == 1, F.col("id") + 1)
-    whole = p.groupBy("doc_id").agg(F.count("*").alias("n_pages")).filter("n_pages = 9")
-    nodes = p.join(whole, "doc_id").withColumn("down", down).withColumn("next", nxt).withColumn("is_root", F.col("id") == 0)
+    # each page's <h1> under the page before it, three to a parent, by place among the pages of its nine that are there
+    from pyspark.sql import Window as W
+
+    by_id = W.partitionBy("doc_id").orderBy("page_id")
+    p = I.table(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 9).alias("doc_id"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"))
+    p = p.withColumn("id", F.row_number().over(by_id).cast("long") - 1).withColumn("n_pages", F.count("*").over(W.partitionBy("doc_id")))
+    at = lambda k: F.lead("id", k).over(by_id)
+    down = F.when(F.col("id") % 3 == 0, at(1))
+    nxt = F.when(F.col("id") % 3 == 0, at(3)).when(F.col("id") % 3 == 1, at(1))
+    nodes = p.withColumns({"down": down, "next": nxt, "is_root": F.col("id") == 0}).drop("page_id")
     return O.scan(nodes.withColumn("internal", F.lit(True)).withColumn("page", F.col("id").cast("int")).withColumn("x", F.lit(0.0)).withColumn("y", F.col("id") * 10.0))
 
 

@@ -104,3 +104,11 @@ def test_memo_by_whole_prompts(spark):
     assert hits == {k: (*v, memo.get(v, (None,))[0], v in memo) for k, v in calls.items()}
     missed = {(r.doc_id, r.chunk_no): (r.agent, r.prompt) for r in catalogue.QUERIES["cache_misses"](spark, SF).collect()}
     assert missed == {k: v for k, v in calls.items() if v not in memo} and 0 < len(missed) < len(calls)
+
+
+def test_incomplete_groups_of_pages_are_scanned(spark, tmp_path):
+    ids = [*range(9), 9, 11, 12, 14, 18]
+    spark.createDataFrame([(k, f"<h1>t{k}</h1>") for k in ids], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalogue.QUERIES["outline_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.title) for r in got) == sorted((k // 9, f"t{k}") for k in ids)
+    assert [r.grade for r in sorted(got, key=lambda r: r.seq) if r.doc_id == 1] == [1, 2, 2, 1]
