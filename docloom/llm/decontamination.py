@@ -1,10 +1,10 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
 The items are dealt to partitions by the number s of their distinct shingles, powers of two apart. An item's sketch is
 its b MinHash values, the b smallest hashes of its shingles, with b = s - ceil(THRESHOLD * s) + 1: a text that contains
 the share THRESHOLD of the item lacks at most b - 1 of its shingles, so it has one of the sketch, wherever it stands in
-however long a text. The partitions bound their sketches' hashes; a text's shingles above the largest bound are dropped
-before they meet any sketch. Texts and items that share a sketch value are candidates, which are verified by counting
+however long a text. One bound for each width, the largest over all partitions, drops a text's other shingles before
+they meet any sketch; the search itself isn't partitioned. Texts and items that share a sketch value are candidates, which are verified by counting
 the item's shingles that the text contains, as strings.
 
 DataFrame expressions only. Sketches, and candidates that choose the texts to be read again, are broadcast while they
