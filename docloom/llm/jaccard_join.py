@@ -1,17 +1,21 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Texts are sets of hashed word shingles in one global order: shingles that very many texts have come last, the others by
-hash. Two sets of the wanted similarity share a shingle of their prefixes in that order. The order is cut into FRAGMENTS
-ranges; a candidate pair's overlap is counted in each fragment apart, by other tasks, and the partial counts are summed.
-
-Texts of equal sets are one node from the start, so exact copies make no pairs. In a prefix bucket each set is at first
-paired with one leader only, the set that has the bucket's shingle earliest; the verified links are closed to
-components. Then each bucket that still has several components gives its pairs between different components, less those
-that lengths, places in the order or counts by range of the order rule out. Pairs inside a component can't change it,
-so no component is lost, and a large group of near copies costs about one pair a copy.
-
-Which shingles are put last is told by counts in blocks of texts; it only affects speed, as any common order is right.
-Nothing but that list, of at most MAX_FREQUENT hashes, is sent to the driver.
+Texts are sets of hashed word shingles. Two sets of the wanted similarity share a shingle of their prefixes in any one
+global order; here rare shingles come first, so that a passage which other texts have too makes no candidates of texts
+that also have words of their own. The order is: the shingles of one range of hashes by the number of texts that have
+them, then the others by hash, then those that blocks of texts show to be very common. The range, REGION times the
+dissimilarity, is what prefixes are mostly taken from, and all that has to be counted.
+
+The hashes are cut into fragments. A candidate pair's overlap is counted in each fragment apart, by other tasks, and the
+partial counts are summed. Pairs are dealt by where they come from, so that a set goes to few tasks, however many pairs
+it has.
+
+Texts of equal sets (by 128 bits) are one node from the start, so exact copies make no pairs. In a prefix bucket each
+set is at first paired with one leader only, the set that has the bucket's shingle earliest; the verified links are
+closed to components. Then each bucket that still has several components gives its pairs between different components,
+less those that lengths and places in the order rule out. Pairs inside a component can't change it, so no component is
+lost, and a large group of near copies costs about one pair a copy. A bucket of over BUCKET sets is dealt to parts, which
+are paired with each other's sets through their leaders at first, and part with part after that.
 """
 
 from __future__ import annotations
@@ -22,23 +26,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as V
-from docloom.llm.common import table, written
+from docloom.llm.common import released, table, written
 
 FRAGMENTS = 4
-#: Slices of texts that are counted together to find frequent shingles.
+#: Share of the hashes that is counted, as a multiple of 1 - share.
+REGION = 1.6
+#: Slices of texts that are counted together to find very common shingles, and the texts that make one common there.
 BLOCK_SLICES = 24
-#: Ranges of the order in which a set's shingles are counted for its profile.
-PROFILE = 32
-#: Shingles that so many texts of a block have come last in the order, the most frequent ones up to a bound.
 FREQUENT = 3
+#: Common shingles that are known to all tasks, 16 bytes each; the most common ones, as any order gives right results.
 MAX_FREQUENT = 1_000_000
-#: Sets of so many texts at most are chosen by broadcast, beyond that by shuffle.
-MAX_BROADCAST = 2_000_000
-#: Shingles of the pairs that meet in one verification task and fragment.
-TASK_SHINGLES = 2_000_000
+#: Sets of a bucket that meet in one part.
+BUCKET = 20_000
+#: Pairs of one leader, and sets on one side of a bucket's pairs, that are counted in one group.
+DEALT, SIDE = 256, 512
+#: Shingles before its place that a set of a bucket is known by.
+EARLY = 4
+#: Bytes of hashes that are counted in one group, about.
+GROUP_BYTES = 64 << 20
+#: Bytes of (document, set) rows up to which texts are chosen by broadcast, beyond that by shuffle; 40 bytes a row.
+MAX_BROADCAST = 64 << 20
+#: Shingles that are looked up, and pairs that are tested, at once.
+LOOKED_UP = 2_000_000
+_OTHERS, _COMMON = 1 << 40, 1 << 41
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -46,7 +60,7 @@ def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, n
     for lo, hi, body, off in V.slices(texts):
         body = V.LOWER[body]
         start, end, row = V.runs((~V.SPACE[body]).view(np.uint8), off)
-        made, rows = V.shingles(V.span_hashes(V.prefix_sums(body), start, end), row, hi - lo, width)
+        made, rows = V.shingles(V.span_hashes(body, start, end), row, hi - lo, width)
         order = np.argsort(made, kind="stable")
         made, rows = made[order], rows[order]
         order = np.argsort(rows, kind="stable")
@@ -57,91 +71,121 @@ def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, n
         yield lo, hi, made, np.searchsorted(rows, np.arange(hi - lo + 1))
 
 
-def _set_id(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _set_ids(made: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two signed numbers a row."""
+    raw = memoryview(np.ascontiguousarray(made)).cast("B")
+    cut = (first * 8).tolist()
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:])]), np.int64).reshape(-1, 2)
 
 
 def _describe(width: int):
-    """kind 0: a = doc_id, b = set id, n = size; kind 1: a = a shingle of a block that is frequent there, n = its texts."""
+    """kind 0: doc_id, hi and lo of its set, n = size; kind 1: hi = a shingle that is common in a block, n = its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[np.ndarray] = []
 
-        def frequent() -> pa.RecordBatch:
+        def common() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             many = n >= FREQUENT
-            return _rows(np.ones(many.sum(), np.int32), found[many].view(np.int64), np.zeros(many.sum(), np.int64), n[many], [None] * int(many.sum()))
+            k = int(many.sum())
+            return _described(1, pa.nulls(k, pa.int64()), found[many].view(np.int64), np.zeros(k, np.int64), n[many])
 
         for batch in batches:
-            ids, n_of = batch.column(0).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.int64)
-            set_of, profiles = np.zeros(batch.num_rows, np.int64), []
+            n_of, set_of = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
             for lo, hi, made, first in _sets(batch.column(1), width):
-                profiles += _profiles(made, first)
                 n_of[lo:hi] = np.diff(first)
-                set_of[lo:hi] = [_set_id(made[a:b]) for a, b in zip(first[:-1], first[1:])]
+                set_of[lo:hi] = _set_ids(made, first)
                 block.append(made)
                 if len(block) >= BLOCK_SLICES:
-                    yield frequent()
+                    yield common()
                     block = []
-            yield _rows(np.zeros(len(ids), np.int32), ids.astype(np.int64), set_of, n_of, profiles)
-        yield frequent()
+            yield _described(0, batch.column(0), set_of[:, 0], set_of[:, 1], n_of)
+        yield common()
 
     return run
 
 
-def _rows(kind, a, b, n, profile) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "profile": pa.array(profile, pa.binary())})
+def _described(kind: int, doc, hi, lo, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(n), kind, np.int32)), "doc_id": doc, "hi": pa.array(hi), "lo": pa.array(lo), "n": pa.array(n)})
 
 
-def _profiles(made: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """How many shingles each set has in each range of the order, one byte each; 255: as many or more."""
-    n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    counts = np.bincount(row * PROFILE + (made >> np.uint64(59)).astype(np.int64), minlength=n * PROFILE)
-    flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
-    return [flat[k * PROFILE : (k + 1) * PROFILE] for k in range(n)]
+def _region(share: tuple[int, int]) -> int:
+    """Hashes whose upper 32 bits are below are counted."""
+    return min(1 << 32, int(REGION * (share[1] - share[0]) / share[1] * (1 << 32)))
 
 
-def _prefixes(width: int, share: tuple[int, int], frequent):
-    """hash, set_id, n, place: the prefix of each set, once a task for equal sets."""
+def _prefix_length(n, share: tuple[int, int]):
+    return n - (share[0] * n + share[1] - 1) // share[1] + 1
+
+
+def _offered(width: int, share: tuple[int, int], common):
+    """hash, hi, lo, size: of each set its shingles in the region, and the next ones in the order if these are fewer
+    than its prefix; equal sets once a task. size: n << 32 | shingles in the region; of a common shingle
+    -(n << 32 | texts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
-        seen: set[int] = set()
+        known, texts = common.value
+        seen: set[tuple[int, int]] = set()
+        bound = np.uint64(_region(share))
         for batch in batches:
             for lo, hi, made, first in _sets(batch.column(1), width):
-                at = np.searchsorted(last, made)
-                often = np.zeros(len(made), bool)
-                often[at < len(last)] = last[at[at < len(last)]] == made[at < len(last)]
-                rows = np.repeat(np.arange(hi - lo), np.diff(first))
-                ordered = made[np.lexsort((often, rows))]  # stable: by hash within
-                n = np.diff(first)
-                ids = np.array([_set_id(made[a:b]) for a, b in zip(first[:-1], first[1:])], np.int64)
-                fresh = n > 0
-                for k, s in enumerate(ids.tolist()):
+                n, ids = np.diff(first), _set_ids(made, first)
+                row = np.repeat(np.arange(hi - lo), n)
+                weight = np.zeros(len(made), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, made), len(known) - 1)
+                    weight = np.where(known[at] == made, texts[at], 0)
+                region = (weight == 0) & (made >> np.uint64(32) < bound)
+                if weight.any():
+                    order = np.lexsort((weight, row))  # stable: by hash within
+                    made, weight, region = made[order], weight[order], region[order]
+                held = np.bincount(row[region], minlength=hi - lo)
+                length = np.where(n > 0, np.maximum(held, _prefix_length(n, share)), 0)
+                for k, s in enumerate(map(tuple, ids.tolist())):
                     if s in seen:
-                        fresh[k] = False
+                        length[k] = 0
                     seen.add(s)
-                length = np.where(fresh, n - (share[0] * n + share[1] - 1) // share[1] + 1, 0)
-                place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - first[:-1], length)
+                size = np.repeat(n << 32, length)
+                often = weight[at]
+                size = np.where(often > 0, -(size | np.minimum(often, 2**31)), size | np.repeat(held, length))
                 yield pa.RecordBatch.from_pydict({
-                    "hash": pa.array(ordered[np.repeat(first[:-1], length) + place].view(np.int64)),
-                    "set_id": pa.array(np.repeat(ids, length)),
-                    "n": pa.array(np.repeat(n, length).astype(np.int32)),
-                    "place": pa.array(place.astype(np.int32)),
+                    "hash": pa.array(made[at].view(np.int64)), "hi": pa.array(np.repeat(ids[:, 0], length)), "lo": pa.array(np.repeat(ids[:, 1], length)), "size": pa.array(size),
                 })
 
     return run
 
 
+def _prefixes(offered: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """hi, lo, hash, place, bucket, parts: the prefix of each set, as far as other sets have its shingles.
+
+    place: the shingle's rank in its set, or less. bucket: its hash, or of one that very many sets have a part by set."""
+    # a common shingle isn't counted; its rows are dealt by set as well
+    spread = F.when(F.col("size") < 0, F.pmod(F.col("lo"), F.lit(1024))).otherwise(0)
+    one = W.partitionBy("hash", "spread")
+    rows = offered.withColumn("spread", spread).select("hash", "hi", "lo", "size", "spread", F.count(F.lit(1)).over(one).alias("sets"), (F.min("hi").over(one) != F.max("hi").over(one)).alias("x"), (F.min("lo").over(one) != F.max("lo").over(one)).alias("y"))
+    low = F.lit((1 << 32) - 1)
+    weight = F.when(F.col("size") < 0, F.lit(_COMMON) + (-F.col("size")).bitwiseAND(low)).when(F.shiftrightunsigned("hash", 32) < _region(share), F.col("sets")).otherwise(F.lit(_OTHERS))
+    rows = rows.filter("size < 0 or x or y").select("hi", "lo", "size", F.struct(weight.alias("weight"), "hash").alias("one"))
+    sets = rows.groupBy("hi", "lo").agg(F.sort_array(F.collect_set("one")).alias("found"), F.max(F.shiftright(F.abs("size"), 32)).alias("n"), F.coalesce(F.max(F.when(F.col("size") > 0, F.col("size").bitwiseAND(low))), F.lit(0)).alias("held"))
+    length = F.expr(f"n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")
+    # held - size(found) shingles that no other set has come first
+    alone = F.when(F.col("held") < length, 0).otherwise(F.col("held") - F.size("found"))
+    sets = sets.withColumn("alone", alone.cast("int")).withColumn("own", F.when(F.col("held") < length, F.size("found")).otherwise(F.greatest(length - F.col("alone"), F.lit(0))).cast("int"))
+    out = sets.filter("own > 0").select("hi", "lo", "alone", F.posexplode(F.slice("found", F.lit(1), F.col("own"))).alias("at", "one"))
+    texts = F.when(F.col("one.weight") >= _COMMON, F.col("one.weight") - _COMMON).when(F.col("one.weight") < _OTHERS, F.col("one.weight")).otherwise(0)
+    out = out.select("hi", "lo", F.col("one.hash").alias("hash"), (F.col("alone") + F.col("at")).alias("place"), (F.lit(1) + F.floor(texts / BUCKET)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts"))
+    return out.withColumn("part", part.cast("int")).withColumn("bucket", F.when(F.col("parts") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "part")))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Columns of stretches of rows that start and end with a whole group of the first column; rows come in its order."""
     kept: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-        key = new[batch.schema.names[0]]
-        cut = int(np.searchsorted(key, key[-1]))  # start of the last group
-        if cut or (kept and kept[-1][batch.schema.names[0]][-1] != key[0]):
+        key, new = batch.schema.names[0], {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+        cut = int(np.searchsorted(new[key], new[key][-1]))  # start of the last group
+        if cut or (kept and kept[-1][key][-1] != new[key][0]):
             kept.append({c: v[:cut] for c, v in new.items()})
             yield {c: np.concatenate([k[c] for k in kept]) for c in new}
             kept = []
@@ -156,212 +200,248 @@ def _possible(share: tuple[int, int], n1, p1, n2, p2):
     return np.minimum(n1 - p1, n2 - p2) >= need
 
 
+_PAIR = "a long, b long, n_a long, n_b long, label long, salt int"
+
+
+def _pairs(a, b, n_a, n_b, label, salt) -> dict[str, pa.Array]:
+    longs = {"a": a, "b": b, "n_a": n_a, "n_b": n_b, "label": label}
+    return {c: pa.array(x, pa.int64()) for c, x in longs.items()} | {"salt": pa.array(salt, pa.int32())}
+
+
+def _dealt(nodes: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    return (V.mix(nodes.view(np.uint64)) % ways.astype(np.uint64)).astype(np.int64)
+
+
 def _buckets(share: tuple[int, int]):
-    """kind 0: a = leader, b = set to be verified against it; kind 1: a = hash, b = set, n and place, of every bucket
-    with several sets. Rows come by hash and set."""
+    """kind 0: a pair of the bucket's leader a with b; 1: a = hash, b = a set, n_b and place, of each bucket with several
+    sets or parts; 2: the leader b of a part of the bucket of hash a; salt of these two is the part. Rows: bucket, hash,
+    node, n, place, parts, part by bucket and node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            new = np.ones(len(g["hash"]), bool)
-            new[1:] = (g["hash"][1:] != g["hash"][:-1]) | (g["set_id"][1:] != g["set_id"][:-1])
-            key, sets, n, place = (g[c][new] for c in ("hash", "set_id", "n", "place"))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(key)))
-            many = np.repeat(size > 1, size)
-            key, sets, n, place = key[many], sets[many], n[many].astype(np.int64), place[many].astype(np.int64)
-            size = size[size > 1]
+            first = np.flatnonzero(np.concatenate([[True], g["bucket"][1:] != g["bucket"][:-1]]))
+            size = np.diff(np.append(first, len(g["bucket"])))
+            many = np.repeat(size > 1, size) | (g["parts"] > 1)
+            size = size[many[first]]
             if not len(size):
                 continue
-            bucket = np.repeat(np.arange(len(size)), size)
-            # the leader: least relative place, then least set id
-            order = np.lexsort((sets, place / n, bucket))
-            lead = np.repeat(order[np.cumsum(size) - size], size)
-            pair = (sets[lead] != sets) & _possible(share, n[lead], place[lead], n, place)
-            k0, k1 = int(pair.sum()), len(sets)
-            yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [k0, k1])),
-                "a": pa.array(np.concatenate([sets[lead][pair], key])),
-                "b": pa.array(np.concatenate([sets[pair], sets])),
-                "n": pa.array(np.concatenate([np.zeros(k0, np.int64), n]).astype(np.int32)),
-                "place": pa.array(np.concatenate([np.zeros(k0, np.int64), place]).astype(np.int32)),
-            })
+            key, node, n, place, parts, part = (g[c][many].astype(np.int64) for c in ("hash", "node", "n", "place", "parts", "part"))
+            # the leader: least relative place, then least node
+            order = np.lexsort((node, place / n, np.repeat(np.arange(len(size)), size)))
+            top = order[np.cumsum(size) - size]
+            lead = np.repeat(top, size)
+            pair = (node[lead] != node) & _possible(share, n[lead], place[lead], n, place)
+            over = top[parts[top] > 1]
+            k = (int(pair.sum()), len(node), len(over))
+            zero = [np.zeros(x, np.int64) for x in k]
+            salt = _dealt(node, np.repeat(size, size) // DEALT + 1)[pair]
+            columns = _pairs(
+                np.concatenate([node[lead][pair], key, key[over]]), np.concatenate([node[pair], node, node[over]]), np.concatenate([n[lead][pair], zero[1], zero[2]]),
+                np.concatenate([n[pair], n, n[over]]), np.concatenate([node[lead][pair], zero[1], zero[2]]), np.concatenate([salt, part, part[over]]),
+            )
+            columns["place"] = pa.array(np.concatenate([zero[0], place, place[over]]).astype(np.int32))
+            columns["parts"] = pa.array(np.concatenate([zero[0], parts, parts[over]]).astype(np.int32))
+            columns["kind"] = pa.array(np.repeat(np.array([0, 1, 2], np.int32), k))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def _crossing(share: tuple[int, int]):
-    """a, b: pairs of different components of a bucket whose sizes, places in the order and counts by range allow the
-    similarity. Rows come by hash."""
+    """Pairs of different components of a cell (a bucket, or two parts of one) that sizes and places allow and that
+    share none of the early shingles, as they meet there then. Rows: cell, node, n, place, component, part, within (1:
+    pairs of one part count), known (of the early shingles), e0 to e3 by cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            first = np.flatnonzero(np.concatenate([[True], g["hash"][1:] != g["hash"][:-1]]))
-            ends = np.append(first[1:], len(g["hash"]))
-            out: list[np.ndarray] = []
-            for a, b in zip(first.tolist(), ends.tolist()):
-                c = g["component"][a:b]
-                if b - a < 2 or (c == c[0]).all():
-                    continue
-                n, place, sets = g["n"][a:b].astype(np.int64), g["place"][a:b].astype(np.int64), g["set_id"][a:b]
-                order = np.argsort(n, kind="stable")
-                c, n, place, sets = c[order], n[order], place[order], sets[order]
-                profile = np.frombuffer(b"".join(g["profile"][a:b][order].tolist()), np.uint8).reshape(b - a, PROFILE)
-                full = (profile == 255).any(axis=1)  # too large to tell
-                # of a set's larger ones only those up to n / share can be similar
-                upto = np.searchsorted(n, n * share[1] // share[0], side="right")
-                for lo in range(0, b - a, 64):
-                    hi = min(b - a, lo + 64)
-                    cols = np.arange(lo, int(upto[hi - 1]))
-                    i, j = np.nonzero((c[lo:hi, None] != c[None, cols]) & (cols[None, :] > np.arange(lo, hi)[:, None]) & (cols[None, :] < upto[lo:hi, None]))
-                    i, j = lo + i, cols[j]
-                    early = _possible(share, n[i], place[i], n[j], place[j])
-                    i, j = i[early], j[early]
-                    most = np.minimum(profile[i], profile[j]).sum(axis=1, dtype=np.int64)
-                    fits = full[i] | full[j] | (most * (share[0] + share[1]) >= share[0] * (n[i] + n[j]))
-                    i, j = i[fits], j[fits]
-                    if len(i):
-                        out.append(np.stack([np.minimum(sets[i], sets[j]), np.maximum(sets[i], sets[j])]))
-            if out:
-                both = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(both[0]), "b": pa.array(both[1])})
+            order = np.lexsort((g["n"], g["cell"]))
+            cell, c, n, place, node, part, within, known = (g[x][order].astype(np.int64) for x in ("cell", "component", "n", "place", "node", "part", "within", "known"))
+            early = np.stack([g[f"e{k}"][order] for k in range(EARLY)])
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            size = np.diff(np.append(first, len(cell)))
+            after = np.repeat(first + size, size) - 1 - np.arange(len(cell))  # larger ones of the cell
+            side = np.repeat(size // SIDE + 1, size)
+            upto, lo = np.cumsum(after), 0
+            while lo < len(cell):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LOOKED_UP, side="right")))
+                own = after[lo:hi]
+                i = np.repeat(np.arange(lo, hi), own)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+                lo = hi
+                fits = (c[i] != c[j]) & ((within[i] > 0) | (part[i] != part[j])) & (n[j] * share[0] <= n[i] * share[1])
+                i, j = i[fits], j[fits]
+                fits = _possible(share, n[i], place[i], n[j], place[j])
+                i, j = i[fits], j[fits]
+                met = np.zeros(len(i), bool)
+                for x in range(EARLY):
+                    for y in range(EARLY):
+                        met |= (early[x][i] == early[y][j]) & (x < known[i]) & (y < known[j])
+                i, j = i[~met], j[~met]
+                if len(i):
+                    salt = _dealt(node[i], side[i]) * side[i] + _dealt(node[j], side[j])
+                    yield pa.RecordBatch.from_pydict(_pairs(node[i], node[j], n[i], n[j], cell[i], salt))
 
     return run
 
 
 def _segments(width: int):
-    """set_id, fragment, hashes (their bytes in order) of each set."""
+    """node, fragment and the hashes (their bytes in order) of each set. Rows: node, hi, lo, text; a text whose set is
+    another one's, as rows may share an id, gives nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array([k * (2**64 // FRAGMENTS) for k in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
-            for lo, hi, made, first in _sets(batch.column(1), width):
-                ids, fragment, hashes = [], [], []
-                for a, b in zip(first[:-1], first[1:]):
-                    own, s = made[a:b], _set_id(made[a:b])
-                    for k, part in enumerate(np.split(own, np.searchsorted(own, cuts))):
-                        ids.append(s)
-                        fragment.append(k)
-                        hashes.append(part.tobytes())
-                yield pa.RecordBatch.from_pydict({"set_id": pa.array(ids, pa.int64()), "fragment": pa.array(fragment, pa.int32()), "hashes": pa.array(hashes, pa.binary())})
+            node, wanted = batch.column(0).to_numpy(), np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            for lo, hi, made, first in _sets(batch.column(3), width):
+                right = np.flatnonzero((_set_ids(made, first) == wanted[lo:hi]).all(axis=1))
+                sets = [made[first[k] : first[k + 1]] for k in right.tolist()]
+                parts = [x.tobytes() for own in sets for x in np.split(own, np.searchsorted(own, cuts))]
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(node[lo + right], FRAGMENTS)), "fragment": pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(right))), "hashes": pa.array(parts, pa.binary())})
 
     return run
 
 
 def _overlaps(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Partial overlaps of pairs (a, b), all of one task and fragment; sets: their ids and hashes, each once."""
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "common": pa.array([], pa.int64())})
-    if not len(pairs) or not len(sets):
-        return none
-    ids = sets["set_id"].to_numpy()
-    order = np.argsort(ids)
-    parts = [np.frombuffer(x, np.uint64) for x in sets["hashes"].to_pylist()]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    a, b = (order[np.searchsorted(ids, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
-    salt = V.mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(1))
-    leaders = np.unique(a)
-    known = np.sort(np.concatenate([parts[k] ^ salt[k] for k in leaders.tolist()]))
-    if not len(known):
-        return none
-    common = np.zeros(len(a), np.int64)
-    upto = np.cumsum(size[b])
+    """Partial overlaps of pairs (a, b), all of one task and fragment; sets: their nodes and hashes."""
+    nodes, one = np.unique(sets["node"].to_numpy(), return_index=True)  # repeated rows of the input give equal ones
+    raw = sets["hashes"].to_pylist()
+    size = np.array([len(raw[k]) // 8 for k in one.tolist()], np.int64)
+    every, column = np.unique(np.frombuffer(b"".join([raw[k] for k in one.tolist()]), np.uint64), return_inverse=True)
+    first = np.cumsum(size) - size
+    a, b = (np.searchsorted(nodes, pairs[c].to_numpy()) for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    common, wide = np.zeros(len(a), np.int64), max(1, 4 * LOOKED_UP // max(1, len(every)))
     lo = 0
-    while lo < len(a):  # stretches of pairs of bounded size
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TASK_SHINGLES, side="right")))
-        own = size[b[lo:hi]]
-        asked = np.concatenate([parts[k] for k in b[lo:hi].tolist()]) ^ np.repeat(salt[a[lo:hi]], own)
-        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        common[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), own), weights=known[at] == asked, minlength=hi - lo)
+    while lo < len(a):  # some of the sets a at once, as rows of a table of all hashes, and pairs of bounded size
+        hi = int(np.searchsorted(a[order], a[order[lo]] + wide))
+        upto = np.cumsum(size[b[order[lo:hi]]])
+        hi = max(lo + 1, min(hi, lo + int(np.searchsorted(upto, LOOKED_UP, side="right"))))
+        here = order[lo:hi]
+        sets_, row = np.unique(a[here], return_inverse=True)
+        has = np.zeros((len(sets_), len(every)), bool)
+        for r, k in enumerate(sets_.tolist()):
+            has[r, column[first[k] : first[k] + size[k]]] = True
+        own = size[b[here]]
+        at = np.arange(own.sum()) + np.repeat(first[b[here]] - np.cumsum(own) + own, own)
+        common[here] = np.bincount(np.repeat(np.arange(len(here)), own), weights=has[np.repeat(row, own), column[at]], minlength=len(here))
         lo = hi
     return pa.table({"a": pairs["a"], "b": pairs["b"], "common": pa.array(common)})
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of sets that are similar; pairs: written, distinct.
-
-    Pairs are dealt to a grid of tasks by both ends, so that a set goes to a task once, however many pairs it has there."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id"), "needed")
-    total = needed.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    wanted = needed.select(F.col("doc_id").alias("wanted"))
-    texts = docs.join(F.broadcast(wanted) if total.n <= MAX_BROADCAST else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    segments = written(texts.mapInArrow(_segments(width), "set_id long, fragment int, hashes binary"), "segments")
-    side = int(max(1, -(-total.shingles // TASK_SHINGLES)))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    dealt = pairs.select("a", "b", (at("a") * side + at("b")).alias("task"))
-    sets = dealt.select(F.col("task").alias("task"), F.explode(F.array("a", "b")).alias("set_id")).distinct().join(segments, "set_id")
+    """The pairs (a, b) of sets that are similar; pairs: written, each once."""
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "hi", "lo", F.col("doc_id").alias("wanted")), "needed")
+    texts = docs.join(F.broadcast(needed) if needed.count() * 40 <= MAX_BROADCAST else needed, F.col("doc_id") == F.col("wanted")).select("node", "hi", "lo", "text")
+    segments = written(texts.mapInArrow(_segments(width), "node long, fragment int, hashes binary"), "segments")
+    total = pairs.agg(F.coalesce(F.sum(F.col("n_a") + F.col("n_b")), F.lit(0))).first()[0]
+    task = F.pmod(F.xxhash64("label", "salt"), F.lit(1 + total * 8 // GROUP_BYTES))
+    dealt = pairs.select("a", "b", task.alias("task"))
+    sets = dealt.select(F.col("task").alias("task"), F.explode(F.array("a", "b")).alias("node")).distinct().join(segments, "node")
     every = dealt.select("a", "b", "task", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     # fragments are counted apart, then summed
     partial = every.groupBy("task", "fragment").cogroup(sets.groupBy("task", "fragment")).applyInArrow(_overlaps, "a long, b long, common long")
-    found = partial.groupBy("a", "b").agg(F.sum("common").alias("common")).filter("common > 0")
-    size = lambda c: needed.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"))
-    found = found.join(size("a"), "a").join(size("b"), "b")
-    return written(found.filter(F.col("common") * share[1] >= (F.col("n_a") + F.col("n_b") - F.col("common")) * share[0]).select("a", "b"), "links")
+    found = partial.groupBy("a", "b").agg(F.sum("common").alias("common")).join(pairs.select("a", "b", "n_a", "n_b"), ["a", "b"])
+    found = written(found.filter(F.col("common") * share[1] >= (F.col("n_a") + F.col("n_b") - F.col("common")) * share[0]).select("a", "b"), "links")
+    released(needed, segments)
+    return found
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it is connected with), of every node of links (a, b): large and small stars in
     turn, until nothing changes. Every round is written, minima are pre-aggregated."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        large = written(large, "stars")
+        large = written(large.filter("u <> v").distinct(), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        closer = written(small.filter("u <> v").distinct(), "edges")
+        released(edges, large)
+        edges = closer
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (state.n, state.s) == before:
             break
         before = (state.n, state.s)
-    else:
-        raise ValueError("the components aren't closed")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select("component").distinct().select(F.col("component").alias("node"), "component"))
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair in one direction."""
+    one = F.min(F.struct("label", "salt", "a", "b", "n_a", "n_b")).alias("one")
+    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(one).select("one.*")
+
+
 def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with by any chain).
 
     Texts link when their sets of width-word shingles (A-Z lower-cased, words parted by ASCII white space; fewer words
     make one shingle) have a Jaccard similarity of at least share. Null, empty and blank texts have no shingle and link
-    with nothing. Ids are to be distinct and not null; extra columns aren't carried; an empty table gives an empty result.
+    with nothing; their component is their own id. A row without an id has its number of shingles, no component, and
+    links with nothing. Repeated rows are kept, each with the same result; rows that share an id but not a text have the
+    component of their own text. Extra columns aren't carried; an empty table gives an empty result.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = written(docs.mapInArrow(_describe(width), "kind int, a long, b long, n long, profile binary"), "sets")
-    own = info.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), "n", "profile")
-    described = written(own.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("profile").alias("profile")), "classes")
-    classes, own = described.select("set_id", "doc_id", "n"), own.drop("profile")
-    often = written(info.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")), "often")
+    info = written(docs.mapInArrow(_describe(width), "kind int, doc_id long, hi long, lo long, n long"), "sets")
+    docs = docs.filter("doc_id is not null")
+    own = info.filter("kind = 0").select("doc_id", "hi", "lo", "n")
+    classes = own.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+
+    often = written(info.filter("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")), "often")
     least, held = 0, 0
     for r in often.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():  # at most 10000 rows
         if held + r.shingles > MAX_FREQUENT:
             least = r.n + 1
             break
         held += r.shingles
-    often = often.filter(F.col("n") >= least).select("a").toPandas()["a"].to_numpy(np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    prefixes = docs.mapInArrow(_prefixes(width, share, frequent), "hash long, set_id long, n int, place int")
-    met = prefixes.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_buckets(share), "kind int, a long, b long, n int, place int")
+    listed = often.filter(F.col("n") >= least).orderBy("hi").toPandas()
+    known = listed["hi"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    common = spark.sparkContext.broadcast((known[order], listed["n"].to_numpy(np.int64)[order]))
+
+    offered = docs.mapInArrow(_offered(width, share, common), "hash long, hi long, lo long, size long")
+    prefixes = _prefixes(offered, share).join(classes, ["hi", "lo"]).select("bucket", "hash", "node", "n", "place", "parts", "part")
+    columns = _PAIR + ", place int, parts int, kind int"
+    met = prefixes.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_buckets(share), columns)
     met = written(met, "buckets")
-    stars = written(met.filter("kind = 0").select("a", "b").distinct(), "stars")
+    stars = met.filter("kind = 0").select("a", "b", "n_a", "n_b", "label", "salt")
+    # parts of one bucket, through their leaders
+    leaders = met.filter("kind = 2").select(F.col("a").alias("bucket"), F.col("a").alias("hash"), F.col("b").alias("node"), F.col("n_b").alias("n"), "place", F.lit(1).alias("parts"), F.col("salt").alias("part"))
+    between = leaders.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_buckets(share), columns)
+    stars = written(_once(stars.unionByName(between.filter("kind = 0").select(*stars.columns))), "pairs")
     links = _verified(docs, classes, stars, width, share)
     nodes = components(links)
-    members = met.filter("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("set_id"), "n", "place")
-    members = members.join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").join(described.select(F.col("set_id").alias("set_id"), F.col("profile").alias("profile")), "set_id")
-    members = members.select("hash", "set_id", "n", "place", F.coalesce("component", "set_id").alias("component"), "profile")
-    crossing = members.repartition("hash").sortWithinPartitions("hash", "set_id").mapInArrow(_crossing(share), "a long, b long").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = written(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+
+    members = met.filter("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node"), F.col("n_b").alias("n"), "place", "parts", F.col("salt").alias("part"))
+    members = written(members.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    several = members.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
+    # beside each set of such a bucket, the first of its shingles before that are of such buckets too
+    held_in = F.sort_array(F.collect_list(F.struct("place", "hash", "parts", "part"))).alias("held_in")
+    sets = members.join(several, "hash").groupBy("node", "n", "component").agg(held_in)
+    cells = sets.select("node", "n", "component", F.transform(F.slice("held_in", 1, EARLY), lambda x: x["hash"]).alias("early"), F.posexplode("held_in").alias("at", "one"))
+    cells = cells.select("node", "n", "component", "early", F.least("at", F.lit(EARLY)).alias("known"), "one.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.when(F.col("parts") == 1, F.col("hash")).otherwise(F.xxhash64("hash", F.least("part", "other"), F.greatest("part", "other")))
+    within = (F.col("other") == F.col("part")).cast("int").alias("within")
+    cells = cells.select(cell.alias("cell"), "node", "n", "place", "component", "part", within, "known", *[F.coalesce(F.get("early", F.lit(k)), F.lit(0)).alias(f"e{k}") for k in range(EARLY)])
+    crossing = cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_crossing(share), _PAIR)
+    tested = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    crossing = _once(crossing).withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
+    crossing = written(crossing.join(tested, ["x", "y"], "left_anti").drop("x", "y"), "crossing")
     if not crossing.isEmpty():
         more = _verified(docs, classes, crossing, width, share)
         if not more.isEmpty():
             nodes = components(links.unionByName(more))
+        released(more)
+    released(often, met, stars, links, members, crossing)
+
     # a set's smallest document, and the smallest of its component
-    placed = classes.select("set_id", "doc_id").join(nodes.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
+    placed = classes.join(nodes, "node", "left").select("hi", "lo", "doc_id", F.coalesce("component", "node").alias("component"))
     first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(first, "component").select("set_id", "component_id")
-    out = own.join(placed, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = placed.join(first, "component").select("hi", "lo", "component_id")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return own.join(placed, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,7 +254,7 @@ class Encoder:
             cut[off[:-1]] = True
             start = np.flatnonzero(cut)
             end = np.append(start[1:], len(body))
-            hashes = V.span_hashes(V.prefix_sums(body), start, end)
+            hashes = V.span_hashes(body, start, end)
             distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
             if len(self.known) > REMEMBERED:
                 self.forget()

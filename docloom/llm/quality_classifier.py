@@ -44,7 +44,7 @@ def ngram_buckets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
     for lo, hi, body, off in V.slices(texts):
         body = V.LOWER[body]
         start, end, row = V.runs(V.WORD_PUNCT[body], off)
-        h = V.span_hashes(V.prefix_sums(body), start, end)
+        h = V.short_hashes(V.prefix_sums(body), start, end)  # goes to one of BUCKETS anyway
         pair = V.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
         pair[h[:-1] == h[1:]] = _SAME
         inside = row[1:] == row[:-1]

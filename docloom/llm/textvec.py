@@ -2,10 +2,14 @@
 
 A batch of texts is one byte buffer with offsets. Tokens are runs of bytes of one class, their hashes are differences of
 a prefix sum of byte * P**i (mod 2**64) brought to a common power, then mixed. No Python object is made per token.
+
+A polynomial modulo 2**64 gives structured strings (Thue-Morse words and their complements) of some hundred bytes one
+value, whatever its base. So spans of over PLAIN bytes, which are few, are hashed by BLAKE2b instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +19,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+#: Bytes up to which a span is hashed by its polynomial.
+PLAIN = 32
+
 #: Bytes of text that are split at once; a longer single text is one slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -57,11 +64,23 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def short_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes by the polynomial alone: for short spans, or where equal hashes are confirmed by other means."""
     _, inv = powers(len(sums))
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    out = short_hashes(prefix_sums(body), start, end)
+    long = np.flatnonzero(end - start > PLAIN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(body))
+        made = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist())])
+        out[long] = np.frombuffer(made, np.uint64)
+    return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: empty) and n + 1 offsets."""
     if isinstance(texts, pa.ChunkedArray):
