@@ -3,17 +3,19 @@
 Each window of LENGTH bytes belongs to an anchor: the place of the least hash among its strings of GRAM bytes. Equal
 windows have equal anchors at equal offsets, so they share a key, a hash of a core: bytes that all windows on one side
 of the anchor have. Runs of windows with one anchor and side are the rows that are counted; those of a key that occurs
-once are unique. Runs equal as a whole, by a hash of all their bytes, are collapsed to one with a multiplicity. A key
+once are unique. Runs equal as a whole, by 128 bits of all their bytes, are collapsed to one with a multiplicity. A key
 with one distinct run of multiplicity two or more is repeated throughout.
 
 The distinct runs of the other keys, where copies begin and end, go with their multiplicities to shards of whole keys,
-each core shortened to one symbol of its key. A shard sorts the suffixes of its runs, takes their Burrows-Wheeler
+each core shortened to one symbol of its own. A shard sorts the suffixes of its runs, takes their Burrows-Wheeler
 transform and derives common prefixes by increasing value: the boundaries of value l, extended backward by each
 character that occurs right of them, give those of value l + 1, breadth first, until the length of a window. What is
 then undivided are classes of equal windows; those of a multiplicity of two or more are repeated.
 
-A key of over HOT distinct runs (a very common passage in ever other surroundings) would fill one shard. Its windows
-are keyed by all of their bytes instead, which leaves one distinct string a key, and counted with pre-aggregation.
+A key of over HOT distinct runs (a very common passage in ever other surroundings) would fill one shard. The windows of
+its distinct runs are keyed by 128 bits of all of their bytes instead, and counted with pre-aggregation.
+
+Keys, runs and windows that over one in HEAVY rows have are dealt to SALTS tasks in joins; there can't be over HEAVY.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as V
-from docloom.llm.common import table, written
+from docloom.llm.common import released, table, written
 
 LENGTH = 400
 GRAM = 64
@@ -35,8 +38,11 @@ GRAM = 64
 HOT = 1000
 #: Bytes of runs that are sorted together; a key's runs are never parted.
 SHARD_BYTES = 1 << 20
-#: Rows of places that are broadcast to the texts; more are joined by shuffle.
-MAX_BROADCAST = 1_000_000
+#: Bytes of runs that are sorted in one task, about.
+TASK_BYTES = 2 << 20
+HEAVY, SALTS = 1000, 64
+#: Bytes of places up to which they are broadcast to the texts, PLACE_BYTES each; more are joined by shuffle.
+MAX_BROADCAST, PLACE_BYTES = 32 << 20, 80
 _LONG = 1 << 22  # bytes of a long text that are taken at once
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -69,15 +75,15 @@ def core_length(length: int, gram: int) -> int:
 
 
 def _runs(length: int, gram: int):
-    """key, run, doc_id, start, windows, core (its offset in the run): one row for each run of windows with one anchor,
-    on one side of it."""
+    """key, run (two numbers), doc, row, start, windows, core (its offset in the run): one row for each run of windows
+    with one anchor, on one side of it. Rows: doc, row, text."""
     width, half = length - gram + 1, (length - gram + 1) // 2
     shared = core_length(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, base, body, off in _parts(batch.column(1), length - 1):
+            docs, hashes_of = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, base, body, off in _parts(batch.column(2), length - 1):
                 if len(body) < length:
                     continue
                 sums = V.prefix_sums(body)
@@ -99,12 +105,14 @@ def _runs(length: int, gram: int):
                 s0, s1, anchor, left = start[first], start[last], anchor[first], left[first]
                 # what every window on that side of the anchor has
                 core = np.where(left, anchor - half, anchor)
-                key = V.span_hashes(sums, core, core + shared)
+                key = V.short_hashes(sums, core, core + shared)  # only brings runs together
                 key ^= np.where(left, np.uint64(0), np.uint64(0x5851F42D4C957F2D))
-                whole = V.mix(V.span_hashes(sums, s0, s1 + length) + (anchor - s0).astype(np.uint64))
+                raw = memoryview(np.ascontiguousarray(body))
+                whole = b"".join([xxhash.xxh3_128_digest(raw[a:b], d) for a, b, d in zip(s0.tolist(), (s1 + length).tolist(), (anchor - s0).tolist())])
+                whole = np.frombuffer(whole, np.int64).reshape(-1, 2)
                 row = np.searchsorted(off, s0, side="right") - 1
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(key.view(np.int64)), "run": pa.array(whole.view(np.int64)), "doc_id": pa.array(ids[row + lo], pa.int64()),
+                    "key": pa.array(key.view(np.int64)), "r1": pa.array(whole[:, 0]), "r2": pa.array(whole[:, 1]), "doc": pa.array(docs[row + lo]), "row": pa.array(hashes_of[row + lo]),
                     "start": pa.array(s0 - off[row] + base), "windows": pa.array((s1 - s0 + 1).astype(np.int32)), "core": pa.array((core - s0).astype(np.int32)),
                 })
 
@@ -112,22 +120,21 @@ def _runs(length: int, gram: int):
 
 
 def _cut(length: int, gram: int):
-    """key, run, n, before, after (bytes on either side of the core) of each asked run."""
+    """key, run, n, core (128 bits), before, after (bytes on either side of the core) of each asked run."""
     shared = core_length(length, gram)
+    kinds = {"key": pa.int64(), "r1": pa.int64(), "r2": pa.int64(), "n": pa.int64(), "core": pa.binary(), "before": pa.binary(), "after": pa.binary()}
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "run", "n", "before", "after"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for text, asked in zip(batch.column(1), batch.column(2).to_pylist()):
+            for text, asked in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_py().encode()
                 for a in asked:
                     core = a["start"] + a["core"]
-                    rows.append((a["key"], a["run"], a["n"], raw[a["start"] : core], raw[core + shared : a["start"] + a["windows"] - 1 + length]))
+                    rows.append((a["key"], a["r1"], a["r2"], a["n"], xxhash.xxh3_128_digest(raw[core : core + shared]), raw[a["start"] : core], raw[core + shared : a["start"] + a["windows"] - 1 + length]))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -137,16 +144,18 @@ def _cut(length: int, gram: int):
 
 
 def _each_window(length: int):
-    """key, window (hash of all its bytes), doc_id, start of each window of the asked runs."""
+    """key, run, n, at, w1, w2 (128 bits of all its bytes) of each window of the asked runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                for a in asked:
-                    part = raw[a["start"] : a["start"] + a["windows"] - 1 + length]
-                    at = np.arange(a["windows"])
-                    h = V.span_hashes(V.prefix_sums(part), at, at + length)
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(at), a["key"])), "window": pa.array(h.view(np.int64)), "doc_id": pa.array(np.full(len(at), doc), pa.int64()), "start": pa.array(a["start"] + at)})
+            for text, asked in zip(batch.column(0), batch.column(1).to_pylist()):
+                raw = memoryview(text.as_py().encode())
+                for lo in range(0, len(asked), 64):
+                    some = asked[lo : lo + 64]
+                    n = np.array([a["windows"] for a in some])
+                    made = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[k : k + length]) for a in some for k in range(a["start"], a["start"] + a["windows"])]), np.int64).reshape(-1, 2)
+                    columns = {c: pa.array(np.repeat(np.array([a[c] for a in some], np.int64), n)) for c in ("key", "r1", "r2", "n")}
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield pa.RecordBatch.from_pydict(columns | {"at": pa.array(at.astype(np.int32)), "w1": pa.array(made[:, 0]), "w2": pa.array(made[:, 1])})
 
     return run
 
@@ -222,9 +231,9 @@ def undivided(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(value[:n] >= 0) - 1
 
 
-def repeated_windows(sides: list[tuple[bytes, bytes]], keys: list[int], counts: np.ndarray, depth: int) -> list[np.ndarray]:
+def repeated_windows(sides: list[tuple[bytes, bytes]], cores: list, counts: np.ndarray, depth: int) -> list[np.ndarray]:
     """For each run, which of its windows of depth symbols occur at least twice in all, runs counting as often as given.
-    A run is the bytes before its core, the core as one symbol of its key, and the bytes after it."""
+    A run is the bytes before its core, the core as one symbol, and the bytes after it."""
     size = np.array([len(a) + len(b) + 1 for a, b in sides])
     at = np.array([len(a) for a, _ in sides])
     ends = np.cumsum(size + 1) - 1
@@ -234,7 +243,8 @@ def repeated_windows(sides: list[tuple[bytes, bytes]], keys: list[int], counts:
     used[text] = 1
     text = np.cumsum(used)[text]  # bytes as 1, 2, ... in order
     text[ends] = 0  # no window has this
-    text[begins + at] = used.sum() + 1 + np.unique(np.array(keys), return_inverse=True)[1]
+    symbols: dict = {}
+    text[begins + at] = used.sum() + 1 + np.array([symbols.setdefault(c, len(symbols)) for c in cores])
     order = suffix_order(text, depth)
     classes = undivided(text, order, depth)
     owner = np.repeat(np.arange(len(sides)), size + 1)
@@ -247,68 +257,88 @@ def repeated_windows(sides: list[tuple[bytes, bytes]], keys: list[int], counts:
     return [twice[a : e - depth + 1] for a, e in zip(begins.tolist(), ends.tolist())]
 
 
+_SPANS = "key long, r1 long, r2 long, spans array<int>"
+
+
 def _shards(depth: int):
-    """key, run, spans (first and last window + 1 of stretches of repeated windows, flat). Rows come by key."""
-    def decide(keys: list[int], whole: list[int], counts: list[int], sides: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """Of each run, spans: first and last window + 1 of stretches of repeated windows, flat. Rows come by key."""
+    def decide(rows: list[tuple]) -> pa.RecordBatch:
+        keys, r1, r2, counts, cores, before, after = zip(*rows)
         spans = []
-        for flags in repeated_windows(sides, keys, np.array(counts), depth):
+        for flags in repeated_windows(list(zip(before, after)), list(cores), np.array(counts), depth):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             spans.append(edge.astype(np.int32))
         some = [k for k, s in enumerate(spans) if len(s)]
-        return pa.RecordBatch.from_pydict({"key": pa.array([keys[k] for k in some], pa.int64()), "run": pa.array([whole[k] for k in some], pa.int64()), "spans": pa.array([spans[k] for k in some], pa.list_(pa.int32()))})
+        columns = {c: pa.array([x[k] for k in some], pa.int64()) for c, x in (("key", keys), ("r1", r1), ("r2", r2))}
+        return pa.RecordBatch.from_pydict(columns | {"spans": pa.array([spans[k] for k in some], pa.list_(pa.int32()))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        whole: list[int] = []
-        counts: list[int] = []
-        sides: list[tuple[bytes, bytes]] = []
+        rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for k, w, n, a, b in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if held >= SHARD_BYTES and k != keys[-1]:
-                    yield decide(keys, whole, counts, sides)
-                    keys, whole, counts, sides, held = [], [], [], [], 0
-                keys.append(k)
-                whole.append(w)
-                counts.append(n)
-                sides.append((a, b))
-                held += len(a) + len(b) + 2
-        if keys:
-            yield decide(keys, whole, counts, sides)
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held >= SHARD_BYTES and row[0] != rows[-1][0]:
+                    yield decide(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[5]) + len(row[6]) + 2
+        if rows:
+            yield decide(rows)
 
     return run
 
 
-def _beside(docs: DataFrame, places: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, asked (array of what places has for the document)."""
-    asked = places.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in places.columns if c != "doc_id"])).alias("asked"))
-    asked = asked.withColumnRenamed("doc_id", "of")
-    return docs.join(F.broadcast(asked) if rows <= MAX_BROADCAST else asked, F.col("doc_id") == F.col("of")).select("doc_id", "text", "asked")
+def _beside(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """text, asked (array of what places has for the document)."""
+    few = places.count() * PLACE_BYTES <= MAX_BROADCAST
+    asked = places.groupBy("doc", "row").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("doc", "row")])).alias("asked"))
+    return docs.join(F.broadcast(asked) if few else asked, ["doc", "row"]).select("text", "asked")
+
+
+def _dealt_join(many: DataFrame, one: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """many joined with one; what heavy lists, at most HEAVY keys, is dealt to SALTS tasks."""
+    flags = F.broadcast(heavy.select(*on, F.lit(True).alias("__heavy")))
+    is_heavy = F.coalesce("__heavy", F.lit(False))
+    many = many.join(flags, on, "left").withColumn("__salt", F.when(is_heavy, F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("__heavy")
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    one = one.join(flags, on, "left").withColumn("__salt", F.explode(salts)).drop("__heavy")
+    return many.join(one, [*on, "__salt"]).drop("__salt")
+
+
+def _hot_spans(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """As _shards gives them, for runs of keys with too many for one shard."""
+    windows = written(_beside(docs, hot).mapInArrow(_each_window(length), "key long, r1 long, r2 long, n long, at int, w1 long, w2 long"), "windows")
+    by = ["key", "w1", "w2"]
+    twice = written(windows.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n >= 2"), "twice")
+    heavy = twice.filter(F.col("rows") > windows.count() // HEAVY)
+    found = _dealt_join(windows.drop("n"), twice.select(*by), by, heavy)
+    return found.groupBy("key", "r1", "r2").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, end: stretches of bytes that repeated windows cover, overlapping; docs: doc_id, text."""
-    rows = written(docs.mapInArrow(_runs(length, gram), "key long, run long, doc_id long, start long, windows int, core int"), "runs")
-    by_run = rows.groupBy("key", "run").agg(F.count("*").alias("n"))
-    keys = by_run.groupBy("key").agg(F.count("*").alias("runs"), F.sum("n").alias("total")).filter(F.col("total") >= 2).select("key", "runs")
-    again = written(rows.join(keys, "key"), "again")
-    sure = again.filter("runs = 1").select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
-    mixed = again.filter((F.col("runs") > 1) & (F.col("runs") <= HOT))
-    distinct = mixed.groupBy("key", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "windows", "core")).alias("one"))
-    distinct = written(distinct.select("key", "run", "n", "one.*"), "distinct")
-    bodies = _beside(docs, distinct, distinct.count()).mapInArrow(_cut(length, gram), "key long, run long, n long, before binary, after binary")
-    decided = bodies.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length - core_length(length, gram) + 1), "key long, run long, spans array<int>")
+    """doc, row, start, end: stretches of bytes that repeated windows cover, overlapping; docs: doc, row, text."""
+    rows = written(docs.mapInArrow(_runs(length, gram), "key long, r1 long, r2 long, doc long, row long, start long, windows int, core int"), "runs")
+    total = rows.count()
+    by = ["key", "r1", "r2"]
+    by_run = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    keys = written(by_run.groupBy("key").agg(F.count("*").alias("runs"), F.sum("n").alias("total")).filter("total >= 2"), "keys")
+    again = written(_dealt_join(rows, keys.select("key", "runs"), ["key"], keys.filter(F.col("total") > total // HEAVY)), "again")
+    released(rows)
+    sure = again.filter("runs = 1").select("doc", "row", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
+    mixed = again.filter("runs > 1")
+    distinct = mixed.groupBy(*by).agg(F.count("*").alias("n"), F.max("runs").alias("runs"), F.min(F.struct("doc", "row", "start", "windows", "core")).alias("one"))
+    distinct = written(distinct.select(*by, "n", "runs", "one.*"), "distinct")
+    cold, hot = distinct.filter(F.col("runs") <= HOT).drop("runs"), distinct.filter(F.col("runs") > HOT).drop("runs")
+    bodies = _beside(docs, cold).mapInArrow(_cut(length, gram), "key long, r1 long, r2 long, n long, core binary, before binary, after binary")
+    held = cold.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
+    decided = bodies.repartition(1 + held // TASK_BYTES, "key").sortWithinPartitions("key").mapInArrow(_shards(length - core_length(length, gram) + 1), _SPANS)
+    if not hot.isEmpty():
+        decided = decided.unionByName(_hot_spans(docs, hot, length))
+    decided = written(decided, "decided")
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("a"), F.get("spans", i + 1).alias("b")))
-    decided = decided.select("key", "run", F.explode(pairs).alias("s")).select("key", "run", "s.a", "s.b")
-    partly = mixed.join(decided, ["key", "run"]).select("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") - 1 + length).alias("end"))
-    hot = again.filter(F.col("runs") > HOT).select("doc_id", "key", "start", "windows")
-    n_hot = hot.count()
-    out = sure.unionByName(partly)
-    if n_hot:
-        windows = written(_beside(docs, hot, n_hot).mapInArrow(_each_window(length), "key long, window long, doc_id long, start long"), "windows")
-        twice = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n >= 2").select("key", "window")
-        out = out.unionByName(windows.join(twice, ["key", "window"]).select("doc_id", "start", (F.col("start") + length).alias("end")))
-    return out
+    partly = _dealt_join(mixed.select(*by, "doc", "row", "start"), decided, by, distinct.filter(F.col("n") > total // HEAVY))
+    partly = partly.select("doc", "row", "start", F.explode(pairs).alias("s"))
+    return sure.unionByName(partly.select("doc", "row", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b") - 1 + length).alias("end")))
 
 
 def _without(full: bool):
@@ -336,6 +366,7 @@ def _without(full: bool):
                 if full:
                     kept.append(rest)
             columns = {"doc_id": batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            columns["has_repeats"] = pa.array([n > 0 for n in n_removed], pa.bool_())
             if full:
                 columns["kept"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
@@ -344,17 +375,21 @@ def _without(full: bool):
 
 
 def substring_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, full: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; full=True adds kept (binary: what stays
-    may cut a character).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats (n_removed > 0); full=True
+    adds kept (binary: what stays may cut a character).
 
     Each byte goes that a string of length bytes covers which starts anywhere else too, in this or another text; all
-    are judged on the input. Null texts are empty; texts shorter than length stay whole; ids are to be distinct and not
-    null; extra columns aren't carried; an empty table gives an empty result.
+    are judged on the input. Null texts are empty; texts shorter than length stay whole. Every row is a text of its own:
+    repeated rows are copies of each other, rows may share an id, and rows without an id are judged like others. Extra
+    columns aren't carried; an empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_without(full), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if full else ""))
+    # ids needn't tell rows apart: the key is id and text hash, never null
+    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-1))).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    spans = repeated_spans(docs.select("doc", "row", "text"), length, gram).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = docs.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
+    made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean"
+    return joined.mapInArrow(_without(full), made + (", kept binary" if full else ""))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
