@@ -5,9 +5,9 @@ concatenation is a piece; the pair of the best score, leftmost among equals, is
 neighbours join the agenda, until the agenda is empty. Symbols that are no piece become their UTF-8 bytes.
 
 No piece has a space after another character, and some characters are in no longer piece at all. So a text falls into
-chunks no merge can cross, and a chunk's result depends on the chunk alone. The chunks of an Arrow batch are found and
-told apart by vectorised hashes; each distinct chunk is worked once and remembered within bounds. Short chunks run
-their agendas side by side, one merge each in every round; long ones have a heap each.
+chunks no merge can cross, and a chunk's result depends on the chunk alone. The chunks of an Arrow batch are looked up
+by vectorised hashes and confirmed byte by byte; each distinct chunk is worked once and remembered within bounds. Short
+chunks run their agendas side by side, one merge each in every round; long ones have a heap each.
 
 With check=True every newly worked chunk is compared with the sentencepiece library, batch by batch.
 """
@@ -30,8 +30,8 @@ from docloom.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks that a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+#: Chunks, and bytes of them, that a worker remembers; then it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
 #: Characters up to which chunks run side by side.
 SHORT = 64
 _FAR = 1 << 21  # symbols of characters that no piece has
@@ -209,7 +209,7 @@ def _library(path: str):
 
 
 class Encoder:
-    """Encodes and decodes batches of texts; remembers chunks by their 64-bit hash and length."""
+    """Encodes and decodes batches of texts; remembers chunks with their bytes, and finds them by a 64-bit hash."""
 
     def __init__(self, path: str, check: bool):
         self.path, self.check, self.vocab = path, check, vocabulary(path)
@@ -218,11 +218,16 @@ class Encoder:
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.index = np.zeros(0, np.int64)
+        self.odd: dict[bytes, int] = {}  # chunks whose hash is another one's
         self.count: np.ndarray = np.zeros(0, np.int64)
+        self.body = np.zeros(0, np.uint8)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.shown: list[bytes] = []
         self.surface: list[bytes] = []
 
-    def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+    def learn(self, raw: list[bytes]) -> int:
+        """Works these chunks; the index of the first."""
+        chunks = [x.decode() for x in raw]
         made = self.vocab.encode_chunks(chunks)
         if self.check:
             self.compare(chunks, made)
@@ -230,7 +235,15 @@ class Encoder:
         self.shown += [b"".join(map(shown, ids)) for ids in made]
         self.surface += [b"".join(map(surface, ids)) for ids in made]
         self.count = np.concatenate([self.count, np.fromiter(map(len, made), np.int64, len(made))])
-        known, index = np.concatenate([self.known, hashes]), np.concatenate([self.index, np.arange(base, base + len(made))])
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.begin = np.concatenate([self.begin, len(self.body) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.body = np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
+        return base
+
+    def enter(self, hashes: np.ndarray, raw: list[bytes]) -> None:
+        base = self.learn(raw)
+        known, index = np.concatenate([self.known, hashes]), np.concatenate([self.index, np.arange(base, base + len(raw))])
         order = np.argsort(known, kind="stable")
         self.known, self.index = known[order], index[order]
 
@@ -243,6 +256,16 @@ class Encoder:
             if ids != (wanted if c[0] == " " else wanted[len(lead) :]) and c != " ":
                 raise AssertionError(f"{c!r}: {ids} here, {wanted} by the library")
 
+    def same(self, index: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each chunk are those of the remembered one; the chunks make up the body."""
+        if not len(start):
+            return np.zeros(0, bool)
+        size = end - start
+        like = self.size[index] == size
+        at = np.repeat(np.where(like, self.begin[index] - start, 0), size) + np.arange(len(body))
+        differs = self.body[np.minimum(at, len(self.body) - 1)] != body
+        return like & ~np.logical_or.reduceat(differs, start)
+
     def chunk_index(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, last row + 1, index of each chunk's result, first chunk of each row and the end)."""
         texts = pc.replace_substring(texts, SPACE, " ")
@@ -256,17 +279,23 @@ class Encoder:
             end = np.append(start[1:], len(body))
             hashes = V.span_hashes(body, start, end)
             distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > REMEMBERED or len(self.body) > REMEMBERED_BYTES:
                 self.forget()
             at = np.searchsorted(self.known, distinct)
             new = np.ones(len(distinct), bool)
             inside = at < len(self.known)
             new[inside] = self.known[at[inside]] != distinct[inside]
+            raw = body.tobytes()
             if new.any():
-                raw = body.tobytes()
-                self.learn(distinct[new], [raw[start[k] : end[k]].decode() for k in one[new].tolist()])
+                self.enter(distinct[new], [raw[start[k] : end[k]] for k in one[new].tolist()])
                 at = np.searchsorted(self.known, distinct)
-            yield lo, hi, self.index[at][back], np.searchsorted(start, off)
+            found = self.index[at][back]
+            for k in np.flatnonzero(~self.same(found, body, start, end)).tolist():
+                chunk = raw[start[k] : end[k]]
+                if chunk not in self.odd:
+                    self.odd[chunk] = self.learn([chunk])
+                found[k] = self.odd[chunk]
+            yield lo, hi, found, np.searchsorted(start, off)
 
 
 def _encode_batches(path: str, check: bool, full: bool):
@@ -305,7 +334,7 @@ def encode_decode(documents: DataFrame, path: str | None = None, check: bool = T
 
     path: a model file that every executor has; None: the installed one named MODEL. Null and empty texts give the end
     id alone and an empty text. Literal U+2581 decodes as a space, as the library's does. Repeated rows are encoded
-    alike; extra columns aren't carried; an empty table gives an empty result.
+    alike, and rows without an id too; extra columns aren't carried; an empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
