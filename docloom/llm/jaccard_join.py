@@ -2,20 +2,23 @@
 
 Texts are sets of hashed word shingles. Two sets of the wanted similarity share a shingle of their prefixes in any one
 global order; here rare shingles come first, so that a passage which other texts have too makes no candidates of texts
-that also have words of their own. The order is: the shingles of one range of hashes by the number of texts that have
-them, then the others by hash, then those that blocks of texts show to be very common. The range, REGION times the
-dissimilarity, is what prefixes are mostly taken from, and all that has to be counted.
+that also have words of their own. It is done twice. First the order is: the shingles of one range of hashes by the
+number of texts that have them, then the others by hash, then those that blocks of texts show to be very common; the
+range, REGION times the dissimilarity, is what prefixes are mostly taken from, and all that has to be counted. Then the
+texts that share a prefix shingle with another one of a fitting size are ordered again, among themselves and by all of
+their shingles. What no other of these texts has comes first, and can't be shared.
 
 The hashes are cut into fragments. A candidate pair's overlap is counted in each fragment apart, by other tasks, and the
 partial counts are summed. Pairs are dealt by where they come from, so that a set goes to few tasks, however many pairs
 it has.
 
 Texts of equal sets (by 128 bits) are one node from the start, so exact copies make no pairs. In a prefix bucket each
-set is at first paired with one leader only, the set that has the bucket's shingle earliest; the verified links are
-closed to components. Then each bucket that still has several components gives its pairs between different components,
-less those that lengths and places in the order rule out. Pairs inside a component can't change it, so no component is
-lost, and a large group of near copies costs about one pair a copy. A bucket of over BUCKET sets is dealt to parts, which
-are paired with each other's sets through their leaders at first, and part with part after that.
+set is at first paired with one leader only, the set that has the fewest rarer shingles, so the middle of a group of
+near copies; the verified links are closed to components. Then each bucket that still has several components gives its pairs
+between different components, less those that sizes and places in the order rule out and those that meet in an earlier
+bucket. Pairs inside a component can't change it, so no component is lost, and a large group of near copies costs about
+one pair a copy. A bucket of over BUCKET sets is dealt to parts, which are paired with each other's sets through their
+leaders at first, and part with part after that.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm import textvec as V
 from docloom.llm.common import released, table, written
 
+#: Fragments of the hashes, a power of 2.
 FRAGMENTS = 4
 #: Share of the hashes that is counted, as a multiple of 1 - share.
 REGION = 1.6
@@ -79,9 +83,10 @@ def _set_ids(made: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _describe(width: int):
-    """kind 0: doc_id, hi and lo of its set, n = size; kind 1: hi = a shingle that is common in a block, n = its texts."""
+    """kind 0: doc_id, hi and lo of its set, n = size; kind 1: hi = a shingle that is common in a block, n = its sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[np.ndarray] = []
+        slices, seen = 0, set()
 
         def common() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -94,10 +99,15 @@ def _describe(width: int):
             for lo, hi, made, first in _sets(batch.column(1), width):
                 n_of[lo:hi] = np.diff(first)
                 set_of[lo:hi] = _set_ids(made, first)
-                block.append(made)
-                if len(block) >= BLOCK_SLICES:
+                fresh = np.ones(hi - lo, bool)  # copies count once
+                for k, s in enumerate(map(tuple, set_of[lo:hi].tolist())):
+                    fresh[k] = s not in seen
+                    seen.add(s)
+                block.append(made[np.repeat(fresh, n_of[lo:hi])])
+                slices += 1
+                if slices == BLOCK_SLICES:
                     yield common()
-                    block = []
+                    block, slices, seen = [], 0, set()
             yield _described(0, batch.column(0), set_of[:, 0], set_of[:, 1], n_of)
         yield common()
 
@@ -108,73 +118,85 @@ def _described(kind: int, doc, hi, lo, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(n), kind, np.int32)), "doc_id": doc, "hi": pa.array(hi), "lo": pa.array(lo), "n": pa.array(n)})
 
 
-def _region(share: tuple[int, int]) -> int:
-    """Hashes whose upper 32 bits are below are counted."""
-    return min(1 << 32, int(REGION * (share[1] - share[0]) / share[1] * (1 << 32)))
-
-
 def _prefix_length(n, share: tuple[int, int]):
     return n - (share[0] * n + share[1] - 1) // share[1] + 1
 
 
-def _offered(width: int, share: tuple[int, int], common):
-    """hash, hi, lo, size: of each set its shingles in the region, and the next ones in the order if these are fewer
-    than its prefix; equal sets once a task. size: n << 32 | shingles in the region; of a common shingle
-    -(n << 32 | texts)."""
+def _offered(width: int, share: tuple[int, int], common, bound: int, known_sets: bool):
+    """hash, set, often, size: of each set its shingles in the region of hashes under bound, and the next ones in the
+    order if these are fewer than its prefix. often: sets, of a common shingle; set: the first half of its id. One more
+    row a set, with often -1, has its size: n << 32 | shingles in the region.
+
+    Rows: text; each set once a task. With known_sets: text, hi, lo, node; a text whose set is another one's, as rows
+    may share an id, gives nothing, and the node is the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, texts = common.value
         seen: set[tuple[int, int]] = set()
-        bound = np.uint64(_region(share))
+        limit = np.uint64(bound)
         for batch in batches:
-            for lo, hi, made, first in _sets(batch.column(1), width):
+            if known_sets:
+                wanted, nodes = np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1), batch.column(3).to_numpy()
+            for lo, hi, made, first in _sets(batch.column(0), width):
                 n, ids = np.diff(first), _set_ids(made, first)
                 row = np.repeat(np.arange(hi - lo), n)
                 weight = np.zeros(len(made), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, made), len(known) - 1)
                     weight = np.where(known[at] == made, texts[at], 0)
-                region = (weight == 0) & (made >> np.uint64(32) < bound)
+                region = (weight == 0) & (made >> np.uint64(32) < limit)
                 if weight.any():
                     order = np.lexsort((weight, row))  # stable: by hash within
                     made, weight, region = made[order], weight[order], region[order]
                 held = np.bincount(row[region], minlength=hi - lo)
-                length = np.where(n > 0, np.maximum(held, _prefix_length(n, share)), 0)
-                for k, s in enumerate(map(tuple, ids.tolist())):
-                    if s in seen:
-                        length[k] = 0
-                    seen.add(s)
+                if known_sets:
+                    length = np.where((ids == wanted[lo:hi]).all(axis=1), n, 0)
+                    names = nodes[lo:hi]
+                else:
+                    names = ids[:, 0]
+                    length = np.where(n > 0, np.maximum(held, _prefix_length(n, share)), 0)
+                    for k, s in enumerate(map(tuple, ids.tolist())):
+                        if s in seen:
+                            length[k] = 0
+                        seen.add(s)
                 at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - first[:-1], length)
-                size = np.repeat(n << 32, length)
-                often = weight[at]
-                size = np.where(often > 0, -(size | np.minimum(often, 2**31)), size | np.repeat(held, length))
+                has = np.flatnonzero(length)
+                none = np.zeros(len(at), np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "hash": pa.array(made[at].view(np.int64)), "hi": pa.array(np.repeat(ids[:, 0], length)), "lo": pa.array(np.repeat(ids[:, 1], length)), "size": pa.array(size),
+                    "hash": pa.array(np.concatenate([made[at].view(np.int64), names[has]])), "set": pa.array(np.concatenate([np.repeat(names, length), names[has]])),
+                    "often": pa.array(np.concatenate([weight[at], np.full(len(has), -1)])), "size": pa.array(np.concatenate([none, (n << 32 | held)[has]])),
                 })
 
     return run
 
 
-def _prefixes(offered: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """hi, lo, hash, place, bucket, parts: the prefix of each set, as far as other sets have its shingles.
-
-    place: the shingle's rank in its set, or less. bucket: its hash, or of one that very many sets have a part by set."""
+def _ordered(offered: DataFrame, share: tuple[int, int], bound: int) -> DataFrame:
+    """set, n, alone, own, found: of each set that can be similar to another one, the offered shingles that others have,
+    in the order (structs of weight and hash); alone: how many come before, as no other has them; own: how many of found
+    are of the prefix."""
     # a common shingle isn't counted; its rows are dealt by set as well
-    spread = F.when(F.col("size") < 0, F.pmod(F.col("lo"), F.lit(1024))).otherwise(0)
+    spread = F.when(F.col("often") > 0, F.pmod(F.xxhash64("set"), F.lit(1024))).otherwise(0)
     one = W.partitionBy("hash", "spread")
-    rows = offered.withColumn("spread", spread).select("hash", "hi", "lo", "size", "spread", F.count(F.lit(1)).over(one).alias("sets"), (F.min("hi").over(one) != F.max("hi").over(one)).alias("x"), (F.min("lo").over(one) != F.max("lo").over(one)).alias("y"))
-    low = F.lit((1 << 32) - 1)
-    weight = F.when(F.col("size") < 0, F.lit(_COMMON) + (-F.col("size")).bitwiseAND(low)).when(F.shiftrightunsigned("hash", 32) < _region(share), F.col("sets")).otherwise(F.lit(_OTHERS))
-    rows = rows.filter("size < 0 or x or y").select("hi", "lo", "size", F.struct(weight.alias("weight"), "hash").alias("one"))
-    sets = rows.groupBy("hi", "lo").agg(F.sort_array(F.collect_set("one")).alias("found"), F.max(F.shiftright(F.abs("size"), 32)).alias("n"), F.coalesce(F.max(F.when(F.col("size") > 0, F.col("size").bitwiseAND(low))), F.lit(0)).alias("held"))
+    several = F.min("set").over(one) != F.max("set").over(one)
+    rows = offered.withColumn("spread", spread).select("hash", "set", "often", "size", F.count(F.lit(1)).over(one).alias("sets"), several.alias("several"))
+    weight = F.when(F.col("often") > 0, F.lit(_COMMON) + F.col("often")).when(F.shiftrightunsigned("hash", 32) < bound, F.col("sets")).otherwise(F.lit(_OTHERS))
+    rows = rows.filter("often <> 0 or several").select("set", "size", F.when(F.col("often") >= 0, F.struct(weight.alias("weight"), "hash")).alias("one"))
+    sets = rows.groupBy("set").agg(F.sort_array(F.collect_set("one")).alias("found"), F.max("size").alias("size"))
+    sets = sets.select("set", "found", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("held"))
+    counted = F.size(F.filter("found", lambda x: x["weight"] < _OTHERS))
+    sets = sets.withColumn("alone", F.greatest(F.col("held") - counted, F.lit(0)).cast("int"))
     length = F.expr(f"n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")
-    # held - size(found) shingles that no other set has come first
-    alone = F.when(F.col("held") < length, 0).otherwise(F.col("held") - F.size("found"))
-    sets = sets.withColumn("alone", alone.cast("int")).withColumn("own", F.when(F.col("held") < length, F.size("found")).otherwise(F.greatest(length - F.col("alone"), F.lit(0))).cast("int"))
-    out = sets.filter("own > 0").select("hi", "lo", "alone", F.posexplode(F.slice("found", F.lit(1), F.col("own"))).alias("at", "one"))
+    return sets.withColumn("own", (length - F.col("alone")).cast("int")).filter("own > 0").select("set", "n", "alone", "own", "found")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """bucket, hash, node, n, place, parts, part: the prefix of each set. place: the shingle's rank in its set, or
+    less; bucket: its hash, or of one that very many sets have a part by set."""
+    out = sets.select("node", "n", "alone", F.posexplode(F.slice("found", F.lit(1), F.col("own"))).alias("at", "one"))
     texts = F.when(F.col("one.weight") >= _COMMON, F.col("one.weight") - _COMMON).when(F.col("one.weight") < _OTHERS, F.col("one.weight")).otherwise(0)
-    out = out.select("hi", "lo", F.col("one.hash").alias("hash"), (F.col("alone") + F.col("at")).alias("place"), (F.lit(1) + F.floor(texts / BUCKET)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("hi", "lo"), F.col("parts"))
-    return out.withColumn("part", part.cast("int")).withColumn("bucket", F.when(F.col("parts") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "part")))
+    out = out.select(F.col("one.hash").alias("hash"), "node", "n", (F.col("alone") + F.col("at")).alias("place"), (F.lit(1) + F.floor(texts / BUCKET)).cast("int").alias("parts"))
+    out = out.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    bucket = F.when(F.col("parts") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "part"))
+    return out.select(bucket.alias("bucket"), "hash", "node", "n", "place", "parts", "part")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -200,6 +222,23 @@ def _possible(share: tuple[int, int], n1, p1, n2, p2):
     return np.minimum(n1 - p1, n2 - p2) >= need
 
 
+def _fitting(share: tuple[int, int]):
+    """node: sets of a bucket beside which another one of it (or another part) has a size and place that allow the
+    similarity, and perhaps some more. Rows: bucket, hash, node, n, place, parts, part by bucket and n."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            n, place = g["n"].astype(np.int64), g["place"].astype(np.int64)
+            least = -(-n * share[0] // share[1])  # size of the smallest set that can be similar
+            own = _possible(share, n, place, least, np.zeros(len(n), np.int64))
+            key, node, n, parts = g["bucket"][own], g["node"][own], n[own], g["parts"][own]
+            near = np.zeros(len(n), bool)  # the next larger or smaller one fits by size
+            near[1:] = (key[1:] == key[:-1]) & (n[1:] * share[0] <= n[:-1] * share[1])
+            near[:-1] |= near[1:]
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.unique(node[near | (parts > 1)]))})
+
+    return run
+
+
 _PAIR = "a long, b long, n_a long, n_b long, label long, salt int"
 
 
@@ -225,7 +264,7 @@ def _buckets(share: tuple[int, int]):
             if not len(size):
                 continue
             key, node, n, place, parts, part = (g[c][many].astype(np.int64) for c in ("hash", "node", "n", "place", "parts", "part"))
-            # the leader: least relative place, then least node
+            # the leader: the fewest rarer shingles, then least node
             order = np.lexsort((node, place / n, np.repeat(np.arange(len(size)), size)))
             top = order[np.cumsum(size) - size]
             lead = np.repeat(top, size)
@@ -282,29 +321,13 @@ def _crossing(share: tuple[int, int]):
     return run
 
 
-def _segments(width: int):
-    """node, fragment and the hashes (their bytes in order) of each set. Rows: node, hi, lo, text; a text whose set is
-    another one's, as rows may share an id, gives nothing."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.array([k * (2**64 // FRAGMENTS) for k in range(1, FRAGMENTS)], np.uint64)
-        for batch in batches:
-            node, wanted = batch.column(0).to_numpy(), np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
-            for lo, hi, made, first in _sets(batch.column(3), width):
-                right = np.flatnonzero((_set_ids(made, first) == wanted[lo:hi]).all(axis=1))
-                sets = [made[first[k] : first[k + 1]] for k in right.tolist()]
-                parts = [x.tobytes() for own in sets for x in np.split(own, np.searchsorted(own, cuts))]
-                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(node[lo + right], FRAGMENTS)), "fragment": pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(right))), "hashes": pa.array(parts, pa.binary())})
-
-    return run
-
-
 def _overlaps(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.Table:
     """Partial overlaps of pairs (a, b), all of one task and fragment; sets: their nodes and hashes."""
-    nodes, one = np.unique(sets["node"].to_numpy(), return_index=True)  # repeated rows of the input give equal ones
-    raw = sets["hashes"].to_pylist()
-    size = np.array([len(raw[k]) // 8 for k in one.tolist()], np.int64)
-    every, column = np.unique(np.frombuffer(b"".join([raw[k] for k in one.tolist()]), np.uint64), return_inverse=True)
-    first = np.cumsum(size) - size
+    hashes = sets["hashes"].combine_chunks()
+    nodes, values, ends = sets["node"].to_numpy(), hashes.flatten().to_numpy(), hashes.value_lengths().to_numpy().cumsum()
+    order = np.argsort(nodes)
+    nodes, size, first = nodes[order], np.diff(np.concatenate([[0], ends]))[order], np.concatenate([[0], ends])[:-1][order]
+    every, column = np.unique(values, return_inverse=True)
     a, b = (np.searchsorted(nodes, pairs[c].to_numpy()) for c in ("a", "b"))
     order = np.argsort(a, kind="stable")
     common, wide = np.zeros(len(a), np.int64), max(1, 4 * LOOKED_UP // max(1, len(every)))
@@ -314,6 +337,7 @@ def _overlaps(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa
         upto = np.cumsum(size[b[order[lo:hi]]])
         hi = max(lo + 1, min(hi, lo + int(np.searchsorted(upto, LOOKED_UP, side="right"))))
         here = order[lo:hi]
+        lo = hi
         sets_, row = np.unique(a[here], return_inverse=True)
         has = np.zeros((len(sets_), len(every)), bool)
         for r, k in enumerate(sets_.tolist()):
@@ -321,26 +345,28 @@ def _overlaps(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa
         own = size[b[here]]
         at = np.arange(own.sum()) + np.repeat(first[b[here]] - np.cumsum(own) + own, own)
         common[here] = np.bincount(np.repeat(np.arange(len(here)), own), weights=has[np.repeat(row, own), column[at]], minlength=len(here))
-        lo = hi
     return pa.table({"a": pairs["a"], "b": pairs["b"], "common": pa.array(common)})
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of sets that are similar; pairs: written, each once."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "hi", "lo", F.col("doc_id").alias("wanted")), "needed")
-    texts = docs.join(F.broadcast(needed) if needed.count() * 40 <= MAX_BROADCAST else needed, F.col("doc_id") == F.col("wanted")).select("node", "hi", "lo", "text")
-    segments = written(texts.mapInArrow(_segments(width), "node long, fragment int, hashes binary"), "segments")
+def _fragment(hash_: Column) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - FRAGMENTS.bit_length() + 1)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of sets that are similar; pairs: written, each once; sets: what _ordered gives, with node."""
     total = pairs.agg(F.coalesce(F.sum(F.col("n_a") + F.col("n_b")), F.lit(0))).first()[0]
     task = F.pmod(F.xxhash64("label", "salt"), F.lit(1 + total * 8 // GROUP_BYTES))
     dealt = pairs.select("a", "b", task.alias("task"))
-    sets = dealt.select(F.col("task").alias("task"), F.explode(F.array("a", "b")).alias("node")).distinct().join(segments, "node")
+    # shingles that a set has alone are in no overlap
+    shared = sets.select("node", F.transform("found", lambda x: x["hash"]).alias("hashes"))
+    here = dealt.select(F.col("task").alias("task"), F.explode(F.array("a", "b")).alias("node")).distinct().join(shared, "node")
+    fragments = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda k: F.struct(k.alias("fragment"), F.filter("hashes", lambda x: _fragment(x) == k).alias("hashes")))
+    parts = here.select("task", "node", F.inline(fragments))
     every = dealt.select("a", "b", "task", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     # fragments are counted apart, then summed
-    partial = every.groupBy("task", "fragment").cogroup(sets.groupBy("task", "fragment")).applyInArrow(_overlaps, "a long, b long, common long")
+    partial = every.groupBy("task", "fragment").cogroup(parts.groupBy("task", "fragment")).applyInArrow(_overlaps, "a long, b long, common long")
     found = partial.groupBy("a", "b").agg(F.sum("common").alias("common")).join(pairs.select("a", "b", "n_a", "n_b"), ["a", "b"])
-    found = written(found.filter(F.col("common") * share[1] >= (F.col("n_a") + F.col("n_b") - F.col("common")) * share[0]).select("a", "b"), "links")
-    released(needed, segments)
-    return found
+    return written(found.filter(F.col("common") * share[1] >= (F.col("n_a") + F.col("n_b") - F.col("common")) * share[0]).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -401,17 +427,29 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
     order = np.argsort(known)
     common = spark.sparkContext.broadcast((known[order], listed["n"].to_numpy(np.int64)[order]))
 
-    offered = docs.mapInArrow(_offered(width, share, common), "hash long, hi long, lo long, size long")
-    prefixes = _prefixes(offered, share).join(classes, ["hi", "lo"]).select("bucket", "hash", "node", "n", "place", "parts", "part")
+    rows = "hash long, set long, often long, size long"
+    bound = min(1 << 32, int(REGION * (share[1] - share[0]) / share[1] * (1 << 32)))
+    sets = _ordered(docs.select("text").mapInArrow(_offered(width, share, common, bound, False), rows), share, bound)
+    first = _prefixes(sets.join(classes.select(F.col("hi").alias("set"), "node"), "set"))
+    near = first.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_fitting(share), "node long")
+    # sets that half of the id doesn't tell apart stay too
+    twins = classes.groupBy("hi").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1).select(F.explode("nodes").alias("node"))
+    near = near.unionByName(twins).distinct()
+    near = written(near.join(classes, "node").select("node", "hi", "lo", F.col("doc_id").alias("wanted")), "near")
+    # the texts that are left, by all of their shingles
+    near_ = F.broadcast(near) if near.count() * 40 <= MAX_BROADCAST else near
+    texts = docs.join(near_, F.col("doc_id") == F.col("wanted")).select("text", "hi", "lo", "node")
+    sets = _ordered(texts.mapInArrow(_offered(width, share, common, 1 << 32, True), rows), share, 1 << 32)
+    sets = written(sets.withColumnRenamed("set", "node"), "ordered")
     columns = _PAIR + ", place int, parts int, kind int"
-    met = prefixes.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_buckets(share), columns)
+    met = _prefixes(sets).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_buckets(share), columns)
     met = written(met, "buckets")
     stars = met.filter("kind = 0").select("a", "b", "n_a", "n_b", "label", "salt")
     # parts of one bucket, through their leaders
     leaders = met.filter("kind = 2").select(F.col("a").alias("bucket"), F.col("a").alias("hash"), F.col("b").alias("node"), F.col("n_b").alias("n"), "place", F.lit(1).alias("parts"), F.col("salt").alias("part"))
     between = leaders.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_buckets(share), columns)
     stars = written(_once(stars.unionByName(between.filter("kind = 0").select(*stars.columns))), "pairs")
-    links = _verified(docs, classes, stars, width, share)
+    links = _verified(sets, stars, share)
     nodes = components(links)
 
     members = met.filter("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node"), F.col("n_b").alias("n"), "place", "parts", F.col("salt").alias("part"))
@@ -419,8 +457,8 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
     several = members.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
     # beside each set of such a bucket, the first of its shingles before that are of such buckets too
     held_in = F.sort_array(F.collect_list(F.struct("place", "hash", "parts", "part"))).alias("held_in")
-    sets = members.join(several, "hash").groupBy("node", "n", "component").agg(held_in)
-    cells = sets.select("node", "n", "component", F.transform(F.slice("held_in", 1, EARLY), lambda x: x["hash"]).alias("early"), F.posexplode("held_in").alias("at", "one"))
+    left = members.join(several, "hash").groupBy("node", "n", "component").agg(held_in)
+    cells = left.select("node", "n", "component", F.transform(F.slice("held_in", 1, EARLY), lambda x: x["hash"]).alias("early"), F.posexplode("held_in").alias("at", "one"))
     cells = cells.select("node", "n", "component", "early", F.least("at", F.lit(EARLY)).alias("known"), "one.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.when(F.col("parts") == 1, F.col("hash")).otherwise(F.xxhash64("hash", F.least("part", "other"), F.greatest("part", "other")))
     within = (F.col("other") == F.col("part")).cast("int").alias("within")
@@ -430,13 +468,13 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
     crossing = _once(crossing).withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
     crossing = written(crossing.join(tested, ["x", "y"], "left_anti").drop("x", "y"), "crossing")
     if not crossing.isEmpty():
-        more = _verified(docs, classes, crossing, width, share)
+        more = _verified(sets, crossing, share)
         if not more.isEmpty():
             nodes = components(links.unionByName(more))
         released(more)
-    released(often, met, stars, links, members, crossing)
+    released(often, near, sets, met, stars, links, members, crossing)
 
-    # a set's smallest document, and the smallest of its component
+    # each set's smallest document, and the smallest of its component
     placed = classes.join(nodes, "node", "left").select("hi", "lo", "doc_id", F.coalesce("component", "node").alias("component"))
     first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = placed.join(first, "component").select("hi", "lo", "component_id")
