@@ -6,9 +6,8 @@ a minimal perfect hash (a level of seeds for buckets of keys) over three compact
 smallest document. Documents' line hashes go to their shard and probe its arrays; an unknown line is told by its
 fingerprint. No line is joined with a line, and no text is shuffled but once, to be rebuilt beside its dropped lines.
 
-Keys that over one in HOT_SHARE documents hold are few, whatever the corpus (a document has only so many lines), and
-would meet in one shard; documents are probed for those where they are read, against a table of at most MAX_HOT keys.
-The shards are dealt in blocks of documents besides, each block with its own copy of the arrays.
+The probes of a shard are dealt to blocks of about BLOCK_PROBES, by document, and each block has its own copy of the
+arrays; so a line that very many documents have only makes more blocks of its shard. Probes stream past the arrays.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ from docloom.llm.common import table, written
 MIN_KEY = 10
 MIN_DOCS = 2
 SHARD_KEYS = 20_000
-HOT_SHARE = 1000
-MAX_HOT = 100_000
+#: Probes that meet one copy of a shard's arrays, about.
+BLOCK_PROBES = 250_000
+#: Bytes of the table of blocks by shard up to which it is broadcast, 24 each.
+MAX_BROADCAST = 32 << 20
 SPACES = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _PER_BUCKET = 4
@@ -54,6 +55,8 @@ class PerfectHash:
     """Minimal perfect hash of n distinct 64-bit keys onto range(n): a seed for each bucket of about 4 keys sends them
     to places that are free; large buckets choose first."""
 
+    MOST = 1 << 20  # seeds to try
+
     def __init__(self, seeds: np.ndarray, n: int):
         self.seeds, self.n = seeds, n
 
@@ -80,6 +83,8 @@ class PerfectHash:
                 break
             own, seed = keys[first[b] : first[b + 1]], 0
             while True:
+                if seed >= cls.MOST:
+                    raise ValueError("no seed parts these keys")
                 # many seeds at once
                 tried = np.arange(seed, seed + 64)
                 at = cls._at(np.tile(own, 64), np.repeat(tried, len(own)), n).reshape(64, len(own))
@@ -99,10 +104,10 @@ class PerfectHash:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct key of a document: its hashes and its lines' numbers."""
+    """One row for each distinct key of a text: its hashes and its lines' numbers. Rows: doc_id, row, text."""
     for batch in batches:
-        a, b, doc, lines = [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        a, b, at_row, lines = [], [], [], []
+        for n, text in enumerate(batch.column(2)):
             own: dict[str, list[int]] = {}
             for k, line in enumerate((text.as_py() or "").split("\n")):
                 if len(line) >= MIN_KEY and len(key := line_key(line)) >= MIN_KEY:
@@ -111,56 +116,80 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = key_hash(key)
                 a.append(x)
                 b.append(y)
-                doc.append(doc_id)
+                at_row.append(n)
                 lines.append(at)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "lines": pa.array(lines, pa.list_(pa.int32()))})
+        here = pa.array(at_row, pa.int64())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "doc_id": batch.column(0).take(here), "row": batch.column(1).take(here), "lines": pa.array(lines, pa.list_(pa.int32()))})
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of both halves of a hash."""
+    return a.view(np.uint64) ^ _mix(b.view(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    keys = rows["a"].to_numpy().view(np.uint64)
-    # two keys of equal first half can't both be placed by it; the second half tells them apart
-    both = keys ^ _mix(rows["b"].to_numpy().view(np.uint64))
-    mph = PerfectHash.build(both)
+    a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+    for salt in range(64):
+        both = _mixed(a, b, salt)
+        if len(np.unique(both)) < len(both):
+            continue  # another salt parts the two
+        try:
+            mph = PerfectHash.build(both)
+            break
+        except ValueError:
+            continue
+    else:
+        raise ValueError("no salt parts the keys of a shard")
     at = mph.place(both)
     out = [np.zeros(mph.n, t) for t in (np.int64, np.int32, np.int64)]
-    for array, column in zip(out, (rows["b"].to_numpy(), np.minimum(rows["n"].to_numpy(), 2**31 - 1), rows["first"].to_numpy())):
+    for array, column in zip(out, (b, np.minimum(rows["n"].to_numpy(), 2**31 - 1), rows["first"].to_numpy())):
         array[at] = column
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "seeds": [mph.seeds.astype(np.int32).tobytes()], "fingerprints": [out[0].tobytes()], "counts": [out[1].tobytes()], "firsts": [out[2].tobytes()]})
+    seeds = np.concatenate([[salt], mph.seeds]).astype(np.int32)
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "seeds": [seeds.tobytes()], "fingerprints": [out[0].tobytes()], "counts": [out[1].tobytes()], "firsts": [out[2].tobytes()]})
 
 
-def _probe(key: tuple[pa.Scalar, ...], probes: pa.Table, index: pa.Table) -> pa.Table:
-    """The lines that go, of the documents whose line hashes came to this shard."""
-    if not len(probes) or not len(index):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "lines": pa.array([], pa.list_(pa.int32()))})
-    field = lambda c, t: np.frombuffer(index[c][0].as_py(), t)
-    fingerprints, counts, firsts = field("fingerprints", np.int64), field("counts", np.int32), field("firsts", np.int64)
-    mph = PerfectHash(field("seeds", np.int32).astype(np.int64), len(counts))
-    b, doc = probes["b"].to_numpy(), probes["doc_id"].to_numpy()
-    at = mph.place(probes["a"].to_numpy().view(np.uint64) ^ _mix(b.view(np.uint64)))
-    goes = (fingerprints[at] == b) & (counts[at] >= MIN_DOCS) & (firsts[at] != doc)
-    return probes.filter(pa.array(goes)).select(["doc_id", "lines"])
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, row, lines: the lines that go. Rows: shard, block, is_probe in the order of these, so that a block's
+    arrays come first; then arrays and probes, each null in the other's rows."""
+    home, arrays = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, block, probe = (batch.column(k).to_numpy() for k in range(3))
+        cut = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (block[1:] != block[:-1]) | (probe[1:] != probe[:-1])]))
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)]):
+            own = batch.slice(lo, hi - lo)
+            if not probe[lo]:
+                home = (shard[lo], block[lo])
+                field = lambda c, t: np.frombuffer(own.column(c)[0].as_py(), t)  # noqa: B023,E731
+                seeds = field("seeds", np.int32).astype(np.int64)
+                arrays = (int(seeds[0]), seeds[1:], field("fingerprints", np.int64), field("counts", np.int32), field("firsts", np.int64))
+            elif home == (shard[lo], block[lo]):
+                salt, seeds, fingerprints, counts, firsts = arrays
+                a, b, doc = (own.column(c).to_numpy() for c in ("a", "b", "doc_id"))
+                at = PerfectHash(seeds, len(counts)).place(_mixed(a, b, salt))
+                goes = (fingerprints[at] == b) & (counts[at] >= MIN_DOCS) & (firsts[at] != doc)
+                yield own.filter(pa.array(goes)).select(["doc_id", "row", "lines"])
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, lines (array<int>, places of lines that go); documents: doc_id, text with distinct ids."""
-    rows = written(documents.mapInArrow(_line_rows, "a long, b long, doc_id long, lines array<int>"), "lines")
+    """doc_id, row, lines (array<int>, places of lines that go); documents: doc_id (not null), row (of the text), text."""
+    rows = written(documents.mapInArrow(_line_rows, "a long, b long, doc_id long, row long, lines array<int>"), "lines")
     index = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= MIN_DOCS)
     index = written(index, "line-index")
-    total = rows.agg(F.approx_count_distinct("doc_id").alias("d"), F.count("*").alias("n")).first()
-    keys = index.count()
-    hot = index.filter(F.col("n") > max(1000, total.d // HOT_SHARE))
-    hot = hot.orderBy(F.desc("n"), "a", "b").limit(MAX_HOT)
-    rows = rows.join(F.broadcast(hot.select("a", "b", F.col("first").alias("hot_first"))), ["a", "b"], "left")
-    near = rows.filter(F.col("hot_first").isNotNull() & (F.col("hot_first") != F.col("doc_id"))).select("doc_id", "lines")
+    total, keys = rows.count(), index.count()
     shards = max(1, keys // SHARD_KEYS)
-    # about 250000 probes meet in one group, however many documents share the lines of a shard
-    blocks = max(1, total.n // (shards * 250_000))
     shard = F.pmod(F.col("a"), F.lit(shards))
-    arrays = index.withColumn("shard", shard).groupBy("shard").applyInArrow(_shard, "shard long, seeds binary, fingerprints binary, counts binary, firsts binary")
-    arrays = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    probes = rows.filter("hot_first is null").select(shard.alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "a", "b", "doc_id", "lines")
-    found = probes.groupBy("shard", "block").cogroup(arrays.groupBy("shard", "block")).applyInArrow(_probe, "doc_id long, lines array<int>")
-    return near.unionByName(found)
+    index = index.withColumn("shard", shard)
+    # probes of the keys of the index, and a share of the others
+    blocks = index.groupBy("shard").agg((F.floor((F.sum("n") + total / shards) / BLOCK_PROBES) + 1).cast("int").alias("blocks"))
+    blocks = F.broadcast(blocks) if shards * 24 <= MAX_BROADCAST else blocks
+    arrays = index.groupBy("shard").applyInArrow(_shard, "shard long, seeds binary, fingerprints binary, counts binary, firsts binary").join(blocks, "shard")
+    arrays = arrays.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("is_probe"), "seeds", "fingerprints", "counts", "firsts")
+    probes = rows.withColumn("shard", shard).join(blocks, "shard")  # a shard without keys drops nothing
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id", "row"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("is_probe"), "a", "b", "doc_id", "row", "lines")
+    both = arrays.unionByName(probes, allowMissingColumns=True).repartition("shard", "block").sortWithinPartitions("shard", "block", "is_probe")
+    return both.mapInArrow(_probe, "doc_id long, row long, lines array<int>")
 
 
 def _rebuilt(full: bool):
@@ -186,8 +215,10 @@ def _rebuilt(full: bool):
 
 def _lines_left(documents: DataFrame, full: bool, id_col: str, text_col: str) -> DataFrame:
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("carried")] * full)
-    gone = dropped_lines(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("gone"))
-    joined = docs.join(gone, "doc_id", "left")
+    # ids needn't tell rows apart: lines are numbered within a text
+    docs = docs.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = dropped_lines(docs.filter("doc_id is not null").select("doc_id", "row", "text")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("lines")).alias("gone"))
+    joined = docs.join(gone, ["doc_id", "row"], "left")
     made = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long")
     made = made.add("kept", "string").add("carried", docs.schema["carried"].dataType) if full else made.add("kept_sha256", "string")
     return joined.mapInArrow(_rebuilt(full), made)
@@ -198,7 +229,9 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Keys of at least MIN_KEY code points in at least two documents lose all their lines but in the smallest doc_id that
     holds them; there all stay. Null and empty texts are one empty line. A document of which every line goes keeps the
-    empty text. Ids are to be distinct and not null; extra columns aren't carried; an empty table gives an empty result.
+    empty text. A row without an id keeps all its lines and is no other's earlier document. Rows that share an id are
+    one document in this, so they drop nothing for each other; repeated rows are kept, each with the same result. Extra
+    columns aren't carried; an empty table gives an empty result.
     """
     return _lines_left(documents, False, id_col, text_col)
 
