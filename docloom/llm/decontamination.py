@@ -1,14 +1,14 @@
-"""Benchmark decontamination by MinHash containment search.
+"""Benchmark decontamination by size-partitioned MinHash containment search.
 
-The items are dealt to partitions by the number s of their distinct shingles, powers of two apart. An item's sketch is
-its b MinHash values, the b smallest hashes of its shingles, with b = s - ceil(THRESHOLD * s) + 1: a text that contains
-the share THRESHOLD of the item lacks at most b - 1 of its shingles, so it has one of the sketch, wherever it stands in
-however long a text. One bound for each width, the largest over all partitions, drops a text's other shingles before
-they meet any sketch; the search itself isn't partitioned. Texts and items that share a sketch value are candidates, which are verified by counting
-the item's shingles that the text contains, as strings.
+The items are dealt to partitions by the number s of their distinct shingles, powers of two apart, and by the words of a
+shingle. An item's sketch is its b MinHash values, the b smallest hashes of its shingles, with b = s - ceil(THRESHOLD * s)
++ 1: a text that contains the share THRESHOLD of the item lacks at most b - 1 of its shingles, so it has one of the
+sketch, wherever it stands in however long a text. Each partition has a bound of its own, its largest sketch value: a
+text's shingles up to it, and no others, are looked up in the partition's sketches. Texts and items that share a sketch
+value are candidates, which are verified by counting the item's shingles that the text contains, as strings.
 
-DataFrame expressions only. Sketches, and candidates that choose the texts to be read again, are broadcast while they
-are under MAX_BROADCAST rows; beyond that they are joined by shuffle.
+DataFrame expressions only. Sketches, items and the ids of the texts to be read again are broadcast while they are under
+MAX_BROADCAST bytes by their counts; beyond that they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from docloom.llm.common import WS, ascii_lower, table, written
 WORDS = 5
 #: Five shared shingles to four of an item's: containment of 0.8.
 SHARE = (4, 5)
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 64 << 20
+#: Bytes of a sketch value with its item, of a shingle of an item, and of an id, about.
+SKETCH_BYTES, SHINGLE_BYTES, ID_BYTES = 40, 80, 16
 
 
 def words(text: Column) -> Column:
@@ -53,36 +55,46 @@ def contained_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     """doc_id, item_id, n_item, n_common, containment: each pair of a text and an item of which it contains enough.
 
     Words are what ASCII white space parts, A-Z lower-cased. Null and empty texts and items contain nothing and are in
-    nothing. Equal items are found each under its own id; rows of an equal doc_id are one text with several versions, of
-    which the best counts; extra columns aren't carried; empty tables give an empty result.
+    nothing; a text or item without an id can't be named and is left out. Equal items are found each under its own id;
+    rows of an equal doc_id are one text with several versions, of which the best counts; extra columns aren't carried;
+    empty tables give an empty result.
     """
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     known = written(item_sketches(items.select("item_id", "text").filter("item_id is not null")), "sketches")
     # at most WORDS widths and a few dozen partitions
-    bounds = known.groupBy("partition", "width").agg(F.max(F.array_max("sketch")).alias("bound"), F.sum(F.size("sketch")).alias("n")).collect()
+    bounds = known.groupBy("partition", "width").agg(F.max(F.array_max("sketch")).alias("bound"), F.sum(F.size("sketch")).alias("n"), F.sum("n_item").alias("shingles")).collect()
     if not bounds:
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_item", "n_common")], F.lit(0.0).alias("containment"))
-    sketches = known.select("item_id", F.explode("sketch").alias("hash"))
+    widths = sorted({r.width for r in bounds})
     by_words = docs.select("doc_id", words(F.col("text")).alias("words"))
-    def under_bound(w: int) -> Column:
-        bound = F.lit(max(r.bound for r in bounds if r.width == w))
-        return F.filter(F.transform(_shingles("words", w), lambda s: F.xxhash64(s)), lambda h: h <= bound)
-
-    hashes = F.flatten(F.array(*[under_bound(w) for w in sorted({r.width for r in bounds})]))
-    met = by_words.select("doc_id", F.explode(hashes).alias("hash"))
-    sketches = F.broadcast(sketches) if sum(r.n for r in bounds) <= MAX_BROADCAST else sketches
-    candidates = met.join(sketches, "hash").groupBy("doc_id", "item_id").agg(F.count("*").alias("met"))
-    candidates = written(candidates, "candidates")
-    asked = candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("asked"))
-    again = docs.join(F.broadcast(asked) if candidates.count() <= MAX_BROADCAST else asked, "doc_id")
-    again = again.select("doc_id", "asked", words(F.col("text")).alias("words"))
-    of_width = [F.named_struct(F.lit("width"), F.lit(w), F.lit("own"), F.array_distinct(_shingles("words", w))) for w in sorted({r.width for r in bounds})]
-    again = again.select("doc_id", F.array(*of_width).alias("by_width"), F.explode("asked").alias("item_id"))
+
+    def looked_up(w: int) -> Column:
+        """partition and hash of a text's shingles of w words that are within the partition's bound."""
+        def within(hashes: Column) -> Column:
+            parts = [F.transform(F.filter(hashes, lambda h: h <= F.lit(bound)), lambda h: F.struct(F.lit(part).alias("partition"), h.alias("hash"))) for part, bound in own]  # noqa: B023
+            return F.flatten(F.array(*parts))
+
+        own = sorted((r.partition, r.bound) for r in bounds if r.width == w)
+        return F.transform(F.array(F.transform(_shingles("words", w), lambda s: F.xxhash64(s))), within)[0]
+
+    met = by_words.select("doc_id", F.inline(F.flatten(F.array(*[looked_up(w) for w in widths]))))
+    sketches = known.select("item_id", "partition", F.explode("sketch").alias("hash"))
+    sketches = F.broadcast(sketches) if sum(r.n for r in bounds) * SKETCH_BYTES <= MAX_BROADCAST else sketches
+    candidates = written(met.join(sketches, ["partition", "hash"]).select("doc_id", "item_id").distinct(), "candidates")
+    ids = candidates.select("doc_id").distinct()
+    again = docs.join(F.broadcast(ids) if ids.count() * ID_BYTES <= MAX_BROADCAST else ids, "doc_id", "left_semi")
     wanted = known.select("item_id", "width", "shingles", "n_item")
-    wanted = F.broadcast(wanted) if sum(r.n for r in bounds) <= MAX_BROADCAST else wanted
-    pairs = again.join(wanted, "item_id")
-    own = F.filter("by_width", lambda x: x["width"] == F.col("width"))[0]["own"]
-    pairs = pairs.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect(F.col("shingles"), own)).cast("long").alias("n_common"))
+    wanted = F.broadcast(wanted) if sum(r.shingles for r in bounds) * SHINGLE_BYTES <= MAX_BROADCAST else wanted
+    asked = candidates.join(wanted, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "width", "n_item", "shingles")).alias("asked"))
+    again = again.join(asked, "doc_id").select("doc_id", "asked", words(F.col("text")).alias("words"))
+    by_width = F.array(*[F.struct(F.lit(w).alias("width"), F.array_distinct(_shingles("words", w)).alias("own")) for w in widths])
+    again = again.select("doc_id", "asked", by_width.alias("by_width"))
+
+    def counted(x: Column) -> Column:
+        own = F.filter("by_width", lambda y: y["width"] == x["width"])[0]["own"]
+        return F.struct(x["item_id"].alias("item_id"), x["n_item"].cast("long").alias("n_item"), F.size(F.array_intersect(x["shingles"], own)).cast("long").alias("n_common"))
+
+    pairs = again.select("doc_id", F.inline(F.transform("asked", counted)))
     pairs = pairs.filter(F.col("n_common") * SHARE[1] >= F.col("n_item") * SHARE[0])
     pairs = pairs.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_common").alias("n_common"))
     return pairs.withColumn("containment", F.col("n_common") / F.col("n_item"))
