@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import ascii_lower, table
 
 ROUNDS = 10
-KEY = "docloom-demo-key"  # a parameter: production runs pass their own
+#: The query's key. It is public, so its pseudonyms can be undone; pseudonymise() has no default one.
+QUERY_KEY = "docloom-demo-key"
 
 #: (kind, pattern); alternatives in this order at each place.
 PATTERNS = (
@@ -142,10 +143,29 @@ def _with_cards(piece: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """The last ten digits; a country code stays."""
+    """The last ten digits; a country code stays. Area and exchange codes are 200 to 999 without those that end in 11,
+    and so are their images."""
+    def valid(code: Column) -> Column:
+        return (code >= 200) & (code % 100 != 11)
+
+    def index(code: Column) -> Column:
+        """0 to 791: each hundred has 99 codes."""
+        return code - 200 - F.floor((code - 111) / 100)
+
+    def code(i: Column) -> Column:
+        return F.lit(200) + F.floor(i / 99) * 100 + i % 99 + F.when(i % 99 >= 11, 1).otherwise(0)
+
     def mapped(d: Column) -> Column:
-        ten = F.substr(d, F.length(d) - 9, F.lit(10))
-        return _let(_permuted_digits(ten, key, F.lit("phone")), lambda p: _refill(v, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), p)))
+        n = F.length(d)
+        area, exchange, line = (F.substr(d, n - at, F.lit(size)).cast("long") for at, size in ((9, 3), (6, 3), (3, 4)))
+        wide = F.lit(79200).cast("long")
+        image = feistel(index(area) * 100 + F.floor(line / 100), index(exchange) * 100 + line % 100, wide, wide, key, F.lit("phone"))
+
+        def shown(s: Column) -> Column:
+            new = F.format_string("%03d%03d%02d%02d", code(F.floor(s["x"] / 100)).cast("long"), code(F.floor(s["y"] / 100)).cast("long"), (s["x"] % 100).cast("long"), (s["y"] % 100).cast("long"))
+            return _refill(v, F.concat(F.substr(d, F.lit(1), n - 10), new))
+
+        return F.when(valid(area) & valid(exchange), _let(image, shown))
 
     return _let(_digits(v), mapped)
 
@@ -202,7 +222,7 @@ def _email(v: Column, key: str) -> Column:
 _MAPS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_found, n_email, n_ip, n_date, n_ssn, n_phone, n_card (long).
 
     Values that fail their validation (a card's check digit, a date's calendar, an address's bytes, a number's area)
@@ -210,10 +230,11 @@ def pseudonymise(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", t
     beside an expiry date or a code is found; where a longer grouping passes by chance, it is taken as the card.
 
     Dates are year-month-day or day-month-year: a month-first one stays if its day is over 12. Telephone numbers have
-    the North American layout with a bracket, dot or hyphen after the area; others, such as '+1 555 123 4567', stay.
+    the North American layout with a bracket, dot or hyphen after the area; others, such as '+1 555 123 4567', and those
+    with an area or exchange code that can't be, stay.
 
-    Null texts stay null with counts of 0; empty ones stay empty; repeated rows are
-    treated alike; extra columns aren't carried; an empty table gives an empty result.
+    Null texts stay null with counts of 0; empty ones stay empty; repeated rows are treated alike, and rows without an id
+    too; extra columns aren't carried; an empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     may = F.col("text").rlike("[0-9@]")
@@ -251,4 +272,4 @@ def pseudonymise(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", t
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), QUERY_KEY)
