@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +58,7 @@ def _counts(target: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, target)
+            good = pc.is_in(batch.column(0), pa.array(target)).to_numpy(zero_copy_only=False)  # null: not good
             for lo, _, bucket, row in ngram_buckets(batch.column(1)):
                 sums[0] += np.bincount(bucket, minlength=BUCKETS)
                 sums[1] += np.bincount(bucket[good[row + lo]], minlength=BUCKETS)
@@ -144,11 +144,13 @@ def best_cut(scored: list[tuple[float, int]]) -> float:
 
 
 def quality_classifier(documents: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_grams, log_weight, gumbel_key, kept (exactly k of them true).
+    """One row per document: doc_id, n_grams, log_weight, gumbel_key, kept (k of them true).
 
     labels: doc_id, quality (1 good, 0 bad; null: unlabelled). Without enough labels of both kinds all documents are
-    kept. Null and empty texts have no n-grams and the least weight. Ids are to be distinct; equal texts have equal
-    weights and noise of their own; extra columns aren't carried; an empty table gives an empty result.
+    kept. Null and empty texts have no n-grams and the least weight. Equal texts have equal weights and noise by their
+    ids; rows that share an id share its noise and label, and rows equal in id and weight stand or fall together, so that
+    more than k may be kept then; rows without an id are unlabelled and share one noise. Extra columns aren't carried; an
+    empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
@@ -159,7 +161,7 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, k: int | None =
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     gumbel = -F.log(-F.log(uniform))
     scored = docs.mapInArrow(_weights(ratio), "doc_id long, n_grams long, log_weight double").withColumn("gumbel_key", F.col("log_weight") + gumbel)
-    scored = written(scored.withColumn("rank", _ordered_bits(F.col("gumbel_key"))).withColumn("tie", F.col("doc_id")), "weights")
+    scored = written(scored.withColumn("rank", _ordered_bits(F.col("gumbel_key"))).withColumn("tie", F.coalesce("doc_id", F.lit(-(1 << 63)))), "weights")
     if k is None:
         own = docs.sparkSession.createDataFrame([(int(i),) for i in quality], "doc_id long")
         weights = scored.select("doc_id", "log_weight").join(F.broadcast(own), "doc_id").collect() if quality else []  # at most LABELLED rows
