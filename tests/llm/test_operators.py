@@ -35,10 +35,14 @@ def rows(df, *columns):
     return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
 
 
+def pseudonyms(docs):
+    return pii.pseudonymise(docs, "k")
+
+
 EMPTY = "doc_id long, text string, lang string"
 
 
-@pytest.mark.parametrize("make", [secrets.secret_scan, pii.pseudonymise, quality_rules.quality_rules, jaccard_join.jaccard_components, substring_dedup.substring_dedup, line_dedup.line_dedup, pieces.encode_decode], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("make", [secrets.secret_scan, pseudonyms, quality_rules.quality_rules, jaccard_join.jaccard_components, substring_dedup.substring_dedup, line_dedup.line_dedup, pieces.encode_decode], ids=lambda f: f.__name__)
 def test_empty_table(spark, make):
     assert make(spark.createDataFrame([], EMPTY)).collect() == []
 
@@ -73,10 +77,11 @@ def test_interval_expansion():
 
 def test_lines(spark):
     docs = [*corpus(), (200, "A shared line of text\nown"), (201, "  a SHARED line of text\t\nA shared line of text\nx"), (202, "short\nshort")]
-    for share, least in ((1000, None), (10**9, None)):
-        line_dedup.HOT_SHARE, kept = share, line_dedup.HOT_SHARE
+    docs += [(1000 + k, f"own line of text {k}\nA line that very many documents have") for k in range(1500)]
+    for keys, probes in ((20_000, 250_000), (1, 7)):  # few and many shards and blocks
+        line_dedup.SHARD_KEYS, line_dedup.BLOCK_PROBES, kept = keys, probes, (line_dedup.SHARD_KEYS, line_dedup.BLOCK_PROBES)
         assert rows(line_dedup.line_dedup(frame(spark, docs)), "n_lines", "n_dropped", "kept_sha256") == brute.lines(docs)
-        line_dedup.HOT_SHARE = kept
+        line_dedup.SHARD_KEYS, line_dedup.BLOCK_PROBES = kept
     same = line_dedup.without_repeated_lines(frame(spark, docs))
     assert same.columns == frame(spark, docs).columns and {r.doc_id: brute.sha(r.text) for r in same.collect()} == {i: v[2] for i, v in brute.lines(docs).items()}
 
@@ -167,8 +172,8 @@ def test_secrets(spark):
 
 
 def test_pseudonyms(spark):
-    texts = ["card 4111 1111 1111 1111 or 4111111111111112", "on 2024-02-29, 2023-02-29 and 31.12.1999", "10.0.0.1 999.1.1.1", "ssn 123-45-6789 000-12-3456", "+1 (555) 123-4567", "me@x.example.com ME@x.example.com", None, "", "again 10.0.0.1 and 4111-1111-1111-1111"]
-    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, list(enumerate(texts)))).collect()}
+    texts = ["card 4111 1111 1111 1111 or 4111111111111112", "on 2024-02-29, 2023-02-29 and 31.12.1999", "10.0.0.1 999.1.1.1", "ssn 123-45-6789 000-12-3456", "+1 (555) 223-4567", "me@x.example.com ME@x.example.com", None, "", "again 10.0.0.1 and 4111-1111-1111-1111"]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, list(enumerate(texts))), "k").collect()}
     luhn = lambda s: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(s))) % 10 == 0
     import datetime
     import re
