@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,34 +36,33 @@ def fence_state(lines: DataFrame, languages: tuple[str, ...] | None = None) -> D
     return out.withColumn("in_code", state.cast("int")).drop("__toggles", "__since")
 
 
+def cut_places(line: str, before: tuple[str, ...], after: tuple[str, ...]) -> tuple[list[int], list[int]]:
+    """Where a line may be cut: in front of the marks of before, and behind those that are of after alone."""
+    marks = {c: (c in before, c in after) for c in set(line)}
+    return [k for k, c in enumerate(line) if marks[c][0]], [k for k, c in enumerate(line, 1) if marks[c] == (False, True)]
+
+
 def wrap(line: str, width: int = WIDTH, before: tuple[str, ...] = BEFORE, after: tuple[str, ...] = AFTER, force: bool = True, indent: int = INDENT) -> list[str]:
     """A line in pieces of at most width characters. Each cut is the last one possible: in front of a mark of before
     (not at the piece's start), or behind one of after; else at the full width, or nowhere if force is off. Pieces but
     the last end in two spaces and a line feed; those after the first are indented by the line's own indent and indent
     more, and are that much shorter, but never under one character."""
-    if len(line) < width:
-        return [line]
-    own = len(line) - len(line.lstrip(" "))
-    pieces, start, lead = [], 0, ""
-    while start + width < len(line):
-        cut = 0
-        for k in range(start + width - 1, start - 1, -1):
-            if line[k] in before and k > start:
-                cut = k
-                break
-            if line[k] in after:
-                cut = k + 1
-                break
-        if not cut:
-            if not force:
-                break
-            cut = start + width
-        pieces.append(lead + line[start:cut] + "  \n")
-        if not lead:
-            lead = " " * (own + indent)
-            width = max(1, width - own - indent)
-        start = cut
-    return [*pieces, lead + line[start:]] if start < len(line) else pieces
+    deeper = len(line) - len(line.lstrip(" ")) + indent
+    fronts, backs = cut_places(line, before, after)
+
+    def next_cut(start: int, room: int) -> int | None:
+        last_front, last_back = bisect_left(fronts, start + room), bisect_right(backs, start + room)
+        best = max([0, *fronts[:last_front][-1:], *backs[:last_back][-1:]])
+        return best if best > start else start + room if force else None
+
+    cuts = [0]
+    room = width
+    while len(line) >= width and len(line) > cuts[-1] + room and (cut := next_cut(cuts[-1], room)):
+        cuts.append(cut)
+        room = max(1, width - deeper)
+    parts = [line[i:j] for i, j in zip(cuts, [*cuts[1:], len(line)])]
+    lead = ["", *[" " * deeper] * (len(parts) - 1)]
+    return [x + p + ("" if k == len(parts) else "  \n") for k, (x, p) in enumerate(zip(lead, parts), 1)]
 
 
 @F.pandas_udf(ArrayType(StringType()))
