@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -108,6 +110,9 @@ def same_heading(source: str, other: str, allowed: int = ALLOWED, free: tuple[st
     source, other = source.strip(), other.strip()
     if source == other:
         return True
+    # each character that other has more of comes from a step of its own
+    if sum(n for c, n in (Counter(other) - Counter(source)).items() if c not in free) > allowed:
+        return False
     return sum(step != "SKIP" and c not in free for c, step in edits(source, other)) <= allowed
 
 

@@ -6,9 +6,10 @@ models stay there. The default one is deterministic and needs no network.
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as TimesUp
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,6 @@ from docloom.sources.markdown import rebuilt
 
 TRANSLATE = "Translate this part of a Markdown file. Keep its marks, links and tables, fence its code, and answer with the translation alone:\n{content}"
 HAS_CODE = "Does this text hold program code, formulas aside? Answer 1 for yes, 2 for no, and nothing else:\n{content}"
-RELEVEL = "These are all headings of a document. Correct their levels, drop what is no heading, and answer with the headings alone:\n{content}"
 
 
 class Upper:
@@ -73,28 +73,80 @@ def dealt(calls: DataFrame, agents: tuple[str, ...], order: str = "chunk_no", gr
     return calls.withColumn("agent", F.get(F.array(*[F.lit(a) for a in agents]), (n % len(agents)).cast("int")))
 
 
+class _Call(threading.Thread):
+    """One call on a thread of its own, which nobody waits for beyond its time."""
+
+    def __init__(self, ask: Callable[[str], str | None], prompt: str):
+        super().__init__(daemon=True)
+        self.ask, self.prompt, self.began = ask, prompt, time.monotonic()
+        self.result: tuple[str | None, str] = (None, "timeout")
+        self.start()
+
+    def run(self) -> None:
+        try:
+            said = self.ask(self.prompt)
+            self.result = (said, "failed" if said is None else "ok")
+        except Exception:
+            self.result = (None, "failed")
+
+    def finished(self, timeout: float | None) -> tuple[str | None, str]:
+        self.join(None if timeout is None else max(0.0, self.began + timeout - time.monotonic()))
+        return self.result
+
+
+def in_order(ask: Callable[[str], str | None], prompts: list[str], workers: int, timeout: float | None) -> list[tuple[str | None, str]]:
+    """(answer, status) of each prompt; up to workers calls at once, and each at most timeout seconds."""
+    running: deque[_Call] = deque()
+    done = []
+    for prompt in prompts:
+        if len(running) >= max(1, workers):
+            done.append(running.popleft().finished(timeout))
+        running.append(_Call(ask, prompt))
+    return done + [call.finished(timeout) for call in running]
+
+
 def asked(calls: DataFrame, factory: Callable[[], object] = Upper, workers: int = 4, timeout: float | None = 120.0) -> DataFrame:
-    """calls (prompt, ...) with response and status (ok, failed, timeout); a call that doesn't succeed has no response."""
+    """calls (prompt, ...) with response and status (ok, failed, timeout); a call that doesn't succeed has no response.
+    A call that hangs costs its time, not its task; clients should end it by a time limit of their own."""
     schema = StructType(list(calls.schema.fields)).add("response", "string").add("status", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
+        for frame in frames:
+            rows = in_order(client.ask, frame["prompt"].tolist(), workers, timeout)
+            yield frame.assign(response=[r for r, _ in rows], status=[s for _, s in rows])
+
+    return calls.mapInPandas(run, schema)
 
-        def one(prompt: str) -> tuple[str | None, str]:
-            try:
-                return client.ask(prompt), "ok"
-            except Exception:
-                return None, "failed"
-
-        with ThreadPoolExecutor(max(1, workers)) as pool:
-            for frame in frames:
-                jobs, rows = [pool.submit(one, p) for p in frame["prompt"]], []
-                for job in jobs:
-                    try:
-                        rows.append(job.result(timeout))
-                    except TimesUp:
-                        rows.append((None, "timeout"))
-                yield frame.assign(response=[r for r, _ in rows], status=[s for _, s in rows])
+
+class Agents:
+    """Makes one client of each name, when it is first asked for; picklable, so executors make their own."""
+
+    def __init__(self, factories: dict[str, Callable[[], object]]):
+        self.factories = factories
+        self.made: dict[str, object] = {}
+
+    def __getstate__(self) -> dict:
+        return {"factories": self.factories, "made": {}}
+
+    def __getitem__(self, name: str) -> object:
+        if name not in self.made:
+            self.made[name] = self.factories[name]()
+        return self.made[name]
+
+
+def asked_by_agent(calls: DataFrame, agents: Agents, workers: int = 4, timeout: float | None = 120.0) -> DataFrame:
+    """As asked(), each call by the client that its column agent names; an agent that doesn't exist fails."""
+    schema = StructType(list(calls.schema.fields)).add("response", "string").add("status", "string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows: dict = {}
+            for name, own in frame.groupby("agent", sort=True, dropna=False):
+                known = name in agents.factories
+                answers = in_order(agents[name].ask, own["prompt"].tolist(), workers, timeout) if known else [(None, "failed")] * len(own)
+                rows |= dict(zip(own.index, answers))
+            yield frame.assign(response=[rows[k][0] for k in frame.index], status=[rows[k][1] for k in frame.index])
 
     return calls.mapInPandas(run, schema)
 

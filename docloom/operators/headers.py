@@ -6,18 +6,28 @@ The folds are plain functions over a document's headings, run one group a docume
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.fuzzy import same_heading
+from docloom.operators.folds import collected, folded
+
+#: Prompts of the first section, of the later ones and of an outline at once; a client is asked with them filled in.
+RELEVEL = "These are headings of a document. Correct their levels, drop what is no heading, and answer with the headings alone:\n{content}"
+RELEVEL_ON = "The first headings have their right levels and stay. Correct the levels of those after the line of dashes, drop what is no heading, and answer with these alone:\n{history}-----:\n{content}"
+OUTLINE = "These are all headings of a document. Answer with its outline of two levels, chapters and their sections, headings alone:\n{content}"
 
 _HEADING = re.compile(r"^(#{1,6}) (.+)$")
 #: Originals that may be missed in a row, the grade from which missing ones are free, kept siblings.
 ALLOW_MISS, FREE_FROM, SIBLINGS = 8, 4, 4
 
 
+def filled(template: str, **values: str) -> str:
+    return re.sub(r"\{(\w+)\}", lambda m: values[m[1]], template)
+
+
 def grade(line: str) -> int:
     m = _HEADING.match(line)
     return len(m[1]) if m else -1
@@ -77,10 +87,10 @@ def without_repeats(history: list[str], corrected: list[str], section: str) -> l
     return None
 
 
-def merge(corrected: list[str], originals: list[str], extra: int = 0, allowed: int = ALLOW_MISS, free_from: int = FREE_FROM) -> list[str] | None:
+def merge(corrected: list[str], originals: list[str], extra: int = 0, allowed: int = ALLOW_MISS, free_from: int = FREE_FROM, whole: bool = True):
     """The originals with the corrected levels: both go forward together, an original that the next corrected one isn't
     loses its level. Few may do so in a row (not counted after a deep heading); else, or if a corrected one is left
-    over, None. Originals left over stay."""
+    over, None. Originals left over stay; whole=False gives those that were reached, and their number."""
     out, k, missed, last = list(originals), 0, 0, -1
     for c in corrected:
         if grade(c) == -1:
@@ -96,7 +106,7 @@ def merge(corrected: list[str], originals: list[str], extra: int = 0, allowed: i
             return None
         out[k] = c.rstrip() + "  \n"
         k, missed, last = k + 1, 0, grade(c)
-    return out
+    return out if whole else (out[:k], k)
 
 
 def merge_easy(corrected: list[str], originals: list[str]) -> list[str]:
@@ -113,24 +123,100 @@ def merge_easy(corrected: list[str], originals: list[str]) -> list[str]:
     return out
 
 
+Ask = Callable[[str], "str | None"]
+
+
+def sections(lines: list[str], size: int, length: Callable[[str], int] = len) -> list[list[str]]:
+    """Headings in runs of at most size by length, one at least."""
+    out: list[list[str]] = []
+    held = 0
+    for line in lines:
+        if not out or held + length(line) > size:
+            out.append([])
+            held = 0
+        out[-1].append(line)
+        held += length(line)
+    return out
+
+
+def section_levels(lines: list[str], ask: Ask, size: int, length: Callable[[str], int] = len, easy: bool = False) -> list[str] | None:
+    """A document's headings with the levels that a model gives section by section; None if any answer is of no use.
+
+    From the second section on the model is shown the headings it should remember; what it repeats of them is taken off.
+    Each answer is merged with the headings after those the answers before have reached. easy: one answer for all, with
+    any number missed."""
+    lines = [x if x.endswith("\n") else x + "\n" for x in lines]
+    if easy:
+        said = ask(filled(OUTLINE, content="".join(lines)))
+        return merge_easy(well_formed(said.split("\n")), lines) if said else None
+    out: list[str] = []
+    history: list[str] = []
+    reached = 0
+    for part in sections(lines, size, length):
+        text = "".join(part).lstrip()
+        said = ask(filled(RELEVEL_ON, history="".join(history), content=text) if out else filled(RELEVEL, content=text))
+        answer, dropped = without_jumps(well_formed(said.split("\n"))) if said else ([], 0)
+        if out:
+            answer = without_repeats(history, answer, text) or []
+        if not answer:
+            return None
+        history = remembered(answer, history)
+        got = merge(answer, lines[reached:], dropped, whole=False)
+        if got is None:
+            return None
+        new, used = got
+        out, reached = out + new, reached + used
+    return out + lines[reached:]
+
+
+def levels_by_model(headings: DataFrame, factory: Callable[[], object], size: int = 2048, easy: bool = False) -> DataFrame:
+    """doc_id, line_no, line, ok: each document's headings with the levels that the client gives them section by section;
+    as they were, with ok false, where it fails. headings: doc_id, line_no, line. One client a task."""
+    made: list = []
+
+    def fold(group: dict) -> Iterator[tuple]:
+        if not made:
+            made.append(factory())
+
+        def ask(prompt: str) -> str | None:
+            try:
+                return made[0].ask(prompt)
+            except Exception:
+                return None
+
+        own = group["own"]
+        new = section_levels([r["line"] for r in own], ask, size, easy=easy)
+        for k, r in enumerate(own):
+            yield group["doc_id"], r["line_no"], r["line"] if new is None else new[k], new is not None
+
+    return folded(collected(_rows(headings), ["doc_id"], ["line_no"], ["line"], "own"), fold, _MERGED)
+
+
+_MERGED = "doc_id long, line_no long, line string, ok boolean"
+
+
+def _rows(headings: DataFrame) -> DataFrame:
+    return headings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 def corrected_headings(headings: DataFrame, answers: DataFrame, easy: bool = False) -> DataFrame:
     """doc_id, line_no, line, ok: the document's headings with a model's levels; ok is false, and lines are as they
     were, where the strict merge fails. headings, answers: doc_id, line_no, line."""
-    def fold(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("line_no")
-        answer, dropped = without_jumps(well_formed(said.sort_values("line_no")["line"].tolist()))
-        lines = own["line"].tolist()
+    def fold(group: dict) -> Iterator[tuple]:
+        answer, dropped = without_jumps(well_formed([r["line"] for r in group["said"] or ()]))
+        lines = [r["line"] for r in group["own"]]
         new = merge_easy(answer, lines) if easy else merge(answer, lines, dropped)
-        return pd.DataFrame({"doc_id": own["doc_id"], "line_no": own["line_no"], "line": lines if new is None else new, "ok": new is not None})
+        for r, line in zip(group["own"], lines if new is None else new):
+            yield group["doc_id"], r["line_no"], line, new is not None
 
-    h, a = (d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "line") for d in (headings, answers))
-    return h.groupBy("doc_id").cogroup(a.groupBy("doc_id")).applyInPandas(fold, "doc_id long, line_no long, line string, ok boolean")
+    own, said = (collected(_rows(d), ["doc_id"], ["line_no"], ["line"], name) for d, name in ((headings, "own"), (answers, "said")))
+    return folded(own.join(said, "doc_id", "left"), fold, _MERGED)
 
 
-def folded(headings: DataFrame, function) -> DataFrame:
+def by_document(headings: DataFrame, function: Callable[[list[str]], list[str]]) -> DataFrame:
     """doc_id, place (from 0), line: function(list of lines) of each document's headings."""
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        out = function(own.sort_values("line_no")["line"].tolist())
-        return pd.DataFrame({"doc_id": own["doc_id"].iloc[0], "place": range(len(out)), "line": out})
+    def fold(group: dict) -> Iterator[tuple]:
+        for place, line in enumerate(function([r["line"] for r in group["own"]])):
+            yield group["doc_id"], place, line
 
-    return headings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "line").groupBy("doc_id").applyInPandas(fold, "doc_id long, place long, line string")
+    return folded(collected(_rows(headings), ["doc_id"], ["line_no"], ["line"], "own"), fold, "doc_id long, place long, line string")

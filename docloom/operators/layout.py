@@ -6,13 +6,15 @@ geometric condition is a residual of that equality.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as G
 from docloom.functions import text as T
+from docloom.operators.folds import collected, folded
 
 PAGE = ["doc_id", "page_id"]
 #: Which types of block a type of span may belong to.
@@ -155,41 +157,53 @@ def promoted(blocks: DataFrame, discarded: DataFrame) -> DataFrame:
     return blocks.unionByName(up.select(blocks.columns))
 
 
+def _in_row(seed: dict, other: dict) -> bool:
+    """Both of one line, sharing 0.9 of the lower one's height."""
+    least = min(seed["y1"] - seed["y0"], other["y1"] - other["y0"])
+    shared = min(seed["y1"], other["y1"]) - max(seed["y0"], other["y0"])
+    return seed["n_lines"] == other["n_lines"] == 1 and least > 0 and shared / least >= 0.9
+
+
+def _title_rows(titles: list[dict]) -> list[list[dict]]:
+    """Titles dealt to rows: each joins the first row whose first title it is level with, else it starts one."""
+    rows: list[list[dict]] = []
+    for t in titles:
+        home = next((row for row in rows if _in_row(row[0], t)), None)
+        if home is None:
+            rows.append([t])
+        else:
+            home.append(t)
+    return rows
+
+
+def _joined_titles(row: list[dict]) -> list[dict]:
+    """A row from the left: a title goes on the one before if their gap is under a tenth of the page and their heights
+    agree to a twentieth."""
+    out: list[dict] = []
+    for t in sorted(row, key=lambda r: (r["x0"], r["block_no"])):
+        last = out[-1] if out else None
+        high = last["y1"] - last["y0"] if last else 0.0
+        if last and t["x0"] - last["x1"] < 0.1 * last["page_w"] and 0.95 * high < t["y1"] - t["y0"] < 1.05 * high:
+            union = {c: pick(last[c], t[c]) for c, pick in (("x0", min), ("y0", min), ("x1", max), ("y1", max))}
+            out[-1] = {**last, **union, "content": last["content"] + t["content"]}
+        else:
+            out.append(t)
+    return out
+
+
 def merged_title_rows(titles: DataFrame) -> DataFrame:
-    """doc_id, page_id, block_no, x0, y0, x1, y1, content: single-line titles side by side as one.
-
-    Titles in order seed rows of later ones that share 0.9 of their height; a row's neighbours are merged from the left
-    while their gap is under a tenth of the page and their heights agree to a twentieth. titles: block_no, bbox,
-    content, n_lines, page_w. A page's titles are folded in one group."""
-    schema = "doc_id long, page_id long, block_no long, x0 double, y0 double, x1 double, y1 double, content string"
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("block_no").to_dict("records")
-        left, out = list(rows), []
-        while left:
-            seed = left.pop(0)
-            row = [seed]
-            if seed["n_lines"] == 1:
-                for other in list(left):
-                    least = min(seed["y1"] - seed["y0"], other["y1"] - other["y0"])
-                    shared = min(seed["y1"], other["y1"]) - max(seed["y0"], other["y0"])
-                    if other["n_lines"] == 1 and least > 0 and shared / least >= 0.9:
-                        row.append(other)
-                        left.remove(other)
-            row.sort(key=lambda r: (r["x0"], r["block_no"]))
-            at = dict(row[0])
-            for r in row[1:]:
-                high, other = at["y1"] - at["y0"], r["y1"] - r["y0"]
-                if r["x0"] - at["x1"] < 0.1 * at["page_w"] and 0.95 * high < other < 1.05 * high:
-                    at |= {"x0": min(at["x0"], r["x0"]), "y0": min(at["y0"], r["y0"]), "x1": max(at["x1"], r["x1"]), "y1": max(at["y1"], r["y1"]), "content": at["content"] + r["content"]}
-                else:
-                    out.append(at)
-                    at = dict(r)
-            out.append(at)
-        return pd.DataFrame(out)[["doc_id", "page_id", "block_no", "x0", "y0", "x1", "y1", "content"]].sort_values("block_no")
-
-    flat = titles.select(*[F.col(c).cast("long").alias(c) for c in (*PAGE, "block_no")], "content", "n_lines", "page_w", "bbox.*")
-    return flat.groupBy(*PAGE).applyInPandas(fold, schema)
+    """doc_id, page_id, block_no, x0, y0, x1, y1, content: single-line titles side by side as one, with the number of
+    the leftmost. titles: block_no, bbox, content, n_lines, page_w; a page's few titles are folded together."""
+    fields = ["block_no", "x0", "y0", "x1", "y1", "content"]
+
+    def fold(group: dict) -> Iterator[tuple]:
+        for row in _title_rows(group["titles"]):
+            for t in _joined_titles(row):
+                yield group["doc_id"], group["page_id"], *[t[c] for c in fields]
+
+    flat = titles.select(*[F.col(c).cast("long").alias(c) for c in (*PAGE, "block_no")], "content", F.col("n_lines").cast("int").alias("n_lines"), F.col("page_w").cast("double").alias("page_w"), "bbox.*")
+    groups = collected(flat, PAGE, ["block_no"], ["x0", "y0", "x1", "y1", "content", "n_lines", "page_w"], "titles")
+    return folded(groups, fold, "doc_id long, page_id long, block_no long, x0 double, y0 double, x1 double, y1 double, content string")
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -213,12 +227,12 @@ def reading_order(blocks: DataFrame) -> DataFrame:
                 return [r for p in parts for r in cut(p)]
         return sorted(rows, key=lambda r: (r["y0"], r["x0"], r["block_no"]))
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rows = cut(page.to_dict("records"))
-        return pd.DataFrame({"doc_id": [r["doc_id"] for r in rows], "page_id": [r["page_id"] for r in rows], "block_no": [r["block_no"] for r in rows], "idx": range(len(rows))})
+    def fold(group: dict) -> Iterator[tuple]:
+        for k, r in enumerate(cut(group["blocks"])):
+            yield group["doc_id"], group["page_id"], r["block_no"], k
 
     flat = blocks.select(*[F.col(c).cast("long").alias(c) for c in (*PAGE, "block_no")], G.clamped(F.col("bbox")).alias("b")).select(*PAGE, "block_no", "b.*")
-    return flat.groupBy(*PAGE).applyInPandas(fold, "doc_id long, page_id long, block_no long, idx int")
+    return folded(collected(flat, PAGE, ["block_no"], ["x0", "y0", "x1", "y1"], "blocks"), fold, "doc_id long, page_id long, block_no long, idx int")
 
 
 def contrast(mean: Column, deviation: Column) -> Column:

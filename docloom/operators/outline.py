@@ -7,16 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import fuzzy as Z
 from docloom.functions import text as T
+from docloom.operators.folds import collected, folded
 
 MAX_DIST = 100.0
-LIMIT = 10_000
 
 
 def preorder(entries: list[dict], root: int | None, n_pages: int | None) -> Iterator[tuple]:
@@ -26,12 +25,16 @@ def preorder(entries: list[dict], root: int | None, n_pages: int | None) -> Iter
     by_id = {e["id"]: e for e in entries}
     stack: list[tuple[int, bool, int | None]] = []
     at, seq = root, 0
-    for _ in range(LIMIT + 1):
+    seen: set = set()
+    while True:
         if at is None:
             if not stack:
                 return
             at = by_id[stack.pop()[0]]["next"]
             continue
+        if at in seen:
+            raise ValueError(f"entry {at} is met twice: the outline has a loop")
+        seen.add(at)
         e = by_id[at]
         if not e["internal"]:
             return
@@ -46,21 +49,21 @@ def preorder(entries: list[dict], root: int | None, n_pages: int | None) -> Iter
             at = e["down"]
         else:
             at = e["next"]
-    raise ValueError(f"over {LIMIT} steps: the outline has a loop")
 
 
 def scan(nodes: DataFrame) -> DataFrame:
     """The outline of each document from its tree. nodes: doc_id, id, down, next, is_root, internal, title, page, x, y,
     n_pages."""
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        clean = [{k: None if k in ("down", "next") and pd.isna(v) else v for k, v in r.items()} for r in doc.to_dict("records")]
-        root = next((r["id"] for r in clean if r["is_root"]), None)
-        rows = list(preorder(clean, root, int(clean[0]["n_pages"])))
-        out = pd.DataFrame(rows, columns=["seq", "title", "page", "x", "y", "grade", "parent_seq"])
-        out.insert(0, "doc_id", clean[0]["doc_id"])
-        return out.astype({"parent_seq": "Int64"})
+    fields = ["id", "down", "next", "is_root", "internal", "title", "page", "x", "y", "n_pages"]
 
-    return nodes.groupBy("doc_id").applyInPandas(fold, "doc_id long, seq int, title string, page int, x double, y double, grade int, parent_seq int")
+    def fold(group: dict) -> Iterator[tuple]:
+        entries = group["nodes"]
+        root = next((e["id"] for e in entries if e["is_root"]), None)
+        for row in preorder(entries, root, int(entries[0]["n_pages"])):
+            yield group["doc_id"], *row
+
+    groups = collected(nodes, ["doc_id"], ["id"], fields[1:], "nodes")
+    return folded(groups, fold, "doc_id long, seq int, title string, page int, x double, y double, grade int, parent_seq int")
 
 
 def sliced(outline: DataFrame, start: int, end: int) -> DataFrame:
@@ -163,24 +166,23 @@ def named_blocks(blocks: DataFrame, outline: DataFrame, kinds: DataFrame) -> Dat
     schema = "doc_id long, page_id long, block_no long, type string, grade int, title string"
     cols = {"doc_id": "long", "page_id": "long"}
     b = blocks.select(*[F.col(c).cast(t).alias(c) for c, t in cols.items()], F.col("block_no").cast("long").alias("block_no"), "type", "content", "bbox.*")
-    b = b.join(kinds.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "left")
     m = outline.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page_id"), "seq", "title", "x", "y", "grade")
 
-    def fold(page: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("block_no").to_dict("records")
-        if not rows:
-            return pd.DataFrame(columns=["doc_id", "page_id", "block_no", "type", "grade", "title"])
-        listed = marks.sort_values("seq").to_dict("records")
-        how = rows[0]["match_type"]
-        named = {} if not isinstance(how, str) else _by_text(rows, listed) if how == "edit_dist" else _by_place(rows, listed, rows[0]["dist_type"] == "dist_xy")
-        out = []
+    def fold(group: dict) -> Iterator[tuple]:
+        rows, listed, how = group["blocks"], group["marks"] or [], group["match_type"]
+        named: dict[int, tuple[int, str]] = {}
+        if how is not None:
+            named = _by_text(rows, listed) if how == "edit_dist" else _by_place(rows, listed, group["dist_type"] == "dist_xy")
         for r in rows:
             grade, title = named.get(r["block_no"], (None, None))
-            kind = "title" if title is not None else "text" if r["type"] == "title" and isinstance(how, str) else r["type"]
-            out.append((r["doc_id"], r["page_id"], r["block_no"], kind, grade, title))
-        return pd.DataFrame(out, columns=["doc_id", "page_id", "block_no", "type", "grade", "title"]).astype({"grade": "Int64"})
-
-    return b.groupBy("doc_id", "page_id").cogroup(m.groupBy("doc_id", "page_id")).applyInPandas(fold, schema)
+            kind = "title" if title is not None else "text" if r["type"] == "title" and how is not None else r["type"]
+            yield group["doc_id"], group["page_id"], r["block_no"], kind, grade, title
+
+    page = ["doc_id", "page_id"]
+    groups = collected(b, page, ["block_no"], ["type", "content", "x0", "y0", "x1", "y1"], "blocks")
+    marks = collected(m, page, ["seq"], ["title", "x", "y", "grade"], "marks")
+    groups = groups.join(marks, page, "left").join(kinds.select(F.col("doc_id").cast("long").alias("doc_id"), "match_type", "dist_type"), "doc_id", "left")
+    return folded(groups, fold, schema)
 
 
 def title_text(grade, title):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fuzzy as Z
 from docloom.functions import geometry as G
 from docloom.functions import text as T
+from docloom.operators import assembly as A
 from docloom.operators import calls as C
 from docloom.operators import chunks as K
 from docloom.operators import code as D
@@ -18,7 +19,7 @@ from docloom.operators import headers as H
 from docloom.operators import layout as L
 from docloom.operators import outline as O
 from docloom.plans import derived as I
-from docloom.sources import files, markdown
+from docloom.sources import dumps, files, markdown
 from docloom.streaming import rate as R
 
 QUERIES: dict = {}
@@ -174,16 +175,14 @@ def _title_pairs(spark, d):
     return rows.filter("b is not null")
 
 
-@_query(_PAIRS + """ select doc_id, i, levenshtein(lower(a), lower(b)) as dist, least(10, cast(floor(length(trim(b)) * 0.3) as int)) as most,
-  trim(a) <> '' and (lower(trim(a)) = lower(trim(b)) or levenshtein(lower(trim(a)), lower(trim(b))) <= least(10, cast(floor(length(trim(b)) * 0.3) as int))) as same
-  from p where b is not null and regexp_matches(a, '^[ -~]*$') and regexp_matches(b, '^[ -~]*$')""")
+@_query()  # SQL engines count the edits of bytes
 def lev_match(spark, d):
     a, b = F.col("a"), F.col("b")
     return _title_pairs(spark, d).select("doc_id", "i", F.levenshtein(F.lower(a), F.lower(b)).cast("long").alias("dist"), Z.edit_limit(T.strip(b)).alias("most"), Z.titles_match(a, b).alias("same"))
 
 
-@_query(_PAIRS + """ select doc_id, i, starts_with(lower(b), lower(split_part(a, ' ', 1))) or (starts_with(lower(a), 'part') and starts_with(lower(b), 'part')) as may
-  from p where b is not null and regexp_matches(a, '^[ -~]*$') and regexp_matches(b, '^[ -~]*$')""")
+@_query(_PAIRS + """, w as (select *, lower(split_part(a, ' ', 1)) as x, lower(b) as y from p where b is not null)
+  select doc_id, i, starts_with(y, x) or (starts_with(x, 'part') and starts_with(y, 'part')) or (starts_with(x, 'chapter') and starts_with(y, 'chapter')) or (starts_with(x, 'appendix') and starts_with(y, 'appendix')) as may from w""")
 def prefix_match(spark, d):
     return _title_pairs(spark, d).select("doc_id", "i", Z.may_start(F.split_part("a", F.lit(" "), F.lit(1)), F.col("b")).alias("may"))
 
@@ -214,7 +213,9 @@ def outline_stats(spark, d):
     return O.placement(I.outline(spark, d))
 
 
-@_query()
+@_query("""with p as (select page_id // 9 as doc_id, page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) as title, row_number() over (partition by page_id // 9 order by page_id) - 1 as id from pages)
+  select doc_id, cast(id as int) as seq, title, cast(id as int) as page, cast(0 as double) as x, id * 10.0::double as y, case when id % 3 = 0 then 1 else 2 end as grade,
+    cast(case when id % 3 > 0 then id - id % 3 end as int) as parent_seq from p""")
 def outline_scan(spark, d):
     # each page's <h1> under the page before it, three to a parent, by place among the pages of its nine that are there
     from pyspark.sql import Window as W
@@ -266,7 +267,7 @@ def _wide(s):
     return s.withColumn("bbox", F.when(F.col("span_no") % 7 == 2, wide).otherwise(b))
 
 
-@_query(f"with {I.SPANS} select doc_id, page_id, span_no from s where length(content) * (y1 - y0) < (x1 - x0) * 0.5")
+@_query(f"with {I.SPANS} select doc_id, page_id, span_no from s where length(content) * (y1 - y0) < (x1 - x0) * (case when span_no % 7 = 2 then 10 else 1 end) * 0.5")
 def near_empty(spark, d):
     return L.needs_reading(_wide(I.spans(spark, d))).select("doc_id", "page_id", "span_no")
 
@@ -390,7 +391,7 @@ def formula_antijoin(spark, d):
     return L.without_code_formulas(rows, I.blocks(spark, d).filter("block_no % 4 = 0").select("doc_id", "page_id", poly.alias("poly"))).drop("poly")
 
 
-@_query()
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no * 2 as block_no, x0, y0, x0 + 110 as x1, y1, content || content as content from b where type = 'title'")
 def title_row_merge(spark, d):
     b = F.col("bbox")
     pairs = I.blocks(spark, d).filter("type = 'title'")
@@ -399,7 +400,7 @@ def title_row_merge(spark, d):
     return L.merged_title_rows(left.unionByName(right))
 
 
-@_query()
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no, cast(row_number() over (partition by doc_id, page_id order by y0, block_no) - 1 as int) as idx from b")
 def reading_order(spark, d):
     return L.reading_order(I.blocks(spark, d))
 
@@ -410,6 +411,190 @@ def bookmark_match(spark, d):
     return O.named_blocks(I.blocks(spark, d), marks, O.placement(marks))
 
 
+def _matched(spark, d, how):
+    marks = I.outline(spark, d)
+    return O.named_blocks(I.blocks(spark, d), marks, O.placement(marks).withColumn("match_type", F.lit(how)))
+
+
+@_query()
+def bookmark_distance_match(spark, d):
+    return _matched(spark, d, "distance")
+
+
+@_query()
+def bookmark_edit_match(spark, d):
+    return _matched(spark, d, "edit_dist")
+
+
+# Dumped pages, and blocks made of them
+
+
+def _corners(b):
+    return F.array(b["x0"], b["y0"], b["x1"], b["y1"])
+
+
+@_query(f"with {I.GLYPHS} select doc_id, page_id, cast(char_no as int) as char_no, c, x0, y0, cast(1 as double) as dir_cos, cast(0 as double) as dir_sin from g")
+def glyph_scan(spark, d):
+    g = I.glyphs(spark, d)
+    chars = F.transform(F.sort_array(F.collect_list(F.struct("char_no", "c", "bbox"))), lambda x: F.struct(x["c"].alias("c"), _corners(x["bbox"]).alias("bbox")))
+    line = F.struct(F.array(F.lit(1.0), F.lit(0.0)).alias("dir"), F.array(F.struct(chars.alias("chars"))).alias("spans"))
+    raw = g.groupBy("doc_id", "page_id").agg(F.to_json(F.struct(F.array(F.struct(F.array(line).alias("lines"))).alias("blocks"))).alias("json"))
+    return dumps.glyphs(raw).select("doc_id", "page_id", "char_no", "c", "bbox.x0", "bbox.y0", "dir_cos", "dir_sin")
+
+
+def _dumped_lines(spark, d):
+    b = I.blocks(spark, d)
+    line = F.transform(F.sort_array(F.collect_list(F.struct("block_no", "bbox", "content"))), lambda x: F.struct(_corners(x["bbox"]).alias("bbox"), F.array(F.struct(x["content"].alias("text"))).alias("spans")))
+    return b.groupBy("doc_id", "page_id").agg(F.to_json(F.struct(F.array(F.struct(line.alias("lines"))).alias("blocks"))).alias("json"))
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, cast(row_number() over (partition by doc_id, page_id order by block_no) - 1 as int) as line_no, x0, y0, x1, y1, content as text from b")
+def text_line_scan(spark, d):
+    return dumps.text_lines(_dumped_lines(spark, d)).select("doc_id", "page_id", "line_no", "bbox.*", "text")
+
+
+@_query(f"""with {I.BLOCKS}, n as (select *, case type when 'title' then 0 when 'text' then 1 when 'discarded' then 2 else 3 end as category_id,
+    cast(row_number() over (partition by doc_id, page_id order by block_no) - 1 as int) as det_id from b)
+  select doc_id, page_id, det_id, cast(category_id as int) as category_id, x0, y0, x1, y1, det_id / 100 as score from n where category_id in (0, 1)""")
+def detection_scan(spark, d):
+    b = I.blocks(spark, d)
+    category = F.when(F.col("type") == "title", 0).when(F.col("type") == "text", 1).when(F.col("type") == "discarded", 2).otherwise(3)
+    rows = F.sort_array(F.collect_list(F.struct("block_no", category.alias("category_id"), "bbox")))
+    found = F.transform(rows, lambda x, i: F.struct(x["category_id"].alias("category_id"), F.array(*[x["bbox"][c] for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")]).alias("poly"), (i / 100).alias("score")))
+    raw = b.groupBy("doc_id", "page_id").agg(F.to_json(found).alias("json"))
+    return dumps.of_categories(dumps.detections(raw), 0, 1).select("doc_id", "page_id", "det_id", "category_id", "bbox.*", "score")
+
+
+_DOUBLED = f"""{I.SPANS}, v as (
+    select doc_id, page_id, span_no * 2 as span_no, x0, y0, x1, y1, span_no % 5 / 10 as score from s where x1 > x0
+    union all select doc_id, page_id, span_no * 2 + 1, x0, y0, case span_no % 3 when 0 then x1 when 1 then (x0 + x1) / 2 else x0 + 1 end, y1 + span_no % 3, span_no % 2 / 4 from s where x1 > x0),
+  o as (select s.doc_id, s.page_id, s.span_no, s.x0, s.y0, s.x1, s.y1, s.score, t.span_no as other, t.score as o_score, (t.x1 - t.x0) * (t.y1 - t.y0) as o_area, (s.x1 - s.x0) * (s.y1 - s.y0) as area,
+      greatest(0, least(s.x1, t.x1) - greatest(s.x0, t.x0)) * greatest(0, least(s.y1, t.y1) - greatest(s.y0, t.y0)) as shared
+    from v s join v t on s.doc_id = t.doc_id and s.page_id = t.page_id and s.span_no <> t.span_no),
+  k as (select * from v where not exists (select 1 from o where o.doc_id = v.doc_id and o.page_id = v.page_id and o.span_no = v.span_no
+      and shared > (area + o_area - shared) * 0.9 and (o.score < o_score or (o.score = o_score and o.span_no > other))))"""
+
+
+@_query(f"""with {_DOUBLED} select doc_id, page_id, span_no from k where not exists (select 1 from o join k j on j.doc_id = o.doc_id and j.page_id = o.page_id and j.span_no = o.other
+    where o.doc_id = k.doc_id and o.page_id = k.page_id and o.span_no = k.span_no and shared > area * 0.65 and (area < o_area or (area = o_area and o.span_no > other)))""")
+def span_overlap_drop(spark, d):
+    s, b = I.spans(spark, d).filter("bbox.x1 > bbox.x0"), F.col("bbox")
+    n = F.col("span_no")
+    one = s.select("doc_id", "page_id", (n * 2).alias("span_no"), "bbox", (n % 5 / 10).alias("score"))
+    right = F.when(n % 3 == 0, b["x1"]).when(n % 3 == 1, (b["x0"] + b["x1"]) / 2).otherwise(b["x0"] + 1)
+    two = s.select("doc_id", "page_id", (n * 2 + 1).alias("span_no"), G.box(b["x0"], b["y0"], right, b["y1"] + n % 3).alias("bbox"), (n % 2 / 4).alias("score"))
+    return A.without_overlaps(one.unionByName(two)).select("doc_id", "page_id", "span_no")
+
+
+@_query(f"""with {I.SPANS}, v as (select doc_id, page_id, span_no, x0, y0, case when span_no % 11 = 1 then x0 + 12 else x1 end as x1, case when span_no % 11 = 1 then y0 + (x1 - x0) else y1 end as y1
+    from s where type not in ('interline_equation', 'image', 'table')),
+  m as (select *, median(y1 - y0) over (partition by doc_id, page_id) as mh from v),
+  f as (select s.doc_id, s.page_id, s.span_no, any_value(y1_ - y0_ > mh * 3 and y1_ - y0_ > (x1_ - x0_) * 3) as tall, min((b.type = 'discarded', b.block_no))[1] as gone
+    from (select *, x0 as x0_, x1 as x1_, y0 as y0_, y1 as y1_ from m) s join b on b.doc_id = s.doc_id and b.page_id = s.page_id and b.type not in ('image_body', 'table_body', 'interline_equation') where {_OVER} > 0.5 group by all)
+  select doc_id, page_id, span_no, case when tall then 'vertical' when gone then 'unuseful' else 'useful' end as class from f""")
+def span_class(spark, d):
+    return A.classified(_tall(I.spans(spark, d)), I.blocks(spark, d))
+
+
+@_query(f"""with {I.BLOCKS}, l2 as (select doc_id, page_id, block_no as line_no, x0, y0, x1, y1, content as text from b), v as (select doc_id, page_id, block_no // 4 as span_no, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from b group by all),
+  f as (select s.doc_id, s.page_id, s.line_no, s.text, min(b.span_no) as span_no from l2 s join v b on b.doc_id = s.doc_id and b.page_id = s.page_id where {_OVER} > 0.5 group by all)
+  select doc_id, page_id, span_no, string_agg(text, '' order by line_no) as content from f group by all having string_agg(text, '' order by line_no) <> ''""")
+def vertical_text(spark, d):
+    b = I.blocks(spark, d)
+    lines = b.select("doc_id", "page_id", F.col("block_no").alias("line_no"), "bbox", F.col("content").alias("text"))
+    box = G.box(F.min("bbox.x0"), F.min("bbox.y0"), F.max("bbox.x1"), F.max("bbox.y1"))
+    spans = b.groupBy("doc_id", "page_id", F.floor(F.col("block_no") / 4).alias("span_no")).agg(box.alias("bbox"))
+    return A.vertical_text(lines, spans)
+
+
+@_query(f"""with {I.BLOCKS}, g as (select doc_id, page_id, block_no // 3 as group_no, dense_rank() over (partition by doc_id, page_id order by block_no // 3) - 1 as group_id,
+    row_number() over (partition by doc_id, page_id, block_no // 3 order by block_no) as n, x0, y0, x1, y1 from b)
+  select doc_id, page_id, cast(group_id as int) as group_id, case n when 1 then 'body' when 2 then 'caption' else 'footnote' end as role, x1, y0 from g""")
+def group_flatten(spark, d):
+    boxes = F.transform(F.sort_array(F.collect_list(F.struct("block_no", "bbox"))), lambda x: x["bbox"])
+    g = I.blocks(spark, d).groupBy("doc_id", "page_id", F.floor(F.col("block_no") / 3).alias("group_no")).agg(boxes.alias("boxes"))
+    g = g.select("doc_id", "page_id", "group_no", F.col("boxes")[0].alias("body"), F.slice("boxes", 2, 1).alias("captions"), F.slice("boxes", 3, 9).alias("footnotes"))
+    return A.flattened_groups(g).select("doc_id", "page_id", "group_id", "role", "bbox.x1", "bbox.y0")
+
+
+@_query(f"""with {I.BLOCKS}, k as (select * from b where type <> 'discarded'), m as (select doc_id, page_id, max(block_no) as last from k group by all)
+  select doc_id, page_id, block_no, type, content from k
+  union all select d.doc_id, d.page_id, coalesce(last, -1) + row_number() over (partition by d.doc_id, d.page_id order by d.block_no), type, content from b d left join m on m.doc_id = d.doc_id and m.page_id = d.page_id where type = 'discarded'""")
+def block_union(spark, d):
+    b = I.blocks(spark, d).select("doc_id", "page_id", "block_no", "type", "content")
+    return A.all_blocks(b.filter("type <> 'discarded'"), b.filter("type = 'discarded'"))
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no // 4 as block_no, string_agg(content, '' order by block_no) as content from (select doc_id, page_id, block_no, content from b) t group by doc_id, page_id, block_no // 4")
+def block_text(spark, d):
+    b = I.blocks(spark, d)
+    return A.block_text(b.select("doc_id", "page_id", F.floor(F.col("block_no") / 4).alias("block_no"), F.col("block_no").alias("line_no"), F.lit(0).alias("span_no"), "content"))
+
+
+@_query(f"""with {I.BLOCKS}, v as (select doc_id, page_id, block_no // 4 as g, median(block_no % 17) filter (block_no % 3 = 0) as m, max(block_no) as own from b group by all)
+  select doc_id, page_id, g as block_no, coalesce(m, own) as idx from v""")
+def block_place(spark, d):
+    b = I.blocks(spark, d).withColumn("g", F.floor(F.col("block_no") / 4))
+    blocks = b.groupBy("doc_id", "page_id", F.col("g").alias("block_no2")).agg(F.max("block_no").alias("position")).withColumnRenamed("block_no2", "block_no")
+    lines = b.filter("block_no % 3 = 0").select("doc_id", "page_id", F.col("g").alias("block_no"), (F.col("block_no") % 17).alias("position"))
+    return A.block_places(blocks, lines)
+
+
+@_query(f"""with {I.BLOCKS}, p as (select distinct doc_id, page_id from b), k as (select doc_id, page_id, list(block_no order by block_no) as nos from b where page_id % 2 = 0 and type = 'title' group by all)
+  select p.doc_id, p.page_id, cast(coalesce(len(nos), 0) as int) as n_blocks, coalesce(array_to_string(nos, ','), '') as block_nos from p left join k using (doc_id, page_id)""")
+def page_blocks(spark, d):
+    b = I.blocks(spark, d)
+    rows = A.page_rows(b.select("doc_id", "page_id").distinct(), b.filter("page_id % 2 = 0 and type = 'title'"))
+    return rows.withColumn("block_nos", F.array_join(F.transform("block_nos", lambda x: x.cast("string")), ","))
+
+
+@_query(f"""with {I.SPANS}, g as (select doc_id, page_id, block_no as det_id, block_no % 2 as category_id, x0, y0, x1, y1 from b), f as (select * from s where type = 'interline_equation'),
+  n as (select g.doc_id, g.page_id, g.det_id, category_id, count(f.span_no) as n from g left join f on f.doc_id = g.doc_id and f.page_id = g.page_id
+    and greatest(0, least(g.x1, f.x1) - greatest(g.x0, f.x0)) * greatest(0, least(g.y1, f.y1) - greatest(g.y0, f.y0)) > 0 group by all)
+  select doc_id, page_id, det_id, n as n_formulas, category_id = 1 and n > 0 as gated from n""")
+def formula_gate(spark, d):
+    regions = I.blocks(spark, d).select("doc_id", "page_id", F.col("block_no").alias("det_id"), (F.col("block_no") % 2).alias("category_id"), "bbox")
+    return A.formulas_in_crops(regions, I.spans(spark, d).filter("type = 'interline_equation'"))
+
+
+@_query(f"""with {I.BLOCKS} select doc_id, page_id, block_no as crop_no, printf('%04d_%04d', page_id, block_no) as name from b where type = 'image_body' and content not like '%e%'""")
+def dead_letters(spark, d):
+    crops = I.blocks(spark, d).filter("type = 'image_body'").select("doc_id", "page_id", F.col("block_no").alias("crop_no"), F.when(F.col("content").contains("e"), F.col("content")).otherwise("").alias("text"))
+    return A.unread(crops).drop("text")
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no from b where round(block_no % 7 / 20, 2) > 0.20 and block_no % 3 / 2 > 0.5 and length(content) > 0")
+def reading_gates(spark, d):
+    b = I.blocks(spark, d)
+    kept = b.filter(A.worth_reading(F.bround(F.col("block_no") % 7 / 20, 2))).filter(A.well_read(F.col("content"), F.col("block_no") % 3 / 2))
+    return kept.select("doc_id", "page_id", "block_no")
+
+
+@_query("select doc_id, case when doc_id % 5 = 0 or n_chars < 200 then 'ocr' else 'txt' end as route from documents")
+def read_route(spark, d):
+    return I.table(spark, d, "documents").select("doc_id", A.route(F.col("n_chars") < 200, F.col("doc_id") % 5 == 0).alias("route"))
+
+
+@_query("""with p as (select page_id // 9 as doc_id, row_number() over (partition by page_id // 9 order by page_id) - 1 as id from pages)
+  select doc_id, cast(id as int) as seq, case when id % 3 = 0 then '' else cast(id - id % 3 as varchar) end as parents from p""")
+def outline_ancestors(spark, d):
+    return A.ancestors(outline_scan(spark, d)).withColumn("parents", F.array_join(F.transform("parents", lambda x: x.cast("string")), ","))
+
+
+@_query(f"""with {I.BLOCKS} select doc_id, '[' || string_agg('{{"type":"' || type || '","text":' || to_json(content)::varchar || case when type = 'title' then ',"text_level":' || (block_no % 4 + 1) else '' end || ',"page_idx":' || page_id || '}}', ','
+    order by page_id, block_no) || ']' as json from b group by doc_id""")
+def content_list(spark, d):
+    b = I.blocks(spark, d).withColumn("idx", F.col("block_no")).withColumn("grade", F.when(F.col("type") == "title", F.col("block_no") % 4 + 1))
+    return dumps.content_list(b)
+
+
+@_query()
+def page_list(spark, d):
+    b = I.blocks(spark, d)
+    pages = b.select("doc_id", "page_id").distinct().select("*", F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"), (F.col("page_id") == 1).alias("need_drop"), F.array(F.lit("skip page")).alias("drop_reason"))
+    return dumps.page_list(pages, b.filter("page_id <> 1"))
+
+
 # Headings corrected by a model
 
 
@@ -424,6 +609,12 @@ def _answers(spark, d):
     return rows.withColumn("line", F.concat(level, F.lit(" "), T.strip_heading(F.col("line"))))
 
 
+_ANSWERED = f"""with recursive {I.MD_LINES}, h as (select doc_id, i as line_no, i % 3 + 1 as g, repeat('#', cast(i % 3 + 1 as int)) || ' ' || regexp_replace(line, '^#{{1,6}} ', '') as line
+    from l where {_HEAD} and trim(substr(line, instr(line, ' '))) <> '' and i % 5 <> 3),
+  n as (select *, row_number() over (partition by doc_id order by line_no desc) as k from h)"""
+_PLACED = "select doc_id, row_number() over (partition by doc_id order by line_no) - 1 as place, line from z where keep"
+
+
 @_query()
 def header_merge(spark, d):
     return H.corrected_headings(_headings(spark, d), _answers(spark, d))
@@ -434,20 +625,24 @@ def header_merge_easy(spark, d):
     return H.corrected_headings(_headings(spark, d), _answers(spark, d), easy=True)
 
 
-@_query()
+@_query(_ANSWERED + """, z as (select doc_id, k, line_no, line, g as last, true as keep from n where k = 1
+    union all select n.doc_id, n.k, n.line_no, n.line, case when z.last - n.g <= 1 then n.g else z.last end, z.last - n.g <= 1 from z join n on n.doc_id = z.doc_id and n.k = z.k + 1) """ + _PLACED)
 def grade_jump_drop(spark, d):
-    return H.folded(_answers(spark, d), lambda lines: H.without_jumps(lines)[0])
+    return H.by_document(_answers(spark, d), lambda lines: H.without_jumps(lines)[0])
 
 
-@_query()
+@_query(_ANSWERED + """, z as (select doc_id, k, line_no, line, g as level, 4 as room, false as over, true as keep from n where k = 1
+    union all select n.doc_id, n.k, n.line_no, n.line, case when not z.over and n.g < z.level then n.g else z.level end,
+      case when not z.over and n.g < z.level then 4 when not z.over and n.g = z.level and z.room > 0 then z.room - 1 else z.room end,
+      z.over or (n.g = z.level and z.room = 0 and z.level = 1), not z.over and (n.g < z.level or (n.g = z.level and z.room > 0)) from z join n on n.doc_id = z.doc_id and n.k = z.k + 1) """ + _PLACED)
 def header_history(spark, d):
-    return H.folded(_answers(spark, d), lambda lines: H.remembered(lines, []))
+    return H.by_document(_answers(spark, d), lambda lines: H.remembered(lines, []))
 
 
 # Model calls
 
 
-@_query(f"""with {I.CALLS}, {I.MEMO}, b as (select agent, prompt, (max((seq, response)))[2] as response from m group by all)
+@_query(f"""with {I.ASKED}, {I.MEMO}, b as (select agent, prompt, (max((seq, response)))[2] as response from m group by all)
   select k.doc_id, k.chunk_no, k.agent, k.prompt, b.response, b.prompt is not null as hit from k left join b using (agent, prompt)""")
 def cache_lookup(spark, d):
     return C.with_memo(I.asked(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt", "response", "hit")
@@ -458,7 +653,7 @@ def cache_last_wins(spark, d):
     return C.compacted(I.memo(spark, d))
 
 
-@_query(f"with {I.CALLS}, {I.MEMO} select doc_id, chunk_no, agent, prompt from k where not exists (select 1 from m where m.agent = k.agent and m.prompt = k.prompt)")
+@_query(f"with {I.ASKED}, {I.MEMO} select doc_id, chunk_no, agent, prompt from k where not exists (select 1 from m where m.agent = k.agent and m.prompt = k.prompt)")
 def cache_misses(spark, d):
     return C.misses(I.asked(spark, d), I.memo(spark, d)).select("doc_id", "chunk_no", "agent", "prompt")
 
@@ -478,11 +673,54 @@ def offered_load(spark, d):
     return R.offered_load(I.requests(spark, d)).select("agent", "request_id", "n_window", "tokens_window")
 
 
-@_query()
+@_query(f"""with recursive {I.REQUESTS}, n as (select *, row_number() over (partition by agent order by us, request_id) as k from q),
+  r as (select distinct agent, cast(0 as bigint) as k, cast([] as struct(u bigint, n bigint)[]) as held, cast(null as bigint) as request_id, cast(null as bigint) as us, cast(null as bigint) as tokens, false as admitted from q
+    union all select agent, k, case when ok then list_append(kept, {{'u': us, 'n': tokens}}) else kept end, request_id, us, tokens, ok from (
+      select *, len(held) = 0 or (coalesce(list_sum(list_transform(kept, lambda x: x.n)), 0) + tokens <= 40000 and len(kept) + 1 <= 10) as ok from (
+        select n.*, r.held, list_filter(r.held, lambda x: (n.us - x.u) // 1000000 <= 60) as kept from r join n on n.agent = r.agent and n.k = r.k + 1)))
+  select agent, request_id, us, tokens, admitted from r where k > 0""")
 def rate_admission(spark, d):
     return R.admissions(I.requests(spark, d), rpm=10, tpm=40_000)
 
 
+@_query()
+def rate_retried(spark, d):
+    return R.retried(I.requests(spark, d), rpm=10, tpm=40_000, wait=3600, retries=5)
+
+
+class _SaysCode:
+    """Answers 1 to a prompt with a fence, else 2."""
+
+    def ask(self, prompt: str) -> str:
+        return "<think>look for a fence</think> 1" if "```" in prompt else "2"
+
+
+@_query(f"with {I.MD_TEXT} select doc_id, contains(text, '```') as has_code from t")
+def code_classified(spark, d):
+    return C.has_code(I.md_text(spark, d), _SaysCode).select("doc_id", "has_code")
+
+
+class Deeper:
+    """Answers with the headings of the prompt's last part, every other one a level deeper; on a later section it
+    repeats those it was shown before, as models do."""
+
+    def ask(self, prompt: str) -> str:
+        *_, shown = prompt.split("alone:\n", 1)
+        shown = shown.replace("-----:\n", "")
+        lines = [x for x in shown.split("\n") if H.grade(x) > 0]
+        return "\n".join("#" * (1 + len(H.bare(x)) % 2) + " " + H.bare(x) for x in lines)
+
+
+@_query()
+def header_sections_corrected(spark, d):
+    return H.levels_by_model(_headings(spark, d), Deeper, size=400)
+
+
+@_query()
+def header_outline_corrected(spark, d):
+    return H.levels_by_model(_headings(spark, d), Deeper, easy=True)
+
+
 # Chunks
 
 

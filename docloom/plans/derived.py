@@ -90,7 +90,7 @@ SPANS = (
 s as (
   select doc_id, page_id, block_no as span_no, case when block_no % 6 = 5 then 'image' when block_no % 6 = 4 then 'interline_equation' else 'text' end as type,
     x0 + block_no % 4 * 12.0 as x0, y0 + block_no % 4 * 3.0 as y0, x1 + block_no % 4 * 3.0 as x1, y1 + block_no % 4 * 3.0 as y1,
-    substr(content, 1, 40) as content from b)"""
+    content from b)"""
 )
 
 
@@ -134,7 +134,7 @@ def memo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEMO = """
 m as (
-  select 'a' || (u.conv_id % 2) as agent, substr(u.text, 1, 6) as prompt, a.text as response, u.conv_id * 1000 + u.turn as seq
+  select 'a' || (u.conv_id % 2) as agent, u.text as prompt, a.text as response, u.conv_id * 1000 + u.turn as seq
   from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user')"""
 
 
@@ -144,7 +144,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat(F.lit("a"), (F.col("doc_id") % 2).cast("string")).alias("agent"), F.col("line").alias("prompt"), "doc_id", F.col("i").alias("chunk_no"))
 
 
-CALLS = MD_LINES + ",\nk as (select 'a' || (doc_id % 2) as agent, substr(line, 1, 6) as prompt, doc_id, i as chunk_no from l)"
+CALLS = MD_LINES + ",\nk as (select 'a' || (doc_id % 2) as agent, line as prompt, doc_id, i as chunk_no from l)"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +154,9 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(agent.alias("agent"), F.col("text").alias("prompt"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"))
 
 
+ASKED = "k as (select 'a' || (conv_id // 2 % 2) as agent, text as prompt, conv_id as doc_id, turn as chunk_no from conversations where role = 'user')"
+
+
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_id, char_no, c, bbox: the characters of every benchmark item in lines of 30."""
     b = table(spark, sf_dir, "benchmark")
