@@ -65,13 +65,20 @@ def _found(text: Column, k: int) -> Column:
     return F.when(may, rows)
 
 
-def secret_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kind (place in PARTS), start, end (code points, end exclusive), linked: one row for each part."""
+def _with_row(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (null: empty), row: ids needn't tell texts apart."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.withColumn("row", F.xxhash64("text"))
+
+
+def secret_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (hash of the text), kind (place in PARTS), start, end (code points, end exclusive), linked: one row for
+    each part of each distinct text of an id."""
+    docs = _with_row(documents, id_col, text_col)
     empty = F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,size:int,bound:boolean>>")
     every = F.concat(*[F.coalesce(_found(F.col("text"), k), empty) for k in range(len(PARTS))])
-    rows = docs.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")
-    upto = W.partitionBy("doc_id", "kind").orderBy("i")
+    rows = docs.select("doc_id", "row", F.explode(every).alias("x")).select("doc_id", "row", "x.*").distinct()
+    upto = W.partitionBy("doc_id", "row", "kind").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumn("start", F.col("end") - F.col("len"))
     role, passes = F.lit(None).cast("string"), F.lit(False)
@@ -79,8 +86,8 @@ def secret_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         role = F.when(F.col("kind") == k, r).otherwise(role)
         passes = F.when(F.col("kind") == k, (F.col("size") >= least) & (~F.col("bound") | (F.col("size") <= (most or 0)))).otherwise(passes)
     rows = rows.filter(passes).withColumn("role", role)
-    before = W.partitionBy("doc_id").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("doc_id").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("doc_id", "row").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("doc_id", "row").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
     for r in ("id", "secret"):
         own = F.col("role") == r
         rows = rows.withColumn(f"{r}_before", F.max(F.when(own, F.col("end"))).over(before))
@@ -89,26 +96,26 @@ def secret_parts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = rows.withColumn(f"{r}_after", F.min(F.when(own, F.col("start"))).over(after))
     near = {r: F.coalesce(F.col("start") - F.col(f"{r}_before") <= SCOPE, F.lit(False)) | F.coalesce(F.col(f"{r}_after") - F.col("end") <= SCOPE, F.lit(False)) for r in ("id", "secret")}
     linked = F.when(F.col("role") == "id", near["secret"]).when(F.col("role") == "secret", near["id"]).otherwise(near["id"] & near["secret"])
-    return rows.select("doc_id", "kind", "start", "end", linked.alias("linked"))
+    return rows.select("doc_id", "row", "kind", "start", "end", linked.alias("linked"))
 
 
 def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct id: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     spans has the base spans and the linked weak ones as kind:start:end, by start and then kind. Null texts are empty
-    and have no spans; ids are to be distinct (texts of a repeated id would be counted as one text each time over);
-    extra columns aren't carried; an empty table gives an empty result.
+    and have no spans. Each row is a text of its own: ids may repeat or be null, and repeated rows are scanned alike.
+    Extra columns aren't carried; an empty table gives an empty result.
     """
     parts = secret_parts(documents, id_col, text_col).filter((F.col("kind") < BASE) | F.col("linked"))
     names = F.array(*[F.lit(p[0]) for p in PARTS])
     text = F.concat_ws(":", F.get(names, F.col("kind")), F.col("start").cast("string"), F.col("end").cast("string"))
     parts = parts.withColumn("span", F.struct("start", "kind", text.alias("text")))
     count = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{PARTS[k][0]}")
-    by_doc = parts.groupBy(F.col("doc_id").alias("of")).agg(*[count(k) for k in range(BASE)], F.count(F.when(F.col("kind") >= BASE, 1)).alias("n_linked"), F.array_sort(F.collect_list("span")).alias("all"))
+    by_doc = parts.groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(*[count(k) for k in range(BASE)], F.count(F.when(F.col("kind") >= BASE, 1)).alias("n_linked"), F.array_sort(F.collect_list("span")).alias("all"))
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), ",")
     by_doc = by_doc.withColumn("spans", joined(F.col("all"))).withColumn("base", joined(F.filter("all", lambda x: x["kind"] < BASE)))
-    ids = documents.select(F.col(id_col).alias("doc_id"))
-    out = ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["of"]), "left")
+    ids = _with_row(documents, id_col, text_col).select("doc_id", "row")
+    out = ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["of"]) & (ids["row"] == by_doc["of_row"]), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select(
         "doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"),
