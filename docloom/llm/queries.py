@@ -23,5 +23,6 @@ ORACLE_SQL = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }

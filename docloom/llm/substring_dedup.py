@@ -394,3 +394,15 @@ def substring_dedup(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, p, md5_number(substr(x, 2 * p + 1, {2 * LENGTH})) as k from (select doc_id, x, unnest(range(0, length(x) // 2 - {LENGTH - 1})) as p from h)),
+d as (select doc_id, p from (select doc_id, p, count(*) over (partition by k) as n from w) where n > 1),
+i as (select doc_id, p, sum(case when q is null or p > q + {LENGTH} then 1 else 0 end) over (partition by doc_id order by p) as g from (select doc_id, p, lag(p) over (partition by doc_id order by p) as q from d)),
+s as (select doc_id, g, min(p) as a, max(p) + {LENGTH} as b from i group by doc_id, g),
+l as (select doc_id, [0] || list(b order by a) as f, list(a order by a) as t from s group by doc_id),
+o as (select h.doc_id, x, length(x) // 2 as n, coalesce(f, [0]) as f, coalesce(t, []) || [length(x) // 2] as t from h left join l on h.doc_id = l.doc_id),
+c as (select doc_id, n, len(f) - 1 as n_spans, list_transform(range(1, len(f) + 1), lambda k: substr(x, 2 * f[k] + 1, 2 * (t[k] - f[k]))) as kept from o)
+select doc_id, n as n_bytes, n - length(array_to_string(kept, '')) // 2 as n_removed, n_spans, sha256(unhex(array_to_string(kept, ''))) as kept_sha256, n > length(array_to_string(kept, '')) // 2 as has_repeats from c"""
