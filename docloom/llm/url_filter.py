@@ -5,9 +5,10 @@ be looked up by), level 2 encodes the keys that level 1 holds wrongly, level 3 t
 wrongly, and so on until a level holds no key wrongly. A key of that universe is listed if the first level that
 doesn't hold it is an even one, so membership is exact and no URL row is joined with any list.
 
-A filter is a bigint array of at most MAX_BITS bits. Level 1 is sized by the list, which is a parameter of at most
-MAX_LISTED keys; every later level only holds wrong positives of the level before, which a cascade shrinks
-geometrically. The filters are literals in the plan. All of it is DataFrame expressions.
+A filter is a bigint array of at most MAX_BITS bits. Level 1 is sized by the list; every later level only holds wrong
+positives of the level before, which a cascade shrinks geometrically. A list of over PART_KEYS keys, given as a
+DataFrame, is cut into parts by hash, each with a cascade of its own over its part of the universe. The filters are
+literals in the plan, about 10 bits a listed key and as many a wrong one. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ascii_lower, table, written
 
-MAX_LISTED = 1_000_000
+#: Keys of one cascade.
+PART_KEYS = 1_000_000
+#: Listed keys up to which the universe is marked by a literal list.
+FEW_KEYS = 1000
 MAX_BITS = 1 << 25
 HASHES = 4
 BITS_PER_KEY = 10
@@ -77,20 +81,19 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: list[str], universe: DataFrame, max_levels: int = 64) -> Cascade:
-        """universe: column key, distinct, with every key that will be asked for; null keys are in no list."""
-        if len(set(listed)) > MAX_LISTED:
-            raise ValueError(f"over {MAX_LISTED} listed keys")
-        spark = universe.sparkSession
-        keys = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+    def build(cls, listed: list[str] | DataFrame, universe: DataFrame, max_levels: int = 64) -> Cascade:
+        """universe: column key, distinct, with every key that will be asked for; null keys are in no list. listed: the
+        keys, or a DataFrame of them (column key, distinct, not null)."""
         universe = universe.filter("key is not null")
-        # only listed keys that occur in the universe matter; the others are encoded at level 1 all the same
-        levels = [_encoded(keys, max(1, len(set(listed))), 0)]
-        is_listed = F.col("key").isin(sorted(set(listed))) if len(set(listed)) <= 1000 else None
-        if is_listed is None:
+        if isinstance(listed, DataFrame):
+            keys, n = listed, listed.count()
             universe = universe.join(keys.withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
         else:
-            universe = universe.withColumn("listed", is_listed)
+            values = sorted(set(listed))
+            keys, n = universe.sparkSession.createDataFrame([(k,) for k in values], "key string"), len(values)
+            universe = universe.withColumn("listed", F.col("key").isin(values))
+        # only listed keys that occur in the universe matter; the others are encoded at level 1 all the same
+        levels = [_encoded(keys, max(1, n), 0)]
         wrong = universe.filter(~F.col("listed") & levels[0].holds(F.col("key")))
         against = universe.filter("listed")
         for _ in range(max_levels):
@@ -110,6 +113,35 @@ class Cascade:
         return F.coalesce(out, F.lit(False)) & key.isNotNull()
 
 
+class Cascades:
+    """Exact membership in a list of any length: a cascade for each part of its keys, by hash."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    @staticmethod
+    def _part(key: Column, parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+    @classmethod
+    def build(cls, listed: list[str] | tuple[str, ...] | DataFrame, universe: DataFrame) -> Cascades:
+        if not isinstance(listed, DataFrame):
+            if len(set(listed)) <= FEW_KEYS:
+                return cls([Cascade.build(list(listed), universe)])
+            listed = universe.sparkSession.createDataFrame([(k,) for k in set(listed)], "key string")
+        keys = written(listed.select("key").filter("key is not null").distinct(), "listed")
+        n = max(1, -(-keys.count() // PART_KEYS))
+        own = lambda df, p: df.filter(cls._part(F.col("key"), n) == p)
+        return cls([Cascade.build(own(keys, p), own(universe, p)) for p in range(n)])
+
+    def contains(self, key: Column) -> Column:
+        """Exact for keys of the universe; null: false."""
+        out = F.lit(False)
+        for p, cascade in enumerate(self.parts):
+            out = F.when(self._part(key, len(self.parts)) == p, cascade.contains(key)).otherwise(out) if len(self.parts) > 1 else cascade.contains(key)
+        return F.coalesce(out, F.lit(False))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty for null and for URLs without ://."""
     at = F.instr(url, "://")
@@ -131,11 +163,11 @@ def suffixes(host: Column) -> Column:
 def url_filter(
     pages: DataFrame,
     rules: tuple[tuple[str, str, str], ...] = RULES,
-    blocked_hosts: tuple[str, ...] = BLOCKED_HOSTS,
+    blocked_hosts: tuple[str, ...] | DataFrame = BLOCKED_HOSTS,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
-    """One row per input row: id, host, path, rule, verdict.
+    """One row per input row: page_id, host, path, rule, verdict. blocked_hosts: host names, or a DataFrame of them (key).
 
     The longest rule whose host is the URL's host or a parent of it, and whose path starts the URL's path, decides;
     of equally long ones the first in string order. Where none fits, the verdict is block for listed hosts and their
@@ -152,9 +184,9 @@ def url_filter(
     base = base.withColumn("heads", heads).withColumn("asked", asked)
     universe = written(base.select(F.explode("asked").alias("key")).distinct(), "url-keys")
     hosts = written(base.select(F.explode("above").alias("key")).distinct(), "url-hosts")
-    in_rules = Cascade.build([h + p for _, h, p in rules], universe)
-    in_blocks = Cascade.build([h + p for a, h, p in rules if a == "block"], universe)
-    in_hosts = Cascade.build(list(blocked_hosts), hosts)
+    in_rules = Cascades.build([h + p for _, h, p in rules], universe)
+    in_blocks = Cascades.build([h + p for a, h, p in rules if a == "block"], universe)
+    in_hosts = Cascades.build(blocked_hosts, hosts)
     fits = F.filter(F.col("asked"), lambda k: in_rules.contains(k))
     best = F.array_sort(F.transform(fits, lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k"))))
     base = base.withColumn("rule", F.get(best, F.lit(0))["k"])
