@@ -41,11 +41,15 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
     return dropped(rows, (G.area(a) < G.area(b)) | ((G.area(a) == G.area(b)) & later), _shared(a, b) > G.area(a) * INSIDE)
 
 
+def text_spans(spans: DataFrame) -> DataFrame:
+    return spans.filter(~F.col("type").isin(*NO_TEXT_SPANS))
+
+
 def classified(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, page_id, span_no, class of the text spans that over half lie in a block: by the first such block, discarded
     ones after all others, the class is vertical (far higher than wide, and than the page's median span), useful or
     unuseful (in a discarded block). spans: type, bbox; blocks: block_no, type, bbox."""
-    text = spans.filter(~F.col("type").isin(*NO_TEXT_SPANS)).select(*PAGE, "span_no", "bbox")
+    text = text_spans(spans).select(*PAGE, "span_no", "bbox")
     h = G.height(F.col("bbox"))
     tall = text.withColumn("tall", (h > F.percentile(h, F.lit(0.5)).over(W.partitionBy(*PAGE)) * 3) & (h > G.width(F.col("bbox")) * 3))
     b = blocks.filter(~F.col("type").isin(*NO_TEXT_BLOCKS)).select(*PAGE, F.col("bbox").alias("b_bbox"), F.struct((F.col("type") == "discarded").alias("gone"), "block_no").alias("place"))

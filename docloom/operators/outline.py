@@ -66,6 +66,17 @@ def scan(nodes: DataFrame) -> DataFrame:
     return folded(groups, fold, "doc_id long, seq int, title string, page int, x double, y double, grade int, parent_seq int")
 
 
+def inside(outline: DataFrame, n_pages) -> DataFrame:
+    """The entries that point to a page of the document; pages count from 0."""
+    return outline.filter((F.col("page") >= 0) & (F.col("page") < n_pages))
+
+
+def by_page(outline: DataFrame) -> DataFrame:
+    """doc_id, page_id, entries: the entries of each page, in order."""
+    rows = outline.withColumn("page_id", F.col("page").cast("long"))
+    return collected(rows, ["doc_id", "page_id"], ["seq"], ["title", "x", "y", "grade"], "entries")
+
+
 def sliced(outline: DataFrame, start: int, end: int) -> DataFrame:
     """The entries of pages start to end (from 1, inclusive): pages from 1 anew, grades from the least grade so far,
     NaN places as 0. A running minimum, not that of all."""

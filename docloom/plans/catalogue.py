@@ -721,6 +721,127 @@ def header_outline_corrected(spark, d):
     return H.levels_by_model(_headings(spark, d), Deeper, easy=True)
 
 
+# Small functions, each over whole tables
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i from l where abs(1 - i % 9 / 10.0) >= 0.9 and abs(i % 4 / 20.0) <= 0.1")
+def level_filter(spark, d):
+    return I.md_lines(spark, d).filter(G.is_level(F.lit(1.0) - F.col("i") % 9 / 10.0, F.col("i") % 4 / 20.0)).select("doc_id", "i")
+
+
+@_query(f"with {I.SPANS} select doc_id, page_id, span_no from s where type not in ('interline_equation', 'image', 'table')")
+def text_span_filter(spark, d):
+    return A.text_spans(I.spans(spark, d)).select("doc_id", "page_id", "span_no")
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, regexp_extract(line, '^#{{1,6}} [A-Za-z0-9_À-ÿ]+ *') as strict from l where regexp_matches(line, '^#{{1,6}} [A-Za-z0-9_À-ÿ]')")
+def heading_strict(spark, d):
+    rows = I.md_lines(spark, d).withColumn("strict", T.strict_heading(F.col("line")))
+    return rows.filter("strict is not null").select("doc_id", "i", "strict")
+
+
+@_query(f"with {I.OUTLINE} select doc_id, seq from o where page - 1 >= 0 and page - 1 < 3")
+def outline_valid(spark, d):
+    return O.inside(I.outline(spark, d).withColumn("page", F.col("page") - 1), 3).select("doc_id", "seq")
+
+
+@_query(f"""with {I.MD_LINES}, v as (select doc_id, i, '<table>' || line || case i % 4 when 0 then '</table>' when 1 then '</html> ' when 2 then '</table>x' else '' end as html from l)
+  select doc_id, i, ends_with(trim(html), '</table>') or ends_with(trim(html), '</html>') as valid from v""")
+def table_valid(spark, d):
+    k = F.col("i") % 4
+    html = F.concat(F.lit("<table>"), "line", F.when(k == 0, "</table>").when(k == 1, "</html> ").when(k == 2, "</table>x").otherwise(""))
+    return I.md_lines(spark, d).select("doc_id", "i", L.valid_table(html).alias("valid"))
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no, greatest(0, x0 - 25) as x0, greatest(0, y0 - 25) as y0, greatest(0, x1 - 25) as x1, greatest(0, y1 - 25) as y1 from b")
+def box_clamp(spark, d):
+    b = F.col("bbox")
+    moved = G.box(b["x0"] - 25, b["y0"] - 25, b["x1"] - 25, b["y1"] - 25)
+    return I.blocks(spark, d).select("doc_id", "page_id", "block_no", G.clamped(moved).alias("c")).select("doc_id", "page_id", "block_no", "c.*")
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, block_no, x0 - 50 + 7.0 as x0, y0 - 50 + block_no as y0, x1 - 50 + 7.0 as x1, y1 - 50 + block_no as y1 from b")
+def crop_to_page(spark, d):
+    crop = F.struct(F.lit(50.0).alias("paste_x"), F.lit(50.0).alias("paste_y"), F.lit(7.0).alias("xmin"), F.col("block_no").alias("ymin"))
+    return I.blocks(spark, d).select("doc_id", "page_id", "block_no", G.from_crop(F.col("bbox"), crop).alias("c")).select("doc_id", "page_id", "block_no", "c.*")
+
+
+_PREVIOUS = """, w as (select doc_id, page_id, block_no, x0, y0, x1, y1, lag(x0) over v as px0, lag(y0) over v as py0, lag(x1) over v as px1, lag(y1) over v as py1
+  from b window v as (partition by doc_id, page_id order by block_no))"""
+
+
+def _with_previous(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = I.blocks(spark, d).withColumn("before", F.lag("bbox").over(W.partitionBy("doc_id", "page_id").orderBy("block_no")))
+    return rows.filter("before is not null")
+
+
+@_query(f"with {I.BLOCKS}{_PREVIOUS} select doc_id, page_id, block_no, least(x0, px0) as x0, least(y0, py0) as y0, greatest(x1, px1) as x1, greatest(y1, py1) as y1 from w where px0 is not null")
+def box_union(spark, d):
+    return _with_previous(spark, d).select("doc_id", "page_id", "block_no", G.union(F.col("bbox"), F.col("before")).alias("u")).select("doc_id", "page_id", "block_no", "u.*")
+
+
+@_query(f"""with {I.BLOCKS}{_PREVIOUS}, k as (select *, py0 + 15 as by0, py1 + 15 as by1 from w where px0 is not null)
+  select doc_id, page_id, block_no, greatest(0, least(y1, by1) - greatest(y0, by0)) / least(y1 - y0, by1 - by0) >= 0.5 as level from k""")
+def row_overlap(spark, d):
+    p = F.col("before")
+    low = G.box(p["x0"], p["y0"] + 15, p["x1"], p["y1"] + 15)
+    return _with_previous(spark, d).select("doc_id", "page_id", "block_no", (G.row_overlap(F.col("bbox"), low) >= 0.5).alias("level"))
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, replace(replace(line, 'e', chr(39)), 's', chr(39)) as clean from l")
+def control_quotes(spark, d):
+    return I.md_lines(spark, d).select("doc_id", "i", T.quotes_for_controls(F.translate("line", "es", "\x02\x03")).alias("clean"))
+
+
+@_query(f"with {I.MD_LINES}, v as (select doc_id, i, repeat(' ', cast(i % 6 as int)) || line as v from l) select doc_id, i, length(v) - length(ltrim(v, ' ')) as n from v")
+def indent_width(spark, d):
+    return I.md_lines(spark, d).select("doc_id", "i", T.indent_width(F.concat(F.repeat(F.lit(" "), (F.col("i") % 6).cast("int")), "line")).cast("long").alias("n"))
+
+
+@_query(f"with {I.MD_LINES} select doc_id, i, 'Part ' || i || ' of ' || doc_id || ': ' || line as prompt from l")
+def prompt_filled(spark, d):
+    return I.md_lines(spark, d).select("doc_id", "i", T.filled("Part {i} of {doc}: {line}", i=F.col("i"), doc=F.col("doc_id"), line=F.col("line")).alias("prompt"))
+
+
+@_query("select doc_id, md5(text) as md5, strlen(text) as length from documents where text is not null")
+def document_md5(spark, d):
+    rows = I.table(spark, d, "documents").filter("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return rows.select("doc_id", files.content_md5(F.col("content")).alias("md5"), F.octet_length("content").cast("long").alias("length"))
+
+
+@_query("with p as (select page_id, list_last(string_split(url, '/')) as last from pages) select page_id, regexp_replace(last, '[.][^.]*$', '') as stem from p")
+def path_stem(spark, d):
+    return I.table(spark, d, "pages").select("page_id", markdown.stem(F.col("url")).alias("stem"))
+
+
+@_query(f"""with {I.MD_LINES}, n as (select *, sum(case when i > 1 and regexp_matches(line, '^#{{1,2}} ') then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as k from l),
+  g as (select doc_id, k, string_agg(line, chr(10) order by i) as t, max(i) as last from n group by doc_id, k), m as (select doc_id, max(i) as n from l group by doc_id)
+  select g.doc_id, cast(k as bigint) as section_no, t || case when last < m.n then chr(10) else '' end as section from g join m on m.doc_id = g.doc_id""")
+def header_section_split(spark, d):
+    rows = I.md_text(spark, d).select("doc_id", F.posexplode(K.header_sections(F.col("text"))).alias("section_no", "section"))
+    return rows.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "section")
+
+
+@_query(f"""with {I.SPANS} select s.doc_id, s.page_id, s.span_no, min(b.block_no) as block_no from s join b on b.doc_id = s.doc_id and b.page_id = s.page_id
+  where b.type = 'discarded' and {_OVER} > 0.4 and s.type = 'text' group by all""")
+def span_discarded_block(spark, d):
+    gone = I.blocks(spark, d).filter("type = 'discarded'")
+    return L.first_block(I.spans(spark, d), gone, 0.4, True).filter("block_no is not null").select("doc_id", "page_id", "span_no", "block_no")
+
+
+@_query(f"with {I.BLOCKS} select doc_id, page_id, cast(count(*) as int) as n, string_agg(block_no, ',' order by block_no) as seqs from b where type = 'title' group by all")
+def outline_by_page(spark, d):
+    return O.by_page(I.outline(spark, d)).select("doc_id", "page_id", F.size("entries").alias("n"), F.array_join(F.transform("entries", lambda e: e["seq"].cast("string")), ",").alias("seqs"))
+
+
+@_query(f"""with {I.MD_LINES}, h as (select doc_id, i, line from l where {_HEAD} and trim(substr(line, instr(line, ' '))) <> '')
+  select doc_id, string_agg(line || chr(10), '' order by i) as headings from h group by doc_id""")
+def heading_text(spark, d):
+    return markdown.rebuilt(_headings(spark, d).withColumn("line", F.concat("line", F.lit("\n"))), "").withColumnRenamed("text", "headings")
+
+
 # Chunks
 
 

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 MARKS = {"key_start": "|*||*||*|key_start|*||*||*|", "key_end": "|*||*||*|key_end|*||*||*|", "value_start": "|*||*||*|value_start|*||*||*|", "value_end": "|*||*||*|value_end|*||*||*|"}
 
 
+def content_md5(content: Column) -> Column:
+    """The name of a document: the MD5 of its bytes."""
+    return F.md5(content)
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content, md5: one row a file, by any Hadoop file system."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.md5("content").alias("md5"))
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content", content_md5(F.col("content")).alias("md5"))
 
 
 def pages_of(files: DataFrame, parse) -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def stem(path: Column) -> Column:
+    """The last part of a path without its extension."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem), text: one row a file."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.col("value").alias("text"))
+    return files.select(stem(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
 
 
 def lines(documents: DataFrame, keep_ends: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
