@@ -168,3 +168,37 @@ def test_phone_codes_are_permuted(spark):
     docs = frame(spark, [(a, f"{a}-{b}-0000") for a in area[::7] for b in (200, 310, 312, 999)])
     out = [r.text for r in pii.pseudonymise(docs, "k").select("text").collect()]
     assert len(set(out)) == len(out) == 4 * len(area[::7])
+
+
+def test_beyond_the_broadcast_bounds(spark, monkeypatch):
+    """The same results where nothing is small enough to be broadcast by count."""
+    for module in (jaccard_join, substring_dedup, decontamination, line_dedup):
+        monkeypatch.setattr(module, "MAX_BROADCAST", -1)
+    docs = corpus(17)
+    assert rows(jaccard_join.jaccard_components(frame(spark, docs)), "n_shingles", "component_id") == brute.jaccard_components(docs, 4, (85, 100))
+    assert rows(substring_dedup.substring_dedup(frame(spark, docs), length=100, gram=16), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substrings(docs, 100)
+    assert rows(line_dedup.line_dedup(frame(spark, docs)), "n_lines", "n_dropped", "kept_sha256") == brute.lines(docs)
+    items = [(0, " ".join(brute.words(docs[60][1])[10:40])), (1, "two words"), (2, " ".join(brute.words(docs[73][1])[1000:1050]))]
+    found = decontamination.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.n_item, r.n_common) for r in found.collect()} == brute.contained(docs, items)
+
+
+def test_very_long_texts(spark):
+    """One text of two million characters beside short ones."""
+    rng = random.Random(2)
+    long = " ".join(rng.choice(WORDS) for _ in range(400_000))
+    docs = [(1, long), (2, long[:-7]), (3, long[5000:9000]), (4, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jaccard_join.jaccard_components(df), "component_id") == {1: (1,), 2: (1,), 3: (3,), 4: (4,)}
+    got = rows(substring_dedup.substring_dedup(df), "n_bytes", "n_removed")
+    assert got[1][1] >= len(long) - 7 and got[2] == (len(long) - 7, len(long) - 7) and got[3] == (4000, 4000)
+    assert rows(line_dedup.line_dedup(df), "n_lines", "n_dropped") == {1: (1, 0), 2: (1, 0), 3: (1, 0), 4: (1, 0)}
+    item = " ".join(long.split(" ")[300_000:300_040])
+    assert {r.doc_id for r in decontamination.contained_items(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {1, 2}
+    assert rows(pieces.encode_decode(df, check=False), "n_tokens")[1][0] > 400_000
+    assert rows(secrets.secret_scan(df.union(spark.createDataFrame([(5, long + " token=abcdefghijklmnop")], df.schema))), "n_assign")[5] == (1,)
+    assert rows(pii.pseudonymise(df, "k"), "n_found")[1] == (0,)
+    assert quality_rules.quality_rules(df.withColumn("lang", F.lit("en"))).count() == 4
+    assert quality_classifier.quality_classifier(df, spark.createDataFrame([], "doc_id long, quality int")).filter("kept").count() == 4
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 100_000), (2, "http://" + "a." * 500 + "org/es/")], "page_id long, url string")
+    assert rows(url_filter.url_filter(pages).withColumnRenamed("page_id", "doc_id"), "verdict") == {1: ("allow",), 2: ("allow",)}
