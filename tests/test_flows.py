@@ -169,3 +169,82 @@ def test_chunks_rebuild_their_texts(spark):
     for r in sorted(catalogue.QUERIES["chunk_pack"](spark, SF).collect(), key=lambda r: r.chunk_no):
         chunks.setdefault(r.doc_id, []).append(r.text)
     assert {k: "".join(v) for k, v in chunks.items()} == {k: v for k, v in texts.items() if v}
+
+
+def by_document(rows, order, value):
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: r[order]):
+        out.setdefault(r.doc_id, []).append(r[value])
+    return out
+
+
+def merged(answer, originals, extra, easy):
+    """By the places that the answer's headings have among the originals."""
+    places, at = [], 0
+    for a in answer:
+        hit = next((j for j in range(at, len(originals)) if H.same_heading(originals[j][2:], H.bare(a))), None)
+        if hit is None:
+            if easy:
+                continue
+            return None
+        places.append((hit, a))
+        at = hit + 1
+    if not easy:
+        before = -1
+        last = -1
+        for hit, a in places:
+            if hit - before - 1 > 8 + extra and last < 4:
+                return None
+            before, last = hit, H.grade(a)
+    out = [H.bare(o) if easy or places and j < places[-1][0] else o for j, o in enumerate(originals)]
+    for hit, a in places:
+        out[hit] = a.rstrip() + "  \n"
+    return out
+
+
+def test_merges_by_places(spark):
+    own = by_document(catalogue._headings(spark, SF).collect(), "line_no", "line")
+    said = by_document(catalogue._answers(spark, SF).collect(), "line_no", "line")
+    for name, easy in (("header_merge", False), ("header_merge_easy", True)):
+        rows = catalogue.QUERIES[name](spark, SF).collect()
+        got, ok = by_document(rows, "line_no", "line"), by_document(rows, "line_no", "ok")
+        good = 0
+        for doc, lines in own.items():
+            answer, dropped = H.without_jumps(H.well_formed(said.get(doc, [])))
+            want = merged(answer, lines, dropped, easy)
+            assert got[doc] == (lines if want is None else want) and set(ok[doc]) == {want is not None}, (name, doc)
+            good += want is not None
+        assert good
+
+
+def test_pages_as_a_list(spark):
+    import json
+
+    from docloom.plans import derived as I
+
+    blocks = [r for r in I.blocks(spark, SF).collect()]
+    pages: dict = {}
+    for b in sorted(blocks, key=lambda b: b.block_no):
+        page = pages.setdefault(b.doc_id, {}).setdefault(b.page_id, {"para_blocks": [], "discarded_blocks": []})
+        if b.page_id != 1:
+            box = [b.bbox.x0, b.bbox.y0, b.bbox.x1, b.bbox.y1]
+            page["discarded_blocks" if b.type == "discarded" else "para_blocks"].append({"block_no": b.block_no, "type": b.type, "bbox": box, "content": b.content})
+    for r in catalogue.QUERIES["page_list"](spark, SF).collect():
+        want = [{"page_idx": k, "page_size": [600.0, 800.0], **p, "need_drop": k == 1, "drop_reason": ["skip page"]} for k, p in sorted(pages.pop(r.doc_id).items())]
+        assert json.loads(r.json)["pdf_info"] == want
+    assert not pages
+
+
+def test_translation_chunk_by_chunk(spark):
+    from docloom.operators import chunks as K
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in catalogue.QUERIES["translate_mock"](spark, SF).collect()}
+
+    def edges(chunk):
+        said = C.Upper().ask(C.TRANSLATE.replace("{content}", chunk))
+        head, tail = len(chunk) - len(chunk.lstrip(" \r\n\t")), len(chunk) - len(chunk.rstrip(" \r\n\t"))
+        return chunk[:head] + said.strip() + (chunk[len(chunk) - tail :] if tail and head < len(chunk) else "")
+
+    want = {k: "\n".join(edges(c) for c in K.split_markdown(t, 2048, 200)) for k, t in texts.items() if t}
+    assert got == want
