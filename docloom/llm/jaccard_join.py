@@ -454,10 +454,11 @@ def jaccard_components(documents: DataFrame, width: int = 4, share: tuple[int, i
 
     members = met.filter("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node"), F.col("n_b").alias("n"), "place", "parts", F.col("salt").alias("part"))
     members = written(members.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
-    several = members.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hash")
+    several = members.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("parts").alias("of")).filter("x <> y")
+    several = several.select("hash", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
     # beside each set of such a bucket, the first of its shingles before that are of such buckets too
     held_in = F.sort_array(F.collect_list(F.struct("place", "hash", "parts", "part"))).alias("held_in")
-    left = members.join(several, "hash").groupBy("node", "n", "component").agg(held_in)
+    left = members.join(several, ["hash", "part"]).groupBy("node", "n", "component").agg(held_in)
     cells = left.select("node", "n", "component", F.transform(F.slice("held_in", 1, EARLY), lambda x: x["hash"]).alias("early"), F.posexplode("held_in").alias("at", "one"))
     cells = cells.select("node", "n", "component", "early", F.least("at", F.lit(EARLY)).alias("known"), "one.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.when(F.col("parts") == 1, F.col("hash")).otherwise(F.xxhash64("hash", F.least("part", "other"), F.greatest("part", "other")))
