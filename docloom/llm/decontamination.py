@@ -36,6 +36,17 @@ def _shingles(column: str, width: int) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(F.col(column), i, width), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _hash(words_: Column) -> Column:
+    """Of an array of words: the hash of their hashes, so that a text's words are hashed once for all shingles."""
+    return F.xxhash64(F.transform(words_, lambda w: F.xxhash64(w)))
+
+
+def _shingle_hashes(column: str, width: int) -> Column:
+    """_hash of each width words of a text; column: the hashes of its words."""
+    n = F.size(column)
+    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(F.col(column), i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def item_sketches(items: DataFrame) -> DataFrame:
     """item_id, width (words of a shingle), shingles (distinct strings), n_item, partition, sketch (hashes).
 
@@ -48,7 +59,7 @@ def item_sketches(items: DataFrame) -> DataFrame:
     out = out.select("item_id", "width", F.array_distinct(made).alias("shingles")).withColumn("n_item", F.size("shingles"))
     out = out.withColumn("partition", F.floor(F.log2("n_item")).cast("int"))
     need = F.floor((F.col("n_item") * SHARE[0] + SHARE[1] - 1) / SHARE[1]).cast("int")
-    return out.withColumn("sketch", F.slice(F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))), 1, F.col("n_item") - need + 1))
+    return out.withColumn("sketch", F.slice(F.sort_array(F.transform("shingles", lambda s: _hash(F.split(s, " ")))), 1, F.col("n_item") - need + 1))
 
 
 def contained_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +77,7 @@ def contained_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     if not bounds:
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_item", "n_common")], F.lit(0.0).alias("containment"))
     widths = sorted({r.width for r in bounds})
-    by_words = docs.select("doc_id", words(F.col("text")).alias("words"))
+    by_words = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
     def looked_up(w: int) -> Column:
         """partition and hash of a text's shingles of w words that are within the partition's bound."""
@@ -75,7 +86,7 @@ def contained_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
             return F.flatten(F.array(*parts))
 
         own = sorted((r.partition, r.bound) for r in bounds if r.width == w)
-        return F.transform(F.array(F.transform(_shingles("words", w), lambda s: F.xxhash64(s))), within)[0]
+        return F.transform(F.array(_shingle_hashes("words", w)), within)[0]
 
     met = by_words.select("doc_id", F.inline(F.flatten(F.array(*[looked_up(w) for w in widths]))))
     sketches = known.select("item_id", "partition", F.explode("sketch").alias("hash"))
