@@ -40,7 +40,7 @@ FRAGMENTS = 4
 #: Share of the hashes that is counted, as a multiple of 1 - share.
 REGION = 1.6
 #: Slices of texts that are counted together to find very common shingles, and the texts that make one common there.
-BLOCK_SLICES = 24
+BLOCK_SLICES = 48
 FREQUENT = 3
 #: Common shingles that are known to all tasks, 16 bytes each; the most common ones, as any order gives right results.
 MAX_FREQUENT = 1_000_000
@@ -89,10 +89,12 @@ def _describe(width: int):
         slices, seen = 0, set()
 
         def common() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = n >= FREQUENT
-            k = int(many.sum())
-            return _described(1, pa.nulls(k, pa.int64()), found[many].view(np.int64), np.zeros(k, np.int64), n[many])
+            every = np.concatenate([np.zeros(0, np.uint64), *block])
+            block.clear()
+            every.sort()
+            found = np.unique(every[FREQUENT - 1 :][every[FREQUENT - 1 :] == every[: len(every) - FREQUENT + 1]])
+            n = np.searchsorted(every, found, side="right") - np.searchsorted(every, found)
+            return _described(1, pa.nulls(len(n), pa.int64()), found.view(np.int64), np.zeros(len(n), np.int64), n)
 
         for batch in batches:
             n_of, set_of = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
@@ -107,7 +109,7 @@ def _describe(width: int):
                 slices += 1
                 if slices == BLOCK_SLICES:
                     yield common()
-                    block, slices, seen = [], 0, set()
+                    slices, seen = 0, set()
             yield _described(0, batch.column(0), set_of[:, 0], set_of[:, 1], n_of)
         yield common()
 

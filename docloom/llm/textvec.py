@@ -23,7 +23,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 PLAIN = 32
 
 #: Bytes of text that are split at once; a longer single text is one slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
